@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .keyed import buckets, doc_id, keyed, per_owner, unflag, with_flags
+from .keyed import LAST, buckets, doc_id, keyed, per_owner, unflag, with_flags
 from .shared import byte_slices, mix64, split_by
 
 #: Bytes of the strings that anchors are hashes of.
@@ -42,10 +42,11 @@ PIECE = 1 << 20
 BYTES = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 RUN = np.dtype([("start", "<i8"), ("end", "<i8")])
+PLACE = np.dtype([("segment", "<u4"), ("c", "<u4"), ("start", "<i8")])
 
 
-def window_anchors(data: np.ndarray, length: int) -> np.ndarray:
-    """A 48-bit anchor for each window of ``length`` bytes, from its bytes alone."""
+def window_anchors(data: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """A 48-bit anchor for each window of ``length`` bytes, from its bytes (and the salt) alone."""
     span = length - SEED + 1
     with np.errstate(over="ignore"):
         h, power, n, parts = BYTES[data], STEP, 1, {}
@@ -60,7 +61,7 @@ def window_anchors(data: np.ndarray, length: int) -> np.ndarray:
             else:
                 fit = max(0, len(data) - used - n + 1)
                 whole, used = whole[:fit] * power + h[used : used + fit], used + n
-    low, n = mix64(whole), 1
+    low, n = mix64(whole ^ np.uint64(salt)), 1
     while 2 * n <= span:
         low, n = np.minimum(low[:-n], low[n:]), 2 * n
     if span > n:
@@ -68,7 +69,7 @@ def window_anchors(data: np.ndarray, length: int) -> np.ndarray:
     return mix64(low) >> np.uint64(16)
 
 
-def segments(offsets: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def segments(offsets: np.ndarray, data: np.ndarray, length: int, salt: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
     """(document, start, windows, anchor) of runs of windows with one anchor, piece by piece.
 
     ``start`` is absolute in ``data``; windows do not cross documents.
@@ -77,7 +78,7 @@ def segments(offsets: np.ndarray, data: np.ndarray, length: int) -> Iterator[tup
         piece = data[p : p + PIECE + length - 1]
         if len(piece) < length:
             return
-        anchors = window_anchors(piece, length)
+        anchors = window_anchors(piece, length, salt)
         first = max(0, int(np.searchsorted(offsets, p, "right")) - 1)
         last = int(np.searchsorted(offsets, p + len(anchors), "left"))
         lo = np.maximum(offsets[first:last], p) - p
@@ -118,7 +119,7 @@ def _widen(blob: bytes) -> np.ndarray:
 
 def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
     """(k, anchors): packed anchors of the document that another document has too."""
-    parts = buckets(rows)
+    parts = buckets(rows, 16)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,10 +188,11 @@ def suffix_order(symbols: np.ndarray, bits: int, depth: int) -> np.ndarray:
     groups of equal keys.
     """
     n, per = len(symbols), 64 // bits
-    ring = np.concatenate((symbols, np.resize(symbols, per))).astype(np.uint64)
+    ring = np.concatenate((symbols, np.resize(symbols, per)))
     key = np.zeros(n, np.uint64)
     for j in range(per):
-        key = key << np.uint64(bits) | ring[j : j + n]
+        key <<= np.uint64(bits)
+        key |= ring[j : j + n]
     order = np.argsort(key)
     key = key[order]
     head = np.ones(n, bool)
@@ -259,12 +261,41 @@ def open_boundaries(symbols: np.ndarray, order: np.ndarray, length: int) -> np.n
     return ~closed[:n]
 
 
-def least_holder(texts: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+#: Places that one transform covers; a larger part is divided by a second anchor first.
+LIMIT = 1 << 20
+
+
+def least_holder(texts: list[bytes], owners: np.ndarray, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(least owner, offsets): for each place of the joined texts (each with an end mark), the least
-    owner of the ``length`` bytes that start there; meaningless in a text's last length - 1 places."""
+    owner of the ``length`` bytes that start there; meaningless in a text's last length - 1 places.
+
+    Over ``LIMIT`` places (an anchor that very many texts hold in different
+    surroundings) windows are dealt by another anchor and the shares are done
+    one after the other: equal windows share this anchor too.
+    """
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     offsets = np.concatenate(([0], np.cumsum(size)))
-    raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+    joined = b"\0".join(texts) + b"\0"
+    if len(joined) <= LIMIT or salt >= 4:
+        return _transform(np.frombuffer(joined, np.uint8), offsets, size, owners, length), offsets
+    plain = b"".join(texts)
+    ends = np.concatenate(([0], np.cumsum(size - 1)))
+    found = [np.concatenate(x) for x in zip(*segments(ends, np.frombuffer(plain, np.uint8), length, salt + 1), strict=True)]
+    owner, start, windows, anchor = found
+    shares = int(-(-int((windows + length).sum()) // (LIMIT // 2)))
+    by, bounds = split_by((anchor % np.uint64(shares)).astype(np.int64), shares)
+    out = np.empty(len(joined), np.int64)
+    for p in np.flatnonzero(np.diff(bounds)):
+        own = by[bounds[p] : bounds[p + 1]]
+        parts = [plain[s : s + w + length - 1] for s, w in zip(start[own].tolist(), windows[own].tolist(), strict=True)]
+        value, at = least_holder(parts, owners[owner[own]], length, salt + 1)
+        w = windows[own]
+        inside = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        out[np.repeat(start[own] + owner[own], w) + inside] = value[np.repeat(at[:-1], w) + inside]
+    return out, offsets
+
+
+def _transform(raw: np.ndarray, offsets: np.ndarray, size: np.ndarray, owners: np.ndarray, length: int) -> np.ndarray:
     seen = np.zeros(256, bool)
     seen[raw] = True
     code = np.zeros(256, np.uint16)
@@ -276,19 +307,17 @@ def least_holder(texts: list[bytes], owners: np.ndarray, length: int) -> tuple[n
         symbols = symbols.astype(np.uint8)
     order = suffix_order(symbols, bits, length)
     open_ = open_boundaries(symbols, order, length)
-    holder = np.repeat(owners, size)
     room = np.arange(len(raw)) + length < np.repeat(offsets[1:], size)
-    value = np.where(room, holder, np.iinfo(np.int64).max)[order]
+    value = np.where(room, np.repeat(owners, size), np.iinfo(np.int64).max)[order]
     start = np.flatnonzero(~open_)
-    least = np.minimum.reduceat(value, start)
     out = np.empty(len(raw), np.int64)
-    out[order] = np.repeat(least, np.diff(np.concatenate((start, [len(raw)]))))
-    return out, offsets
+    out[order] = np.repeat(np.minimum.reduceat(value, start), np.diff(np.concatenate((start, [len(raw)]))))
+    return out
 
 
 def removals(rows: DataFrame, length: int) -> DataFrame:
     """(k, c, flags): packed byte runs to remove, in any number of rows per document."""
-    parts = buckets(rows)
+    parts = buckets(rows, 16)
     found = materialize(shared_anchors(rows, length), "anchors")
     gathered = found.groupBy("k").agg(F.collect_list("anchors").alias("anchors"))
     candidates = rows.join(gathered.hint("shuffle_hash"), "k").select("k", "c", "text", "anchors")
@@ -296,7 +325,9 @@ def removals(rows: DataFrame, length: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ks, cs, names = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            seen: dict[bytes, list[tuple[int, int, int]]] = {}
+            index: dict[bytes, int] = {}
+            empty = np.empty(0, np.int64)
+            ids, docs, starts, marks = [empty], [empty], [empty], [empty.astype(np.uint64)]
             for first, offsets, data in byte_slices(batch.column(2), 4 << 20):
                 raw = data.tobytes()
                 wanted = [np.empty(0, np.uint64)]
@@ -307,60 +338,64 @@ def removals(rows: DataFrame, length: int) -> DataFrame:
                 for owner, start, windows, anchor in segments(offsets, data, length):
                     pair = anchor | owner.astype(np.uint64) << np.uint64(48)
                     hit = want[np.minimum(np.searchsorted(want, pair), len(want) - 1)] == pair if len(want) else np.zeros(len(pair), bool)
-                    at = (start - offsets[owner])[hit].tolist()
-                    for d, s, a, w, x in zip(owner[hit].tolist(), start[hit].tolist(), at, windows[hit].tolist(), anchor[hit].tolist(), strict=True):
-                        seen.setdefault(raw[s : s + w + length - 1], []).append((first + d, a, x))
-            flags: list[tuple[int, int, int]] = []  # row, start, end: later copies within the batch
-            sent: dict[int, list[tuple[bytes, int, list]]] = {}
-            for text, places in seen.items():
-                least = min(ks[d] for d, _, _ in places)
-                flags += [(d, a, a + len(text)) for d, a, _ in places if ks[d] != least]
-                own = [(int(cs[d]), a) for d, a, _ in places if ks[d] == least]
-                sent.setdefault(places[0][2] % parts, []).append((text, int(least), own))
+                    owner, start, windows = owner[hit], start[hit], windows[hit]
+                    ends = (start + windows + length - 1).tolist()
+                    own = [index.setdefault(raw[a:b], len(index)) for a, b in zip(start.tolist(), ends, strict=True)]
+                    ids.append(np.array(own, np.int64))
+                    docs.append(owner + first)
+                    starts.append(start - offsets[owner])
+                    marks.append(anchor[hit])
+            seg, doc, at = np.concatenate(ids), np.concatenate(docs), np.concatenate(starts)
+            texts = list(index)
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            least = np.full(len(texts), LAST)
+            np.minimum.at(least, seg, ks[doc])
+            part = np.zeros(len(texts), np.int64)
+            part[seg] = (np.concatenate(marks) % np.uint64(parts)).astype(np.int64)
             out: dict[str, list] = {"bucket": [], "k": [], "c": [], "flags": [], "texts": [], "sizes": [], "owners": [], "places": []}
-
-            def add(*row, out=out) -> None:
+            later = ks[doc] != least[seg]  # copies that the batch itself shows to be later ones
+            runs = np.empty(int(later.sum()), RUN)
+            runs["start"], runs["end"] = at[later], at[later] + size[seg[later]]
+            for k, c, blob in zip(*per_owner(ks[doc[later]], cs[doc[later]], runs), strict=True):
+                for column, v in zip(out.values(), ((k ^ c) % parts, k, c, blob, None, None, None, None), strict=True):
+                    column.append(v)
+            order, bounds = split_by(part, parts)
+            local = np.empty(len(texts), np.int64)
+            local[order] = np.arange(len(texts)) - np.repeat(bounds[:-1], np.diff(bounds))
+            seg, doc, at = seg[~later], doc[~later], at[~later]
+            places = np.empty(len(seg), PLACE)
+            places["segment"], places["c"], places["start"] = local[seg], cs[doc], at
+            by, edges = split_by(part[seg], parts)
+            ordered = [texts[i] for i in order.tolist()]
+            for p in np.flatnonzero(np.diff(bounds)):
+                a, b = bounds[p], bounds[p + 1]
+                row = (
+                    int(p), None, None, None, b"".join(ordered[a:b]), size[order[a:b]].astype("<i4").tobytes(),
+                    least[order[a:b]].tobytes(), places[by[edges[p] : edges[p + 1]]].tobytes(),
+                )
                 for column, v in zip(out.values(), row, strict=True):
                     column.append(v)
-
-            if flags:
-                d, a, b = (np.array(x, np.int64) for x in zip(*flags, strict=True))
-                runs = np.empty(len(d), RUN)
-                runs["start"], runs["end"] = a, b
-                for k, c, blob in zip(*per_owner(ks[d], cs[d], runs), strict=True):
-                    add((k ^ c) % parts, k, c, blob, None, None, None, None)
-            for p, items in sent.items():
-                places = np.array([(i, c, a) for i, (_, _, own) in enumerate(items) for c, a in own], "<i8")
-                size = np.array([len(t) for t, _, _ in items], "<i4")
-                add(p, None, None, None, b"".join(t for t, _, _ in items), size.tobytes(), np.array([k for _, k, _ in items], "<i8").tobytes(), places.tobytes())
             kinds = [pa.int64()] * 3 + [pa.binary()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         passed, sent = rows[rows["texts"].isna()], rows[rows["texts"].notna()]
         index: dict[bytes, int] = {}
-        least: list[int] = []
-        entries = []  # segment, k, c, start
+        ids, held, entries = [], [], []
         for blob, sizes, owners, places in zip(sent["texts"], sent["sizes"], sent["owners"], sent["places"], strict=True):
-            ends = np.cumsum(np.frombuffer(sizes, "<i4"), dtype=np.int64)
-            own = np.frombuffer(owners, "<i8")
-            ids = np.empty(len(own), np.int64)
-            at = 0
-            for i, (e, k) in enumerate(zip(ends.tolist(), own.tolist(), strict=True)):
-                text, at = blob[at:e], e
-                j = index.setdefault(text, len(least))
-                if j == len(least):
-                    least.append(k)
-                elif k < least[j]:
-                    least[j] = k
-                ids[i] = j
-            where = np.frombuffer(places, "<i8").reshape(-1, 3)
-            entries.append(np.column_stack((ids[where[:, 0]], own[where[:, 0]], where[:, 1:])))
+            ends = np.cumsum(np.frombuffer(sizes, "<i4"), dtype=np.int64).tolist()
+            own = [index.setdefault(blob[a:b], len(index)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            ids.append(np.array(own, np.int64))
+            held.append(np.frombuffer(owners, "<i8"))
+            where = np.frombuffer(places, PLACE)
+            entries.append(np.column_stack((ids[-1][where["segment"]], held[-1][where["segment"]], where["c"], where["start"])))
         a: list[int] = []
         b: list[int] = []
         f: list[bytes] = []
         if entries:
-            value, offsets = least_holder(list(index), np.array(least, np.int64), length)
+            least = np.full(len(index), LAST)
+            np.minimum.at(least, np.concatenate(ids), np.concatenate(held))
+            value, offsets = least_holder(list(index), least, length)
             seg, k, c, start = np.concatenate(entries).T
             windows = offsets[seg + 1] - offsets[seg] - length
             base = np.cumsum(windows) - windows
