@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, simhash, suffix_dedup
+from . import chunk_dedup, quality, simhash, suffix_dedup
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,10 +15,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op5_suffix_array_dedup": lambda spark, d: suffix_dedup.op5_suffix_array_dedup(documents(spark, d)),
+        "op7_quality_rules": lambda spark, d: quality.op7_quality_rules(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op10_chunk_dedup": lambda spark, d: chunk_dedup.op10_chunk_dedup(documents(spark, d)),
         "op2_simhash_near_dedup": lambda spark, d: simhash.op2_simhash_near_dedup(documents(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": quality.ORACLE}
