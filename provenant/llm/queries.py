@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, quality, simhash, suffix_dedup
+from . import chunk_dedup, quality, secrets, simhash, suffix_dedup
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_secret_scan": lambda spark, d: secrets.op4_secret_scan(documents(spark, d)),
         "op5_suffix_array_dedup": lambda spark, d: suffix_dedup.op5_suffix_array_dedup(documents(spark, d)),
         "op7_quality_rules": lambda spark, d: quality.op7_quality_rules(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op10_chunk_dedup": lambda spark, d: chunk_dedup.op10_chunk_dedup(documents(spark, d)),
@@ -22,4 +23,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.ORACLE}
+    return {"op4_secret_scan": secrets.ORACLE, "op7_quality_rules": quality.ORACLE}
