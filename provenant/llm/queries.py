@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, quality, secrets, simhash, suffix_dedup
+from . import chat, chunk_dedup, decontaminate, mixing, quality, secrets, simhash, suffix_dedup
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_source_mixing": lambda spark, d: mixing.op1_source_mixing(documents(spark, d)),
+        "op3_chat_format": lambda spark, d: chat.op3_chat_format(spark.read.parquet(f"{d}/conversations.parquet")),
+        "op8_benchmark_decontamination": lambda spark, d: decontaminate.op8_benchmark_decontamination(
+            documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")
+        ),
         "op4_secret_scan": lambda spark, d: secrets.op4_secret_scan(documents(spark, d)),
         "op5_suffix_array_dedup": lambda spark, d: suffix_dedup.op5_suffix_array_dedup(documents(spark, d)),
         "op7_quality_rules": lambda spark, d: quality.op7_quality_rules(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
@@ -23,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": secrets.ORACLE, "op7_quality_rules": quality.ORACLE}
+    return {"op1_source_mixing": mixing.ORACLE, "op4_secret_scan": secrets.ORACLE, "op7_quality_rules": quality.ORACLE}
