@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chunk_dedup, decontaminate, mixing, quality, secrets, simhash, suffix_dedup
+from . import chat, chunk_dedup, decontaminate, langid, line_dedup, mixing, quality, secrets, simhash, suffix_dedup
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,12 @@ def queries() -> dict[str, Query]:
         "op4_secret_scan": lambda spark, d: secrets.op4_secret_scan(documents(spark, d)),
         "op5_suffix_array_dedup": lambda spark, d: suffix_dedup.op5_suffix_array_dedup(documents(spark, d)),
         "op7_quality_rules": lambda spark, d: quality.op7_quality_rules(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+        "op6_language_id": lambda spark, d: langid.op6_language_id(documents(spark, d)),
+        "op9_line_dedup": lambda spark, d: line_dedup.op9_line_dedup(documents(spark, d)),
         "op10_chunk_dedup": lambda spark, d: chunk_dedup.op10_chunk_dedup(documents(spark, d)),
         "op2_simhash_near_dedup": lambda spark, d: simhash.op2_simhash_near_dedup(documents(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.ORACLE, "op4_secret_scan": secrets.ORACLE, "op7_quality_rules": quality.ORACLE}
+    return {"op1_source_mixing": mixing.ORACLE, "op4_secret_scan": secrets.ORACLE, "op7_quality_rules": quality.ORACLE, "op9_line_dedup": line_dedup.ORACLE}

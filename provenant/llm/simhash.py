@@ -189,6 +189,111 @@ def simhash_groups(
     return fps.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+# -- verified near-duplicates ------------------------------------------------------
+
+#: Distinct shingle sets of a candidate group that are compared in one task.
+GROUP = 1500
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of the shingles."""
+    parts = shingles(lowered_words(text), width)
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(s) for s in parts), np.uint32, len(parts)))
+
+
+def similar_links(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within the radius whose sets have a Jaccard similarity of ``least`` or more."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    edges, left, ahead = [], np.arange(1, len(ids)), [0]
+    while len(left):
+        if not ahead:
+            ahead, left = [int(left[0])], left[1:]
+            continue
+        u = ahead.pop()
+        near = np.bitwise_count(fps[left] ^ fps[u]) <= radius
+        near &= np.minimum(size[left], size[u]) >= least * np.maximum(size[left], size[u])
+        at = np.flatnonzero(near)
+        if not len(at):
+            continue
+        own = left[at]
+        flat = np.concatenate([sets[i] for i in own])
+        if len(sets[u]):
+            where = np.minimum(np.searchsorted(sets[u], flat), len(sets[u]) - 1)
+            hits = np.concatenate(([0], np.cumsum(sets[u][where] == flat)))
+        else:
+            hits = np.zeros(len(flat) + 1, np.int64)
+        ends = np.cumsum(size[own])
+        common = hits[ends] - hits[ends - size[own]]
+        whole = size[own] + size[u] - common
+        ok = common >= least * whole - 1e-9
+        edges += [(int(ids[u]), int(ids[v])) for v in own[ok]]
+        ahead += own[ok].tolist()
+        left = np.delete(left, at[ok])
+    return edges
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 7) -> DataFrame:
+    """(doc_id, root): documents that are not the least of their group of near-duplicates.
+
+    Two documents are linked if the sets of their ``width``-word shingles have a
+    Jaccard similarity of ``least`` or more and their fingerprints differ in at
+    most ``radius`` bits.  The fingerprint is of the distinct words: an edited
+    word changes ``width`` shingles but one word, so pairs at the similarity
+    bound are within fewer bits than with shingles.  Covering tables find all
+    pairs within the radius; candidate groups are then compared exactly.
+
+    Documents with equal shingle sets are one class and are not compared; a
+    candidate group over ``GROUP`` classes is compared in pairs of blocks.  Null
+    ids are not judged; texts without words are one class; rows that repeat an
+    id stand or fall together; no documents give no rows.
+    """
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    fps = materialize(fingerprints(rows, None), "fingerprints")
+    classes = materialize(fps.groupBy("fp").agg(F.count("*").alias("n")), "classes")
+    found = components(links(classes, radius, classes.count()))
+    placed = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    crowd = placed.groupBy("root").agg(F.sum("n").alias("n")).filter("n > 1").select("root")
+    wanted = placed.join(crowd, "root", "left_semi").select("fp", "root")
+    candidates = materialize(fps.join(wanted, "fp").select(F.col("id").alias("_id"), "fp", "root"), "candidates")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(3)]
+            names = [xxhash.xxh3_128_digest(b) for b in blobs]
+            arrays = [*batch.columns[:3], pa.array(names, pa.binary()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "fp", "root", "name", "hashes"])
+
+    joined = rows.join(candidates.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("doc_id", "fp", "root", "text")
+    made = materialize(joined.mapInArrow(sets_of, "id long, fp long, root long, name binary, hashes binary"), "sets")
+    rep = made.groupBy("root", "name").agg(F.min("id").alias("rep"))
+    rep = materialize(rep, "representatives")
+    equal = made.select("id", "root", "name").join(rep, ["root", "name"]).filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    sizes = rep.groupBy("root").agg(F.count("*").alias("m")).filter("m > 1").select("root", F.ceil(F.col("m") / GROUP).alias("blocks"))
+    chosen = rep.join(sizes, "root").select(F.col("rep").alias("id"), F.col("root").alias("_root"), "blocks").distinct()
+    members = made.join(chosen.hint("shuffle_hash"), "id").filter(F.col("root") == F.col("_root")).select("id", "fp", "root", "hashes", "blocks")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    paired = members.withColumn("own", own).withColumn("other", other).select(
+        "id", "fp", "hashes", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    )
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("id").sort_values("id")
+        sets = [np.frombuffer(b, np.uint32) for b in group["hashes"]]
+        got = similar_links(group["id"].to_numpy(), group["fp"].to_numpy().view(np.uint64), sets, radius, least)
+        return pd.DataFrame(got, columns=["u", "v"]).astype("int64")
+
+    links_ = paired.groupBy("root", "i", "j").applyInPandas(compare, "u long, v long")
+    groups = components(links_.unionByName(equal))
+    return groups.filter("node <> root").select(F.col("node").alias("doc_id"), "root")
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 7) -> DataFrame:
+    """``docs`` with one document, the least id, of each group of near-duplicates."""
+    gone = materialize(near_duplicates(docs, width, least, radius).select(F.col("doc_id").alias("_gone")), "gone")
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def op2_simhash_near_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id): 4-word shingles, at most 4 differing bits."""
     groups = simhash_groups(docs, 4, 4)
