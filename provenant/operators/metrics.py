@@ -54,9 +54,12 @@ def threshold_counts(df: DataFrame, score: str = "score", label: str = "label")
         F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_n")
     )
     upto = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = per.agg(F.sum("_p").alias("pos"), F.sum("_n").alias("neg"))
-    return per.select("threshold", F.sum("_p").over(upto).alias("tp"), F.sum("_n").over(upto).alias("fp")).join(
-        F.broadcast(total)  # one row
+    return per.select(
+        "threshold",
+        F.sum("_p").over(upto).alias("tp"),
+        F.sum("_n").over(upto).alias("fp"),
+        per.agg(F.sum("_p")).scalar().alias("pos"),
+        per.agg(F.sum("_n")).scalar().alias("neg"),
     )
 
 

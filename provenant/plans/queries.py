@@ -360,8 +360,8 @@ def best_f1_threshold(p: Proxies) -> DataFrame:
 
 @query
 def confusion_best(p: Proxies) -> DataFrame:
-    best = F.broadcast(metrics.best_f1_threshold(p.scored).select(F.col("threshold").alias("_t")))  # one row
-    return metrics.confusion(metrics.classify(p.scored.join(best), "score", F.col("_t"), inclusive=True).drop("_t"))
+    best = metrics.best_f1_threshold(p.scored).select("threshold").scalar()
+    return metrics.confusion(metrics.classify(p.scored, "score", best, inclusive=True))
 
 
 @query
