@@ -27,6 +27,8 @@ GRID: dict[str, list[float]] = {
     "long_word": [8.0, 9.0, 10.0, 12.0, 15.0, 20.0],
 }
 ALPHA, DELTA = 0.02, 0.05
+#: Strata whose cutoffs (five numbers each) may be broadcast; their number is checked.
+MAX_STRATA = 100_000
 SYMBOLS = r"[#*$%&|<>]"
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -109,9 +111,8 @@ def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) ->
         *[F.struct(F.lit(s).alias("signal"), F.lit(c).alias("cutoff"), F.col(f"t{i}").alias("k")) for i, (s, c) in enumerate(tests)]
     )
     each = counted.select("stratum", "n", F.explode(rows).alias("t")).select("stratum", "n", "t.*")
-    strata = counted.agg(F.count("*").alias("strata"))
     share = alpha / len(GRID)
-    each = each.join(F.broadcast(strata))  # one row
+    each = each.withColumn("strata", counted.agg(F.count("*")).scalar())
     # more than n * share rejections have a tail near 1/2 or above: no need to sum it
     tail = F.when(F.col("k") <= F.col("n") * share, log_binomial_tail(F.col("k"), F.col("n"), share)).otherwise(F.lit(0.0))
     level = F.log(F.lit(delta) / (F.lit(len(tests)) * F.col("strata")))
@@ -144,6 +145,9 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     chosen = cutoffs(holdout, alpha, delta).groupBy("stratum").agg(
         *[F.max(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"cut_{s}") for s in signals]
     )
+    chosen = materialize(chosen, "cutoffs")
+    if chosen.count() <= MAX_STRATA:  # else the join is shuffled, and adaptive execution splits large strata
+        chosen = F.broadcast(chosen)
     judged = counted.withColumn("stratum", stratum).join(chosen, "stratum", "left")
     rejected = F.lit(False)
     for s in signals:
