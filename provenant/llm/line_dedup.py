@@ -34,8 +34,13 @@ def line_ids(rows: DataFrame) -> DataFrame:
 
 
 def _repeated(state: DataFrame) -> DataFrame:
-    """Places whose rank another place has too."""
+    """Places whose rank another place has too.
+
+    The small side of this and the later joins is a written table, so adaptive
+    execution can split a rank that very many places share.
+    """
     twice = state.groupBy(F.col("r").alias("_r")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_r")
+    twice = materialize(twice, "repeated")
     return state.join(twice, state["r"] == twice["_r"], "left_semi")
 
 
@@ -51,10 +56,11 @@ def later_windows(rows: DataFrame, run: int = RUN) -> DataFrame:
         pairs = state.withColumn("b", F.max("r").over(ahead)).filter("b IS NOT NULL").withColumnRenamed("r", "a")
         pairs = materialize(pairs, "pairs")
         again = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-        ranks = number_rows(again, ["_a", "_b"], "_rank")
+        ranks = materialize(number_rows(again, ["_a", "_b"], "_rank"), "ranked")
         ranked = pairs.join(ranks, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
         state, h = materialize(ranked.select("k", "c", "p", F.col("_rank").alias("r")), "ranks"), h + s
     first = state.groupBy(F.col("r").alias("_r")).agg(F.min(F.struct("k", "p")).alias("f"))
+    first = materialize(first, "first")
     joined = state.join(first, state["r"] == first["_r"])
     later = joined.filter((F.col("k") > F.col("f.k")) | (F.col("p") > F.col("f.p")))
     return later.select("k", "c", "p", F.col("f.k").alias("source_k"), F.col("f.p").alias("source_p"))
