@@ -80,14 +80,14 @@ def rake(cells: list[tuple], targets: dict[str, dict], rounds: int = ROUNDS) ->
 
 def rake_distributed(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
     """The same fit as DataFrames: (source, lang, topic, tokens, mass)."""
-    total = cells.agg(F.sum("tokens").cast("double").alias("_total"))
-    now = cells.join(F.broadcast(total)).withColumn("mass", F.try_divide(F.col("tokens").cast("double"), "_total")).drop("_total")  # one row
+    total = cells.agg(F.sum("tokens").cast("double")).scalar()
+    now = cells.withColumn("mass", F.try_divide(F.col("tokens").cast("double"), total))
     now = now.withColumn("mass", F.coalesce("mass", F.lit(0.0)))
     targets = {}
     for m in MARGINS:
         powered = now.groupBy(m).agg(F.pow(F.sum("mass"), F.lit(powers[m])).alias("_t"))
-        whole = powered.agg(F.sum("_t").alias("_w"))
-        targets[m] = materialize(powered.join(F.broadcast(whole)).select(F.col(m).alias("_v"), (F.col("_t") / F.col("_w")).alias("_t")), "target")  # one row
+        whole = powered.agg(F.sum("_t")).scalar()
+        targets[m] = materialize(powered.select(F.col(m).alias("_v"), F.try_divide("_t", whole).alias("_t")), "target")
     now = materialize(now, "cells")
     for _ in range(rounds):
         before = now
@@ -134,10 +134,12 @@ def mix(docs: DataFrame, seed: int = 42, powers: dict[str, float] = POWERS, roun
         table = F.broadcast(table)  # at most max_cells rows
     else:
         fit = rake_distributed(cells, powers, rounds)
-        total = fit.agg(F.sum("tokens").cast("double").alias("_total"))
-        table = fit.join(F.broadcast(total)).withColumn("weight", F.coalesce(F.try_divide(F.col("mass") * F.col("_total"), F.col("tokens").cast("double")), F.lit(0.0)))  # one row
-        top = table.agg(F.max("weight").alias("_top"))
-        table = table.join(F.broadcast(top)).select(*MARGINS, "weight", F.least(F.lit(1.0), F.coalesce(F.try_divide("weight", "_top"), F.lit(0.0))).alias("probability"))  # one row
+        total = fit.agg(F.sum("tokens").cast("double")).scalar()
+        weight = F.coalesce(F.try_divide(F.col("mass") * total, F.col("tokens").cast("double")), F.lit(0.0))
+        table = fit.withColumn("weight", weight)
+        top = table.agg(F.max("weight")).scalar()
+        probability = F.least(F.lit(1.0), F.coalesce(F.try_divide("weight", top), F.lit(0.0)))
+        table = table.select(*MARGINS, "weight", probability.alias("probability"))
     for m in MARGINS:
         table = table.withColumnRenamed(m, f"_{m}")
     same = None
