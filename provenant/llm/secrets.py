@@ -117,7 +117,7 @@ def update_ledger(versions: DataFrame, ledger_dir: str | None = None, rule_versi
     unseen = own.join(chosen, (F.col("at") == F.col("_at")) & (F.col("blob_id") == F.col("_blob")), "left_semi")
     fresh = scan(unseen.select("blob_id", "text"), rule_version)
     if ledger_dir is None:
-        return materialize(fresh, "ledger").dropDuplicates(["blob_id"])
+        return materialize(materialize(fresh, "scanned").dropDuplicates(["blob_id"]), "ledger")
     fresh.dropDuplicates(["blob_id"]).write.mode("append").parquet(ledger_dir)
     return spark.read.parquet(ledger_dir).filter(F.col("rule_version") == rule_version)
 
