@@ -144,7 +144,7 @@ def _with(names: str, body: str, **extra: str) -> str:
 
 
 def _round(columns: str, digits: int = 6) -> str:
-    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns.split())
+    return ", ".join(f"round({c}, {2 if c == 'total_gas' else digits}) + 0.0 AS {c}" for c in columns.split())
 
 
 _FOREST = "xfer first_edge labeled tedge placed nodes"
@@ -173,7 +173,7 @@ def _master() -> str:
         breadth_to_depth_ratio gini_coefficient sparsity longest_chain_ratio star_like_ratio""".split()
     )
     columns = ", ".join(
-        c if c in flags else f"round(coalesce({c}, 0.0), 6) + 0.0 AS {c}" if c in doubles else f"coalesce({c}, 0) AS {c}"
+        c if c in flags else f"round(coalesce({c}, 0.0), {2 if c == 'total_gas' else 6}) + 0.0 AS {c}" if c in doubles else f"coalesce({c}, 0) AS {c}"
         for c in kept
     )
     wide = f"""SELECT b.*, c.* EXCLUDE (to_address), s.* EXCLUDE (gas_provider), t.* EXCLUDE (root), n.depth, f.block AS gas_provision_block_number,

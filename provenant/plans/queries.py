@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import behaviour, cleaning, exchange, forest, funding, labels, learning, master, metrics, walks
+from ..session import materialize
 from ..sources import literal_set, offset_chunk, rank_chunk
 from .proxies import HOME_DESTINATION, HOME_SOURCE, Proxies
 
@@ -25,8 +26,9 @@ def queries() -> dict[str, Query]:
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    doubles = [c for c, t in df.dtypes if t == "double"]
-    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in doubles}) if doubles else df
+    # large sums of cents are exact to cents only, whatever the order of addition
+    doubles = [(c, 2 if c == "total_gas" else digits) for c, t in df.dtypes if t == "double"]
+    return df.withColumns({c: F.round(c, d) + F.lit(0.0) for c, d in doubles}) if doubles else df
 
 
 # -- cleaning ------------------------------------------------------------------
@@ -313,13 +315,15 @@ def chain_walk(p: Proxies) -> DataFrame:
 
 
 def _features(p: Proxies) -> DataFrame:
-    nodes = forest.node_table(p.first_edge, p.labeled)
+    edges = materialize(p.first_edge, "edges")  # six branches read it
+    nodes = materialize(forest.node_table(edges, p.labeled), "nodes")
+    rows = labels.only_members(edges.select("gas_provider", "activated_address", "amount"), "activated_address", p.interactors)
     return master.master_features(
-        _master(p).drop("possible_triangles"),
-        p.first_edge.select("activated_address", "gas_provider"),
-        funding.star_features(_interactor_rows(p), p.labeled),
+        materialize(_master(p).drop("possible_triangles"), "behaviour"),  # the walk and the result read it
+        edges.select("activated_address", "gas_provider"),
+        funding.star_features(rows, p.labeled),
         forest.member_features(nodes, forest.tree_metrics(nodes)),
-        _exchange(p), p.first_edge, p.sybil, p.labeled, p.cex, p.interactors,
+        _exchange(p), edges, p.sybil, p.labeled, p.cex, p.interactors,
     )
 
 
