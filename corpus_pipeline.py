@@ -11,7 +11,7 @@ from provenant.session import materialize
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.judge(docs, labels, keep=docs.columns).filter("kept").select(*docs.columns)
+    return quality.passing(docs, labels)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64
+from .shared import aside, mix64
 from .simhash import lowered_words, shingles
 
 WIDTH, THRESHOLD, MISS = 5, 0.8, 1e-12
@@ -184,9 +184,12 @@ def op8_benchmark_decontamination(docs: DataFrame, benchmark: DataFrame) -> Data
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the contaminated ones, in one pass per benchmark block: no join, texts do not move."""
-    spark, schema = docs.sparkSession, docs.schema
-    out = docs
+    """``docs`` without the contaminated ones, in one pass per benchmark block: no join, texts do not move.
+
+    All columns are kept, whatever their names; null and empty texts are clean.
+    """
+    out, restore = aside(docs, "doc_id", "text")
+    spark, schema = docs.sparkSession, out.schema
     for items in item_blocks(benchmark, width, BLOCK, "item_id", "text"):
         numbered = spark.sparkContext.broadcast([(i, own) for i, (_, own) in enumerate(items)])
 
@@ -198,4 +201,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, th
                 yield batch.filter(pa.array([not (len(h) and signatures.matches(h)) for h in own], pa.bool_()))
 
         out = out.mapInArrow(run, schema)
-    return out
+    return restore(out)

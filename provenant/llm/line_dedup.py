@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.numbering import number_rows
 from ..session import materialize
 from .keyed import LAST, doc_id, keyed
+from .shared import aside
 
 RUN = 3
 _SPACE = " \t\n\x0b\x0c\r"
@@ -111,10 +112,13 @@ def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_co
 def without_later_copies(docs: DataFrame, run: int = RUN) -> DataFrame:
     """``docs`` with later copies of line runs deleted from ``text`` (and ``n_chars`` set anew).
 
-    A document that had words and keeps none was a copy throughout and goes.
+    A document that had words and keeps none was a copy throughout and goes;
+    null, empty and wordless texts stay as they are.  Other columns are kept,
+    whatever their names.
     """
-    schema = docs.schema
     keys = keyed(docs)
+    docs, restore = aside(docs, "doc_id", "text", "n_chars")
+    schema = docs.schema
     starts = materialize(later_windows(keys, run).select("k", "c", "p").distinct(), "later")
     gathered = starts.groupBy("k", "c").agg(F.collect_list("p").alias("_starts"))
     text = F.coalesce("text", F.lit(""))
@@ -141,7 +145,7 @@ def without_later_copies(docs: DataFrame, run: int = RUN) -> DataFrame:
                 out.append(column)
             yield pa.RecordBatch.from_arrays(out, names=schema.names).filter(pa.array(stay, pa.bool_()))
 
-    return joined.mapInArrow(run_, schema)
+    return restore(joined.mapInArrow(run_, schema))
 
 
 def op9_line_dedup(docs: DataFrame) -> DataFrame:

@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release
+from .shared import aside
 
 MARGINS = ["source", "lang", "topic"]
+#: Columns that :func:`mix` adds.
+ADDED = ("n_tokens", "topic", "weight", "probability", "selected")
 #: Cells that the driver may hold: their number is checked before any is fetched.
 MAX_CELLS = 200_000
 ROUNDS = 25
@@ -115,10 +118,10 @@ def mix(docs: DataFrame, seed: int = 42, powers: dict[str, float] = POWERS, roun
     value of its own; documents without tokens have weight and probability 0;
     a null id is sampled under one number; repeated rows are decided alike; an
     empty table gives an empty result.  Columns of ``docs`` by the added names
-    are replaced.
+    are replaced; others are kept, whatever their names.
     """
-    clean = docs.drop("n_tokens", "topic", "weight", "probability", "selected")
-    counted = with_tokens(clean)
+    packed, restore = aside(docs, "doc_id", "text", "source", "lang")
+    counted = with_tokens(packed)
     cells = materialize(counted.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     if cells.count() <= max_cells:
         rows = [tuple(r) for r in cells.collect()]
@@ -147,7 +150,7 @@ def mix(docs: DataFrame, seed: int = 42, powers: dict[str, float] = POWERS, roun
         one = F.col(m).eqNullSafe(F.col(f"_{m}"))
         same = one if same is None else same & one
     out = counted.join(table, same, "left").drop(*[f"_{m}" for m in MARGINS])
-    return out.withColumn("selected", uniform("doc_id", seed) < F.col("probability"))
+    return restore(out.withColumn("selected", uniform("doc_id", seed) < F.col("probability")), ADDED, ADDED)
 
 
 def op1_source_mixing(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-
+from .shared import aside
 
 #: Signals of the method, each rejecting above its cutoff, and the cutoffs tested (fixed values).
 GRID: dict[str, list[float]] = {
@@ -155,6 +155,12 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     return judged.withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
+def passing(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``docs``, with all its columns whatever their names, without the rows that :func:`judge` rejects."""
+    packed, restore = aside(docs, "doc_id", "lang", "text")
+    return restore(judge(packed, labels, alpha, delta, keep=packed.columns).filter("kept"))
+
+
 def op7_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
     return judge(docs, labels).select(
@@ -197,4 +203,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM signals
 """  # noqa: S608
 
-__all__ = ["ORACLE", "judge", "op7_quality_rules"]
+__all__ = ["ORACLE", "judge", "op7_quality_rules", "passing"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,3 +75,21 @@ def split_by(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def renamed_free(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra ones, whatever they are called, cannot clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(the columns ``own``, as far as ``docs`` has them, with all others in one struct; a function that puts the columns back).
+
+    Inside the struct no name can clash with what an operator adds, whatever it
+    is.  The function takes a result that still has these columns, names not to
+    put back, and names to add at the end.
+    """
+    have = [n for n in own if n in docs.columns]
+    rest = [n for n in docs.columns if n not in have]
+    packed = docs.select(*have, F.struct(*[F.col(f"`{n}`").alias(n) for n in rest]).alias("_rest")) if rest else docs
+
+    def restore(df: DataFrame, without: tuple[str, ...] = (), add: tuple[str, ...] = ()) -> DataFrame:
+        names = [n for n in docs.columns if n not in without]
+        return df.select(*[F.col(n) if n in have else F.col("_rest").getField(n).alias(n) for n in names], *add)
+
+    return packed, restore

@@ -289,9 +289,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 7) -> DataFrame:
-    """``docs`` with one document, the least id, of each group of near-duplicates."""
+    """``docs`` with one document, the least id, of each group of near-duplicates; columns keep their names."""
     gone = materialize(near_duplicates(docs, width, least, radius).select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def op2_simhash_near_dedup(docs: DataFrame) -> DataFrame:

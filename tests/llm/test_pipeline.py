@@ -2,6 +2,7 @@
 
 import pytest
 from compare import oracle, spark_rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from provenant.llm import mixing, queries
@@ -44,3 +45,36 @@ def test_stages_against_brute_force(spark):
         if name == "source mixing":
             assert set(after) == {r.doc_id for r in mixing.mix(spark.createDataFrame(list(before.values()))).collect() if r.selected}
     assert corpus_pipeline.run(spark, SF).count() == len(after)
+
+
+CLASHING = """k c p r fp root _gone _k _c _starts _rest kept stratum n_words base_failed symbol_share cut_long_word _words good topic
+weight selected _symbols _source _lang _topic a.b own blocks""".split()
+
+
+@pytest.fixture(scope="module")
+def odd(messy, make):
+    """Odd rows that pass the rules too, and columns by every name that the stages use inside."""
+    text = " ".join(f"w{i} v{i * 7 % 83}" for i in range(60)) + "\nfirst line\nsecond line\nthird line"
+    more = make((20, text), (20, text), (21, text + " more"), (None, text), (22, text.upper()))
+    docs = messy.select(*more.columns).unionByName(more).withColumn("lang", F.when(F.col("doc_id") != 3, F.col("lang")))
+    return docs.withColumn("source", F.lit(None).cast("string")).withColumns({n: F.lit(f"own {n}") for n in CLASHING})
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_handle_odd_rows(spark, odd, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, odd, SF)
+    rows = got.collect()
+    added = set(mixing.ADDED) if name == "source mixing" else set()
+    assert set(odd.columns) <= set(got.columns) and set(got.columns) - set(odd.columns) <= added
+    assert all(r[n] == f"own {n}" for r in rows for n in CLASHING if n not in added)
+    ids = sorted((r.doc_id for r in rows), key=str)
+    if name == "quality rules":
+        assert ids == [20, 20, 21, 22, 3, 4, 4, None]
+    if name == "line dedup":
+        assert {r.doc_id for r in rows if not (r.text or "").strip()} == {1, 2, 6, None}
+    if name == "SimHash near-dedup":  # 1, 2 and 6 have no word; 4 copies 3; 21 and 22 are near 20; null ids stay
+        assert ids == [1, 20, 20, 3, 5, None, None, None]
+    if name == "benchmark decontamination":
+        assert len(rows) == odd.count()
+    assert stage(spark, odd.limit(0), SF).count() == 0
