@@ -41,12 +41,12 @@ def shingles(words: list[bytes], width: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(features: list[bytes]) -> int:
-    """Bit i is 1 if it is set in over half of the features' XXH64 (seed 42); no feature: 0."""
+def fingerprint(features: list[bytes], seed: int = 42) -> int:
+    """Bit i is 1 if it is set in over half of the features' XXH64; no feature: 0."""
     if not features:
         return 0
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, 42) for s in features), np.uint64, len(features))
+    h = np.fromiter((digest(s, seed) for s in features), np.uint64, len(features))
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 8192):
         part = h[i : i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -59,19 +59,26 @@ def lowered_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def fingerprints(docs: DataFrame, width: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fingerprint of the ``width``-word shingles, or of the distinct words if ``width`` is None."""
+def fingerprints(
+    docs: DataFrame, width: int | None, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (42,)
+) -> DataFrame:
+    """(id, fp): fingerprint of the ``width``-word shingles, or of the distinct words if ``width`` is None.
+
+    With several seeds: (id, fp0, fp1...), one fingerprint for each.
+    """
+    names = ["fp"] if len(seeds) == 1 else [f"fp{i}" for i in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.empty(batch.num_rows, np.uint64)
+            fps = np.empty((len(seeds), batch.num_rows), np.uint64)
             for i, text in enumerate(batch.column(1)):
                 words = lowered_words(text.as_py())
-                fps[i] = fingerprint(sorted(set(words)) if width is None else shingles(words, width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+                features = sorted(set(words)) if width is None else shingles(words, width)
+                fps[:, i] = [fingerprint(features, s) for s in seeds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f.view(np.int64)) for f in fps]], names=["id", *names])
 
     kind = dict(docs.dtypes)[id_col]
-    return renamed_free(docs, id_col, text_col).mapInArrow(run, f"id {kind}, fp long")
+    return renamed_free(docs, id_col, text_col).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def covering_masks(radius: int, bits: int = BITS) -> np.ndarray:
@@ -193,6 +200,8 @@ def simhash_groups(
 
 #: Distinct shingle sets of a candidate group that are compared in one task.
 GROUP = 1500
+#: Seeds of the fingerprints that candidates are searched by.
+SEEDS = (42, 43)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -232,15 +241,28 @@ def similar_links(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radi
     return edges
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 7) -> DataFrame:
+def _candidates(fps: DataFrame, radius: int) -> DataFrame:
+    """(id, fp, root) of the rows of ``fps`` whose fingerprint is in a group with another row's."""
+    classes = materialize(fps.groupBy("fp").agg(F.count("*").alias("n")), "classes")
+    found = components(links(classes, radius, classes.count()))
+    placed = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    crowd = placed.groupBy("root").agg(F.sum("n").alias("n")).filter("n > 1").select("root")
+    wanted = materialize(placed.join(crowd, "root", "left_semi").select("fp", "root"), "wanted")
+    return fps.join(wanted, "fp").select("id", "fp", "root")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 7, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """(doc_id, root): documents that are not the least of their group of near-duplicates.
 
     Two documents are linked if the sets of their ``width``-word shingles have a
-    Jaccard similarity of ``least`` or more and their fingerprints differ in at
-    most ``radius`` bits.  The fingerprint is of the distinct words: an edited
-    word changes ``width`` shingles but one word, so pairs at the similarity
-    bound are within fewer bits than with shingles.  Covering tables find all
-    pairs within the radius; candidate groups are then compared exactly.
+    Jaccard similarity of ``least`` or more and their fingerprints under one of
+    the ``seeds`` differ in at most ``radius`` bits.  Fingerprints are of the
+    distinct words: an edited word changes ``width`` shingles but one word, so
+    pairs at the similarity bound are within fewer bits than with shingles; a
+    pair beyond the radius under one seed is seldom so under the others.
+    Covering tables find all pairs within the radius, for each seed on its own
+    (so groups do not grow together by chance); candidate groups are then
+    compared exactly.
 
     Documents with equal shingle sets are one class and are not compared; a
     candidate group over ``GROUP`` classes is compared in pairs of blocks.  Null
@@ -248,42 +270,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
     id stand or fall together; no documents give no rows.
     """
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fps = materialize(fingerprints(rows, None), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.count("*").alias("n")), "classes")
-    found = components(links(classes, radius, classes.count()))
-    placed = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    crowd = placed.groupBy("root").agg(F.sum("n").alias("n")).filter("n > 1").select("root")
-    wanted = placed.join(crowd, "root", "left_semi").select("fp", "root")
-    candidates = materialize(fps.join(wanted, "fp").select(F.col("id").alias("_id"), "fp", "root"), "candidates")
+    fps = fingerprints(rows, None, seeds=seeds)
+    fps = materialize(fps if len(seeds) > 1 else fps.withColumnRenamed("fp", "fp0"), "fingerprints")
+    candidates = None
+    for i in range(len(seeds)):
+        own = _candidates(fps.select("id", F.col(f"fp{i}").alias("fp")), radius).withColumn("seed", F.lit(i))
+        candidates = own if candidates is None else candidates.unionByName(own)
+    candidates = materialize(candidates, "candidates")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(3)]
+            blobs = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
             names = [xxhash.xxh3_128_digest(b) for b in blobs]
-            arrays = [*batch.columns[:3], pa.array(names, pa.binary()), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "fp", "root", "name", "hashes"])
-
-    joined = rows.join(candidates.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("doc_id", "fp", "root", "text")
-    made = materialize(joined.mapInArrow(sets_of, "id long, fp long, root long, name binary, hashes binary"), "sets")
-    rep = made.groupBy("root", "name").agg(F.min("id").alias("rep"))
-    rep = materialize(rep, "representatives")
-    equal = made.select("id", "root", "name").join(rep, ["root", "name"]).filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    sizes = rep.groupBy("root").agg(F.count("*").alias("m")).filter("m > 1").select("root", F.ceil(F.col("m") / GROUP).alias("blocks"))
-    chosen = rep.join(sizes, "root").select(F.col("rep").alias("id"), F.col("root").alias("_root"), "blocks").distinct()
-    members = made.join(chosen.hint("shuffle_hash"), "id").filter(F.col("root") == F.col("_root")).select("id", "fp", "root", "hashes", "blocks")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(blobs, pa.binary())], names=["id", "name", "hashes"])
+
+    wanted = candidates.select(F.col("id").alias("_id")).distinct()
+    joined = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
+    made = materialize(joined.mapInArrow(sets_of, "id long, name binary, hashes binary"), "sets")
+    # equal sets have equal words, so equal fingerprints and groups: a class has one representative in all
+    rep = materialize(made.groupBy("name").agg(F.min("id").alias("rep")), "representatives")
+    equal = made.select("id", "name").join(rep, "name").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    reps = candidates.join(rep.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").distinct()
+    reps = materialize(reps, "members")
+    sizes = reps.groupBy("seed", "root").agg(F.count("*").alias("m")).filter("m > 1").select("seed", "root", F.ceil(F.col("m") / GROUP).alias("blocks"))
+    chosen = reps.join(materialize(sizes, "sizes"), ["seed", "root"])
+    members = made.join(chosen.hint("shuffle_hash"), "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     paired = members.withColumn("own", own).withColumn("other", other).select(
-        "id", "fp", "hashes", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        "id", "name", "fp", "hashes", "seed", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values("id")
+        group = group.drop_duplicates(["id", "name", "fp"]).sort_values(["id", "name"])
         sets = [np.frombuffer(b, np.uint32) for b in group["hashes"]]
         got = similar_links(group["id"].to_numpy(), group["fp"].to_numpy().view(np.uint64), sets, radius, least)
         return pd.DataFrame(got, columns=["u", "v"]).astype("int64")
 
-    links_ = paired.groupBy("root", "i", "j").applyInPandas(compare, "u long, v long")
+    links_ = paired.groupBy("seed", "root", "i", "j").applyInPandas(compare, "u long, v long")
     groups = components(links_.unionByName(equal))
     return groups.filter("node <> root").select(F.col("node").alias("doc_id"), "root")
 

@@ -232,6 +232,31 @@ def test_verified_near_duplicates(make):
     assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 2, 7, None]
 
 
+def test_near_duplicates_against_brute_force(make, monkeypatch):
+    """Whole groups, by blocks of few classes too: edits of many sizes, repeated ids with other texts."""
+    rng = random.Random(12)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.randint(0, 4000)}" for _ in range(rng.choice([40, 150, 400]))]
+        for _ in range(rng.choice([1, 3, 9])):
+            rows.append((len(rows), " ".join(words)))
+            words = words.copy()
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                words[rng.randrange(len(words))] = f"x{rng.randint(0, 10**6)}"
+    rows += [rows[3], (rows[5][0], rows[30][1])]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    linked = {}
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows[:i]):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                linked.setdefault(a, set()).add(b)
+    want = groups(sorted({i for i, _ in rows}), lambda a, b: b in linked.get(a, ()) or a in linked.get(b, ()))
+    for size in (1500, 3):
+        monkeypatch.setattr(simhash, "GROUP", size)
+        got = {r.doc_id: r.root for r in simhash.near_duplicates(make(*rows), seeds=(42, 43, 44)).collect()}
+        assert got == {i: r for i, r in want.items() if i != r}
+
+
 def test_similar_links_find_chains():
     sets = [np.arange(i * 10, i * 10 + 100, dtype=np.uint32) for i in range(6)]
     ids, fps = np.arange(6), np.zeros(6, np.uint64)
