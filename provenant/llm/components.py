@@ -1,6 +1,8 @@
 """Connected components by alternating star contraction.
 
-Edges are linked to the least neighbour, first from larger nodes and then from
+Each task first replaces the edges it holds by stars around the least node of
+each component among them: the same components with fewer edges, and tasks that
+hold edges of one group mostly agree on its star.  Edges are then linked to the least neighbour, first from larger nodes and then from
 smaller ones, until each component is a star around its least node (a round
 count that grows with the logarithm of the component).  A hub's edges are
 never gathered: minima come from partial aggregation and are joined back, where
@@ -9,20 +11,61 @@ adaptive execution splits a hot key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release
 
+#: Edges that a task holds before it hands on their stars.
+HELD = 1 << 20
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) for all nodes of the edges but the least ones."""
+    nodes, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _task_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = np.empty((2, 0), np.int64)
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["u", "v"])
+
+    for more in batches:
+        held = np.concatenate((held, [more.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]), axis=1)
+        if held.shape[1] >= HELD:
+            held = np.stack(stars(*held))
+            if held.shape[1] >= HELD // 2:
+                yield batch()
+                held = held[:, :0]
+    if held.shape[1]:
+        held = np.stack(stars(*held))
+        yield batch()
+
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edge table (u, v); root is the least node reachable.
+    """(node, root) of every node of the edge table (u, v) of longs; root is the least node reachable.
 
     Self-loops, repeated and null edges do no harm.  An empty table gives an
-    empty result.  Needs an order on nodes.
+    empty result.
     """
-    kept = edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = materialize(kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    kept = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    now = materialize(kept.mapInArrow(_task_stars, "u long, v long").distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         after = materialize(_small_star(_large_star(now)).distinct(), "edges")

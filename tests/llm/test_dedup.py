@@ -4,10 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from provenant.llm import chunk_dedup, line_dedup, simhash, suffix_dedup
+from provenant.llm import components as components_module
 from provenant.llm.components import components
 
 
@@ -264,6 +266,21 @@ def test_similar_links_find_chains():
     assert not simhash.similar_links(ids, fps, sets, 7, 0.9)
 
 
+def test_task_stars_keep_components(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n, nodes in ((1, 5), (400, 300), (3000, 5000)):
+        u, v = rng.integers(-nodes, nodes, (2, n))
+        node, root = components_module.stars(u, v)
+        assert len(set(node.tolist())) == len(node) and (root < node).all()
+        of = dict(zip(node.tolist(), root.tolist(), strict=True))
+        assert all(of.get(a, a) == of.get(b, b) for a, b in zip(u.tolist(), v.tolist(), strict=True))
+        monkeypatch.setattr(components_module, "HELD", 64)
+        batches = [pa.RecordBatch.from_arrays([pa.array(u[i : i + 50]), pa.array(v[i : i + 50])], names=["u", "v"]) for i in range(0, n, 50)]
+        got = pa.Table.from_batches(components_module._task_stars(iter(batches)))
+        again = dict(zip(*(x.tolist() for x in components_module.stars(got["u"].to_numpy(), got["v"].to_numpy())), strict=True))
+        assert again == of
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7)]
