@@ -205,9 +205,9 @@ SEEDS = (42, 43)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the shingles."""
+    """Sorted distinct 64-bit hashes of the shingles."""
     parts = shingles(lowered_words(text), width)
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(s) for s in parts), np.uint32, len(parts)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in parts), np.uint64, len(parts)))
 
 
 def similar_links(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> list[tuple[int, int]]:
@@ -251,23 +251,146 @@ def _candidates(fps: DataFrame, radius: int) -> DataFrame:
     return fps.join(wanted, "fp").select("id", "fp", "root")
 
 
+#: One document in so many is counted for the hot shingles: those of HOT and more of them, HOTTEST at most.
+SAMPLE, HOT, HOTTEST = 16, 4, 1 << 19
+#: Prefix places that are searched in one task.
+PLACES = 200_000
+_PLACE = np.dtype([("token", "<u8"), ("id", "<i8"), ("root", "<i8"), ("size", "<i4"), ("at", "<i4")])
+
+
+def hot_shingles(rows: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of frequent shingles.  Any set gives the same pairs: it only decides which shingles come last in prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), width).view(np.int64))], names=["token"])
+
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= HOT)
+    got = counts.orderBy(F.desc("count"), "token").limit(HOTTEST).select("token").toArrow()
+    return np.sort(got["token"].to_numpy().view(np.uint64))
+
+
+def prefix(tokens: np.ndarray, hot: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """(the first of ``tokens`` in the order rare by hash, then hot by hash; how many of them are rare).
+
+    Sets of a similarity of ``least`` share at least that part of either, so
+    one of so many first tokens of both.
+    """
+    n = len(tokens)
+    if not n:
+        return tokens, 0
+    late = np.zeros(n, bool)
+    if len(hot):
+        late = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+    k = n - int(np.ceil(least * n - 1e-9)) + 1
+    rare = tokens[~late]
+    return np.concatenate((rare, tokens[late]))[:k], min(len(rare), k)
+
+
+def prefix_pairs(places: np.ndarray, least: float) -> np.ndarray:
+    """Distinct (u, v), u < v, of other roots that share a token and may be similar by their sizes and the token's places."""
+    places = places[np.lexsort((places["size"], places["token"]))]
+    start, end = runs_of(places["token"])
+    found, held = [np.empty((0, 2), np.int64)], 0
+    for a, b in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
+        ids, root, size, at = (places[n][a:b] for n in ("id", "root", "size", "at"))
+        if (root == root[0]).all():
+            continue
+        size, after = size.astype(np.int64), size.astype(np.int64) - at
+        # sizes rise: a place's partners are the later ones of at most size / least
+        ends = np.searchsorted(size, size / least + 1e-6, "right").tolist()
+        for i in range(b - a - 1):
+            j = slice(i + 1, ends[i])
+            # if the token is the first that they share, no more than what follows it is common
+            common = np.minimum(after[i], after[j])
+            ok = (root[j] != root[i]) & (common * (1 + least) >= least * (size[i] + size[j]) - 1e-6)
+            if ok.any():
+                other = ids[j][ok]
+                found.append(np.column_stack((np.minimum(other, ids[i]), np.maximum(other, ids[i]))))
+                held += len(other)
+        if held > 1 << 20:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            held = 0
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def remaining_links(rows: DataFrame, prefixes: DataFrame, roots: DataFrame, width: int, least: float) -> DataFrame:
+    """(u, v): all pairs of a similarity of ``least`` and more that are not of one root yet.
+
+    Prefix-filtered join: places (token, document) travel as packed arrays by
+    the token's hash.  A hot token's places are dealt by size as well: bands
+    are so wide that partners are in the same one or the next.
+    """
+    placed = prefixes.join(roots, prefixes["id"] == roots["node"], "left").select("id", "size", "rare", "tokens", F.coalesce("root", "id").alias("root"))
+    n = prefixes.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
+    parts = int(max(1, -(-n // PLACES)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, blobs = [], []
+            ids, size, rare, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
+            tokens = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(3)]
+            length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            of = np.repeat(np.arange(len(tokens)), length)
+            if not len(of):
+                continue
+            out = np.empty(len(of), _PLACE)
+            out["token"], out["id"], out["root"], out["size"] = np.concatenate(tokens), ids[of], root[of], size[of]
+            out["at"] = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
+            late = out["at"] >= rare[of]
+            band = np.where(late, 1 + np.floor(np.log(out["size"]) / -np.log(least) + 1e-9) if least < 1 else 1, 0).astype(np.uint64)
+            out = np.concatenate((out, out[late]))
+            band = np.concatenate((band, band[late] + np.uint64(1)))
+            order, bounds = split_by((mix64(out["token"] + band * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64), parts)
+            for p in np.flatnonzero(np.diff(bounds)).tolist():
+                names.append(p)
+                blobs.append(out[order[bounds[p] : bounds[p + 1]]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "places"])
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(prefix_pairs(np.frombuffer(b"".join(group["places"]), _PLACE), least), columns=["u", "v"])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "hashes"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= least * (len(a) + len(b) - common) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    dealt = placed.mapInArrow(deal, "bucket long, places binary")
+    pairs = materialize(dealt.groupBy("bucket").applyInPandas(search, "u long, v long").distinct(), "pairs")
+    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct(), "paired")
+    texts = rows.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
+    sets = materialize(texts.mapInArrow(sets_of, "id long, hashes binary").distinct(), "remaining")
+    left = sets.select(F.col("id").alias("u"), F.col("hashes").alias("a"))
+    right = sets.select(F.col("id").alias("v"), F.col("hashes").alias("b"))
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
+    return both.mapInArrow(verify, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 7, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """(doc_id, root): documents that are not the least of their group of near-duplicates.
 
     Two documents are linked if the sets of their ``width``-word shingles have a
-    Jaccard similarity of ``least`` or more and their fingerprints under one of
-    the ``seeds`` differ in at most ``radius`` bits.  Fingerprints are of the
-    distinct words: an edited word changes ``width`` shingles but one word, so
-    pairs at the similarity bound are within fewer bits than with shingles; a
-    pair beyond the radius under one seed is seldom so under the others.
-    Covering tables find all pairs within the radius, for each seed on its own
-    (so groups do not grow together by chance); candidate groups are then
-    compared exactly.
-
-    Documents with equal shingle sets are one class and are not compared; a
-    candidate group over ``GROUP`` classes is compared in pairs of blocks.  Null
-    ids are not judged; texts without words are one class; rows that repeat an
-    id stand or fall together; no documents give no rows.
+    Jaccard similarity of ``least`` or more.  Three steps find the groups:
+    documents with equal shingle sets are one class; candidates whose
+    fingerprints of the distinct words, under one of the ``seeds``, are within
+    ``radius`` bits are compared exactly, which joins most large groups; and an
+    exact prefix-filtered join finds every pair that these left apart, whatever
+    its fingerprints (see :func:`remaining_links`).
+
+    A candidate group over ``GROUP`` classes is compared in pairs of blocks.
+    Null ids are not judged; texts without words are one class; rows that repeat
+    an id stand or fall together; no documents give no rows.
     """
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fps = fingerprints(rows, None, seeds=seeds)
@@ -277,6 +400,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
         own = _candidates(fps.select("id", F.col(f"fp{i}").alias("fp")), radius).withColumn("seed", F.lit(i))
         candidates = own if candidates is None else candidates.unionByName(own)
     candidates = materialize(candidates, "candidates")
+    hot = hot_shingles(rows, width)
+
+    def prefixes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = shingle_set(t.as_py(), width)
+                first, rare = prefix(tokens, hot, least)
+                out.append((i, xxhash.xxh3_128_digest(tokens), len(tokens), rare, first.tobytes()))
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "name", "size", "rare", "tokens"])
+
+    prefixes = materialize(rows.mapInArrow(prefixes_of, "id long, name binary, size int, rare int, tokens binary"), "prefixes")
+    # equal sets have equal words, so equal fingerprints and groups: a class has one representative in all
+    rep = materialize(prefixes.groupBy("name").agg(F.min("id").alias("rep")), "representatives")
+    equal = prefixes.select("id", "name").join(rep, "name").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    first = rep.select(F.col("name").alias("_name"), "rep")
+    prefixes = prefixes.join(first, (F.col("name") == F.col("_name")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["id", "name"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,14 +426,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
             names = [xxhash.xxh3_128_digest(b) for b in blobs]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(blobs, pa.binary())], names=["id", "name", "hashes"])
 
-    wanted = candidates.select(F.col("id").alias("_id")).distinct()
-    joined = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
-    made = materialize(joined.mapInArrow(sets_of, "id long, name binary, hashes binary"), "sets")
-    # equal sets have equal words, so equal fingerprints and groups: a class has one representative in all
-    rep = materialize(made.groupBy("name").agg(F.min("id").alias("rep")), "representatives")
-    equal = made.select("id", "name").join(rep, "name").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     reps = candidates.join(rep.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").distinct()
     reps = materialize(reps, "members")
+    wanted = reps.select(F.col("id").alias("_id")).distinct()
+    joined = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
+    made = materialize(joined.mapInArrow(sets_of, "id long, name binary, hashes binary"), "sets")
     sizes = reps.groupBy("seed", "root").agg(F.count("*").alias("m")).filter("m > 1").select("seed", "root", F.ceil(F.col("m") / GROUP).alias("blocks"))
     chosen = reps.join(materialize(sizes, "sizes"), ["seed", "root"])
     members = made.join(chosen.hint("shuffle_hash"), "id")
@@ -303,12 +442,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["id", "name", "fp"]).sort_values(["id", "name"])
-        sets = [np.frombuffer(b, np.uint32) for b in group["hashes"]]
+        sets = [np.frombuffer(b, np.uint64) for b in group["hashes"]]
         got = similar_links(group["id"].to_numpy(), group["fp"].to_numpy().view(np.uint64), sets, radius, least)
         return pd.DataFrame(got, columns=["u", "v"]).astype("int64")
 
     links_ = paired.groupBy("seed", "root", "i", "j").applyInPandas(compare, "u long, v long")
-    groups = components(links_.unionByName(equal))
+    linked = materialize(components(links_.unionByName(equal)), "linked")
+    rest = remaining_links(rows, materialize(prefixes, "prefixes"), linked, width, least)
+    groups = components(rest.unionByName(linked.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     return groups.filter("node <> root").select(F.col("node").alias("doc_id"), "root")
 
 

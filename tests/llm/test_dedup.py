@@ -259,6 +259,23 @@ def test_near_duplicates_against_brute_force(make, monkeypatch):
         assert got == {i: r for i, r in want.items() if i != r}
 
 
+@pytest.mark.parametrize("sample", [1, 16])
+def test_production_default_finds_appended_and_short_copies(make, monkeypatch, sample):
+    """Short texts with a word more, and long ones with text appended, whatever their fingerprints; a shared passage in all of some."""
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    rng = random.Random(7)
+    passage, rows = [f"p{i}" for i in range(30)], []
+    for base in range(240):
+        n = rng.choice([6, 9, 12, 15, 40, 100, 300])
+        words = [f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(n)] + (passage if base % 4 == 0 else [])
+        more = [f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(max(1, int(n * rng.choice([0.05, 0.15, 0.2, 0.24]))))]
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(words + more))]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    want = groups(range(len(rows)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r.doc_id: r.root for r in simhash.near_duplicates(make(*rows)).collect()}
+    assert got == {i: r for i, r in want.items() if i != r} and len(got) > 100
+
+
 def test_similar_links_find_chains():
     sets = [np.arange(i * 10, i * 10 + 100, dtype=np.uint32) for i in range(6)]
     ids, fps = np.arange(6), np.zeros(6, np.uint64)
