@@ -7,7 +7,8 @@ unique has its final rank and leaves: only repeated prefixes go on.  Doubling
 stops at ``run`` lines; places of equal rank then form the intervals whose
 common prefix is ``run`` or more.  All but the first place of an interval start
 a later copy, and the lines that such windows cover (their unions are the
-maximal repeated runs) are deleted.
+maximal repeated runs) are deleted.  The pipeline's stage also takes a window of
+fewer lines for a run if it has ``WORDS`` words or more.
 """
 
 from __future__ import annotations
@@ -24,12 +25,21 @@ from .keyed import LAST, doc_id, keyed
 from .shared import aside
 
 RUN = 3
+#: Words that make a run of fewer lines (in the pipeline; the query's SQL counts lines alone).
+WORDS = 50
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def line_ids(rows: DataFrame) -> DataFrame:
-    """(k, c, p, r): the lines that have a word, numbered from 0, with a 64-bit id of their text."""
+def line_ids(rows: DataFrame, counted: bool = False) -> DataFrame:
+    """(k, c, p, r): the lines that have a word, numbered from 0, with a 64-bit id of their text.
+
+    ``counted`` adds w and e, the words of the line.
+    """
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
+    if counted:
+        words = lambda x: F.size(F.split(F.btrim(x, F.lit(_SPACE)), "[ \\t\\n\\x0B\\f\\r]+", -1)).cast("long")
+        both = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("r"), words(x).alias("w")))
+        return rows.select("k", "c", F.posexplode(both).alias("p", "x")).select("k", "c", "p", "x.r", "x.w", F.col("x.w").alias("e"))
     ids = F.transform(lines, lambda x: F.xxhash64(x))
     return rows.select("k", "c", F.posexplode(ids).alias("p", "r"))
 
@@ -45,31 +55,51 @@ def _repeated(state: DataFrame) -> DataFrame:
     return state.join(twice, state["r"] == twice["_r"], "left_semi")
 
 
-def later_windows(rows: DataFrame, run: int = RUN) -> DataFrame:
-    """(k, c, p, source_k, source_p): windows of ``run`` lines that start later than their first copy.
+def _later(state: DataFrame, n: int) -> DataFrame:
+    """(k, c, p, n, source_k, source_p): places of ``state`` after the first one of their rank."""
+    first = state.groupBy(F.col("r").alias("_r")).agg(F.min(F.struct("k", "p")).alias("f"))
+    first = materialize(first, "first")
+    joined = state.join(first, state["r"] == first["_r"])
+    later = joined.filter((F.col("k") > F.col("f.k")) | (F.col("p") > F.col("f.p")))
+    return later.select("k", "c", "p", F.lit(n).alias("n"), F.col("f.k").alias("source_k"), F.col("f.p").alias("source_p"))
+
+
+def later_windows(rows: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(k, c, p, n, source_k, source_p): windows of n = ``run`` lines that start later than their first copy.
 
-    Order is (k, p).  Duplicated rows are one place.
+    With ``words``, windows of fewer lines that have so many words are there
+    too; windows then grow by one line a round, and w and e are the words of a
+    window and of its last line.  Order is (k, p).  Duplicated rows are one place.
     """
-    state, h = materialize(_repeated(line_ids(rows)), "lines"), 1
+    counts = ["w", "e"] if words is not None else []
+    state, h, short = materialize(_repeated(line_ids(rows, words is not None)), "lines"), 1, []
     while h < run:
-        s = min(h, run - h)
+        if words is not None:
+            short.append(_later(state.filter(F.col("w") >= words), h))
+        s = min(h, run - h) if words is None else 1
         ahead = Window.partitionBy("k", "c").orderBy("p").rangeBetween(s, s)
-        pairs = state.withColumn("b", F.max("r").over(ahead)).filter("b IS NOT NULL").withColumnRenamed("r", "a")
+        pairs = state.withColumn("b", F.max("r").over(ahead))
+        if words is not None:
+            pairs = pairs.withColumn("e", F.max("e").over(ahead)).withColumn("w", F.col("w") + F.col("e"))
+        pairs = pairs.filter("b IS NOT NULL").withColumnRenamed("r", "a")
         pairs = materialize(pairs, "pairs")
         again = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
         ranks = materialize(number_rows(again, ["_a", "_b"], "_rank"), "ranked")
         ranked = pairs.join(ranks, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
-        state, h = materialize(ranked.select("k", "c", "p", F.col("_rank").alias("r")), "ranks"), h + s
-    first = state.groupBy(F.col("r").alias("_r")).agg(F.min(F.struct("k", "p")).alias("f"))
-    first = materialize(first, "first")
-    joined = state.join(first, state["r"] == first["_r"])
-    later = joined.filter((F.col("k") > F.col("f.k")) | (F.col("p") > F.col("f.p")))
-    return later.select("k", "c", "p", F.col("f.k").alias("source_k"), F.col("f.p").alias("source_p"))
+        state, h = materialize(ranked.select("k", "c", "p", F.col("_rank").alias("r"), *counts), "ranks"), h + s
+    out = _later(state, run)
+    for more in short:
+        out = out.unionByName(more)
+    return out
 
 
 def drop_lines(text: str, starts: list[int], run: int) -> tuple[str, int, int]:
     """(text without the covered lines, lines removed, maximal runs); lines without a word stay and are not numbered."""
-    gone = {s + i for s in starts for i in range(run)}
+    return drop_covered(text, {s + i for s in starts for i in range(run)})
+
+
+def drop_covered(text: str, gone: set[int]) -> tuple[str, int, int]:
+    """The same for the numbers of the covered lines."""
     kept, p = [], 0
     for line in text.split("\n"):
         if line.strip(_SPACE):
@@ -109,9 +139,10 @@ def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_co
     return joined.mapInArrow(run_, "k long, c long, n_lines long, n_removed long, n_runs long, kept string")
 
 
-def without_later_copies(docs: DataFrame, run: int = RUN) -> DataFrame:
+def without_later_copies(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """``docs`` with later copies of line runs deleted from ``text`` (and ``n_chars`` set anew).
 
+    A run is ``run`` lines, or fewer lines of ``words`` words and more.
     A document that had words and keeps none was a copy throughout and goes;
     null, empty and wordless texts stay as they are.  Other columns are kept,
     whatever their names.
@@ -119,8 +150,8 @@ def without_later_copies(docs: DataFrame, run: int = RUN) -> DataFrame:
     keys = keyed(docs)
     docs, restore = aside(docs, "doc_id", "text", "n_chars")
     schema = docs.schema
-    starts = materialize(later_windows(keys, run).select("k", "c", "p").distinct(), "later")
-    gathered = starts.groupBy("k", "c").agg(F.collect_list("p").alias("_starts"))
+    starts = materialize(later_windows(keys, run, words).select("k", "c", "p", "n").distinct(), "later")
+    gathered = starts.groupBy("k", "c").agg(F.collect_list(F.struct("p", "n")).alias("_starts"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_c": F.crc32(text.cast("binary"))})
     joined = rows.join(gathered.hint("shuffle_hash"), (F.col("_k") == F.col("k")) & (F.col("_c") == F.col("c")), "left")
@@ -133,7 +164,7 @@ def without_later_copies(docs: DataFrame, run: int = RUN) -> DataFrame:
             for i, own in enumerate(batch.column(names.index("_starts"))):
                 own = own.as_py()
                 if own:
-                    texts[i] = drop_lines(texts[i], own, run)[0]
+                    texts[i] = drop_covered(texts[i], {x["p"] + o for x in own for o in range(x["n"])})[0]
                 stay.append(not own or bool(texts[i].strip(_SPACE)))
             out = []
             for f in schema.names:

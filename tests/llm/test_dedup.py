@@ -143,6 +143,26 @@ def test_line_dedup_handles_odd_rows(messy, make):
     assert {r.doc_id: (r.text, r.n_chars) for r in left.collect()} == {1: ("a\nb\nc\nd", 7), 2: ("x", 1), 4: (None, None)}
 
 
+@pytest.mark.parametrize("run", [3, 4])
+def test_line_dedup_takes_runs_by_words(make, run):
+    """Later windows of one line and more that have 50 words, or of ``run`` lines, against brute force."""
+    rng = random.Random(run)
+    pool = [" ".join(f"v{i}.{j}" for j in range(n)) for i, n in enumerate([1, 2, 15, 24, 26, 30, 49, 50, 51, 80])] + [" "]
+    docs = {i: "\n".join([f"own {i}", *(rng.choice(pool) for _ in range(rng.randint(0, 5)))]) for i in range(40)}
+    seqs = {i: [x for x in t.split("\n") if x.strip()] for i, t in docs.items()}
+    first, want = {}, {}
+    for i, s in seqs.items():
+        gone = set()
+        for n in range(1, run + 1):
+            for p in range(len(s) - n + 1):
+                w = tuple(s[p : p + n])
+                if first.setdefault(w, (i, p)) != (i, p) and (n == run or sum(len(x.split()) for x in w) >= 50):
+                    gone |= set(range(p, p + n))
+        want[i] = [x for p, x in enumerate(s) if p not in gone]
+    rows = line_dedup.without_later_copies(make(*docs.items()), run).collect()
+    assert {r.doc_id: [x for x in r.text.split("\n") if x.strip()] for r in rows} == {i: k for i, k in want.items() if k}
+
+
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     parts = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
