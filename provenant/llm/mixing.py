@@ -2,8 +2,9 @@
 
 Documents are counted into cells (source, language, topic); the cells' tokens
 are scaled to each target marginal in turn until all agree, and a document is
-sampled with a probability in proportion to its cell's factor, by a hash of its
-id: the same on every run and machine.
+sampled with a probability in proportion to its cell's factor, at most 1, by a
+hash of its id: the same on every run and machine.  The proportion is set so
+that a stated share of all tokens is expected.
 
 Up to ``MAX_CELLS`` cells are fitted on the driver; more of them stay
 distributed, one aggregation per marginal and round.
@@ -11,6 +12,8 @@ distributed, one aggregation per marginal and round.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ MAX_CELLS = 200_000
 ROUNDS = 25
 #: Share of a margin's value in the target: its token share to this power, normalised (fixed values).
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+#: Share of all tokens that a sample is expected to hold.
+BUDGET = 0.25
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -103,18 +108,60 @@ def rake_distributed(cells: DataFrame, powers: dict[str, float] = POWERS, rounds
     return now
 
 
+def scale_to(cells: list[tuple[float, float]], wanted: float) -> float:
+    """The factor f by which sum(tokens * min(1, weight * f)) over cells (weight, tokens) is ``wanted``.
+
+    Cells at 1 are set aside and the rest is solved again, the largest weight
+    first.  If all cells together hold no more than ``wanted``, all are at 1.
+    """
+    left = sorted(((w, n) for w, n in cells if w > 0 and n > 0), reverse=True)
+    mass, full = math.fsum(w * n for w, n in left), 0.0
+    for w, n in left:
+        factor = max(0.0, wanted - full) / mass if mass > 0 else 0.0
+        if w * factor <= 1:
+            return factor
+        mass, full = mass - w * n, full + n
+    return 1 / left[-1][0] if left else 0.0
+
+
+def scale_distributed(cells: DataFrame, wanted: float) -> float:
+    """The same for a table (weight, tokens): bisection in the factor's logarithm, one aggregation a step."""
+    some = cells.filter("weight > 0 AND tokens > 0")
+    low, high, whole = some.agg(F.min("weight"), F.max("weight"), F.sum(F.col("tokens").cast("double"))).first()
+    if low is None:
+        return 0.0
+    if whole <= wanted:
+        return 1 / low
+    a, b = math.log(max(wanted / whole, 1e-300) / high), math.log(1 / low)
+    while b - a > 1e-9:
+        m = (a + b) / 2
+        got = some.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.lit(math.exp(m))))).first()[0]
+        a, b = (m, b) if got < wanted else (a, m)
+    return math.exp(b)
+
+
 def uniform(id_col: str, seed: int) -> Column:
     """A number in [0, 1) from the id and the seed alone: the first 32 bits of an MD5."""
     name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def mix(docs: DataFrame, seed: int = 42, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    seed: int = 42,
+    powers: dict[str, float] = POWERS,
+    rounds: int = ROUNDS,
+    max_cells: int = MAX_CELLS,
+    budget: float | None = BUDGET,
+) -> DataFrame:
     """``docs`` with n_tokens, topic, weight, probability, selected.
 
     ``weight`` is the fitted share of the cell's tokens over its present share;
-    ``probability`` is the weight over the largest weight, so none exceeds 1 and
-    expected token shares are the fitted ones.  A null source or language is a
+    ``probability`` is the weight times one factor, at most 1, so that the share
+    ``budget`` of all tokens is expected: a rare cell that the target favours is
+    kept whole, and expected token shares of the others are in the fitted
+    proportion.  Without a budget it is the weight over the largest weight, so
+    that one rare cell sets the rate of all.  A null source or language is a
     value of its own; documents without tokens have weight and probability 0;
     a null id is sampled under one number; repeated rows are decided alike; an
     empty table gives an empty result.  Columns of ``docs`` by the added names
@@ -129,7 +176,10 @@ def mix(docs: DataFrame, seed: int = 42, powers: dict[str, float] = POWERS, roun
         fitted = rake(rows, default_targets(rows, powers), rounds)
         total = sum(r[3] for r in rows) or 1
         weights = [x * total / r[3] if r[3] else 0.0 for r, x in zip(rows, fitted, strict=True)]
-        top = max(weights, default=0.0) or 1.0
+        if budget is None:
+            top = max(weights, default=0.0) or 1.0
+        else:
+            top = 1 / (scale_to([(w, r[3]) for r, w in zip(rows, weights, strict=True)], budget * total) or 1.0)
         kinds = ", ".join(f"{m} {k}" for m, k in cells.dtypes[:3])
         table = docs.sparkSession.createDataFrame(
             [(*r[:3], w, min(1.0, w / top)) for r, w in zip(rows, weights, strict=True)], f"{kinds}, weight double, probability double"
@@ -140,7 +190,12 @@ def mix(docs: DataFrame, seed: int = 42, powers: dict[str, float] = POWERS, roun
         total = fit.agg(F.sum("tokens").cast("double")).scalar()
         weight = F.coalesce(F.try_divide(F.col("mass") * total, F.col("tokens").cast("double")), F.lit(0.0))
         table = fit.withColumn("weight", weight)
-        top = table.agg(F.max("weight")).scalar()
+        if budget is None:
+            top = table.agg(F.max("weight")).scalar()
+        else:
+            table = materialize(table, "weights")
+            whole = table.agg(F.sum(F.col("tokens").cast("double"))).first()[0] or 0.0
+            top = F.lit(1 / (scale_distributed(table, budget * whole) or 1.0))
         probability = F.least(F.lit(1.0), F.coalesce(F.try_divide("weight", top), F.lit(0.0)))
         table = table.select(*MARGINS, "weight", probability.alias("probability"))
     for m in MARGINS:
@@ -154,8 +209,8 @@ def mix(docs: DataFrame, seed: int = 42, powers: dict[str, float] = POWERS, roun
 
 
 def op1_source_mixing(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, weight, probability, selected) of every document."""
-    return mix(docs.select("doc_id", "text", "source", "lang")).select(
+    """(doc_id, source, lang, topic, n_tokens, weight, probability, selected) of every document, without a budget as in the SQL."""
+    return mix(docs.select("doc_id", "text", "source", "lang"), budget=None).select(
         "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), "selected"
     )
 

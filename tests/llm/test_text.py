@@ -222,3 +222,19 @@ def test_mixing_paths_agree_and_handle_odd_rows(make, messy, cells):
         other = mixing.mix(docs, rounds=3).select("doc_id", "weight").collect()
         a, b = (sorted((str(r.doc_id), round(r.weight, 6)) for r in x) for x in (rows, other))
         assert a == b
+
+
+@pytest.mark.parametrize("cells", [mixing.MAX_CELLS, 0])
+def test_mixing_keeps_its_budget_beside_a_rare_cell(make, cells):
+    docs = make(*[f"w{i} " * 60 for i in range(2000)])
+    stray = make((9999, "one two three four five six")).withColumn("source", F.lit("rare"))
+    for table in (docs, docs.unionByName(stray)):
+        rows = mixing.mix(table, rounds=3, max_cells=cells).select("source", "n_tokens", "probability").collect()
+        whole = sum(r.n_tokens for r in rows)
+        assert math.isclose(sum(r.n_tokens * r.probability for r in rows), mixing.BUDGET * whole, rel_tol=1e-6)
+        assert all(r.probability == 1 for r in rows if r.source == "rare")
+
+
+def test_mixing_factor_saturates():
+    assert math.isclose(mixing.scale_to([(100.0, 10), (1.0, 500), (0.5, 490)], 382.5), 0.5)
+    assert mixing.scale_to([(2.0, 5), (0.5, 5)], 10) == 2 and mixing.scale_to([], 1) == 0
