@@ -7,8 +7,10 @@ it as Parquet below the folder that the cluster names in
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,18 +33,31 @@ def build_session(app: str = "provenant", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
+    """The cluster's shared folder.
+
+    Only a local master, whose tasks all see this machine's disk, may go without
+    the setting: it gets a temporary folder.  Elsewhere that would lose results
+    silently, so it is an error.
+    """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not configured:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="provenant-checkpoint-")
         context.setCheckpointDir(configured)
         configured = context.getCheckpointDir()
     return configured.rstrip("/")
 
 
-#: Removes the shuffle files of a SQL execution when it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set while a table is written.  Its shuffle files go when the write ends; Arrow batches for Python are bounded by
+#: bytes, not only by rows, so a batch of very long texts stays small.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+#: Paths that :func:`materialize` has written and nothing has deleted, in order.
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -53,22 +68,46 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized_path = path
+    _WRITTEN[path] = spark
     return out
 
 
-def release(df: DataFrame | None) -> None:
-    """Delete what :func:`materialize` wrote once nothing reads it any more."""
-    path = getattr(df, "_materialized_path", None)
-    if path is None:
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    if spark is None:
         return
-    spark = df.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete what :func:`materialize` wrote once nothing reads it any more."""
+    for df in tables:
+        if (path := getattr(df, "_materialized_path", None)) is not None:
+            _delete(path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside the block are deleted when it ends, but for those passed to the function that it yields."""
+    before, kept = set(_WRITTEN), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._materialized_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _WRITTEN if p not in before and p not in kept]:
+            _delete(path)
