@@ -3,9 +3,10 @@
 Each task first replaces the edges it holds by stars around the least node of
 each component among them: the same components with fewer edges, and tasks that
 hold edges of one group mostly agree on its star.  What is left is dealt to
-tasks of ``HELD`` edges and replaced once more.  Edges are then linked to the least neighbour, first from larger nodes and then from
-smaller ones, until each component is a star around its least node (a round
-count that grows with the logarithm of the component).  A hub's edges are
+tasks of ``HELD`` edges and replaced once more.  Edges are then linked to the
+least neighbour, first from larger nodes and then from smaller ones, until each
+component is a star around its least node (a round count that grows with the
+logarithm of the component).  A hub's edges are
 never gathered: minima come from partial aggregation and are joined back, where
 adaptive execution splits a hot key.
 """
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release
+from .shared import lean
 
 #: Edges that a task holds before it hands on their stars.
 HELD = 1 << 20
@@ -66,9 +68,9 @@ def components(edges: DataFrame) -> DataFrame:
     empty result.
     """
     kept = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    first = materialize(kept.mapInArrow(_task_stars, "u long, v long"), "stars")
+    first = materialize(kept.mapInArrow(lean(_task_stars), "u long, v long"), "stars")
     tasks = -(-first.count() // HELD)  # a task's share stays the same at every size
-    now = materialize(first.coalesce(max(1, tasks)).mapInArrow(_task_stars, "u long, v long").distinct(), "edges")
+    now = materialize(first.coalesce(max(1, tasks)).mapInArrow(lean(_task_stars), "u long, v long").distinct(), "edges")
     release(first)
     mark = _mark(now)
     while mark[0]:

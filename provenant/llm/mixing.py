@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,10 +181,10 @@ def mix(
             top = max(weights, default=0.0) or 1.0
         else:
             top = 1 / (scale_to([(w, r[3]) for r, w in zip(rows, weights, strict=True)], budget * total) or 1.0)
-        kinds = ", ".join(f"{m} {k}" for m, k in cells.dtypes[:3])
-        table = docs.sparkSession.createDataFrame(
-            [(*r[:3], w, min(1.0, w / top)) for r, w in zip(rows, weights, strict=True)], f"{kinds}, weight double, probability double"
-        )
+        columns = [pa.array([r[i] for r in rows]) for i in range(3)]
+        columns += [pa.array(v, pa.float64()) for v in (weights, [min(1.0, w / top) for w in weights])]
+        table = docs.sparkSession.createDataFrame(pa.table(columns, names=[*MARGINS, "weight", "probability"]))
+        table = table.withColumns({m: F.col(m).cast(k) for m, k in cells.dtypes[:3]})
         table = F.broadcast(table)  # at most max_cells rows
     else:
         fit = rake_distributed(cells, powers, rounds)

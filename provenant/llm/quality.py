@@ -139,7 +139,7 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     signals = list(GRID)
     good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("good"))
     good = good.filter("good = 1").select(F.col("doc_id").alias("_d"))
-    stratum = F.coalesce("lang", F.lit("")).alias("stratum")
+    stratum = F.when(F.col("lang").isNull(), "null").otherwise(F.concat(F.lit("="), "lang")).alias("stratum")  # no language is "null" or empty by chance
     passed = counted.filter("NOT base_failed").select("doc_id", stratum, *signals)
     holdout = passed.join(good, F.col("doc_id") == F.col("_d"), "left_semi")
     chosen = cutoffs(holdout, alpha, delta).groupBy("stratum").agg(
@@ -171,7 +171,7 @@ def op7_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 #: The same result in DuckDB's SQL.
 _TESTS = [(s, c) for s, values in GRID.items() for c in values]
 ORACLE = f"""
-WITH base AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+WITH base AS (SELECT doc_id, CASE WHEN lang IS NULL THEN 'null' ELSE '=' || lang END AS stratum, coalesce(text, '') AS t,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS l FROM documents),
 counted AS (SELECT doc_id, stratum, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,

@@ -19,12 +19,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release, scratch
 from .components import components
-from .shared import mix64, renamed_free, runs_of, split_by, words_of
+from .shared import aside, lean, mix64, renamed_free, runs_of, trim
 
 BITS = 64
 
@@ -59,26 +59,16 @@ def lowered_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def fingerprints(
-    docs: DataFrame, width: int | None, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (42,)
-) -> DataFrame:
-    """(id, fp): fingerprint of the ``width``-word shingles, or of the distinct words if ``width`` is None.
-
-    With several seeds: (id, fp0, fp1...), one fingerprint for each.
-    """
-    names = ["fp"] if len(seeds) == 1 else [f"fp{i}" for i in range(len(seeds))]
+def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp): fingerprint of the ``width``-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.empty((len(seeds), batch.num_rows), np.uint64)
-            for i, text in enumerate(batch.column(1)):
-                words = lowered_words(text.as_py())
-                features = sorted(set(words)) if width is None else shingles(words, width)
-                fps[:, i] = [fingerprint(features, s) for s in seeds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f.view(np.int64)) for f in fps]], names=["id", *names])
+            fps = [fingerprint(shingles(lowered_words(text.as_py()), width)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    return renamed_free(docs, id_col, text_col).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
+    return renamed_free(docs, id_col, text_col).mapInArrow(lean(run), f"id {kind}, fp long")
 
 
 def covering_masks(radius: int, bits: int = BITS) -> np.ndarray:
@@ -92,6 +82,8 @@ def covering_masks(radius: int, bits: int = BITS) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
+#: Distinct fingerprints of a table's part: what one task holds, at every size of the corpus.
+PART = 100_000
 #: Buckets over this size are first split by blocks of their free bits.
 DIRECT = 2048
 
@@ -114,14 +106,26 @@ def forest(f: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _middle(f: np.ndarray) -> int:
+    """Place of the fingerprint nearest to the majority of every bit."""
+    ones = np.unpackbits(f.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    centre = np.packbits(ones * 2 > len(f), bitorder="little").view(np.uint64)[0]
+    return int(np.bitwise_count(f ^ centre).argmin())
+
+
 def _search(f: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Breadth-first search in which every found fingerprint leaves the candidates."""
-    edges, left, ahead = [], f[1:], [f[0]]
+    """Breadth-first search in which every found fingerprint leaves the candidates.
+
+    It starts in the middle: of edited copies that is mostly the original, to
+    which all of them are nearer than to each other, in whatever table.
+    """
+    edges, left, ahead = [], f, []
     while len(left):
         if not ahead:
-            ahead, left = [left[0]], left[1:]
+            at = _middle(left)
+            ahead, left = [left[at]], np.delete(left, at)
             continue
-        u = ahead.pop()
+        u = ahead.pop(0)
         near = np.bitwise_count(left ^ u) <= radius
         if near.any():
             found = left[near]
@@ -154,18 +158,18 @@ def links(distinct: DataFrame, radius: int, n: int) -> DataFrame:
     Fingerprints travel as packed arrays, one per table part and batch.
     """
     masks = covering_masks(radius)
-    parts = int(min(1024, max(1, -(-n // 100_000))))
+    parts = int(max(1, -(-n // PART)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             names, blobs = [], []
             for t, mask in enumerate(masks):
-                order, bounds = split_by((mix64(f & mask) % np.uint64(parts)).astype(np.int64), parts)
-                for p in range(parts):
-                    if bounds[p + 1] > bounds[p]:
-                        names.append(t * parts + p)
-                        blobs.append(f[order[bounds[p] : bounds[p + 1]]].tobytes())
+                part = (mix64(f & mask) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                for a, b in zip(*runs_of(part[order]), strict=True):
+                    names.append(t * parts + int(part[order[a]]))
+                    blobs.append(f[order[a:b]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "fps"])
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -173,12 +177,12 @@ def links(distinct: DataFrame, radius: int, n: int) -> DataFrame:
         found = bucket_links(f, masks[key[0] // parts], radius).view(np.int64)
         return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "bucket long, fps binary")
+    dealt = distinct.select("fp").mapInArrow(lean(deal), "bucket long, fps binary")
     return dealt.groupBy("bucket").applyInPandas(join, "u long, v long")
 
 
 def simhash_groups(
-    docs: DataFrame, width: int | None = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id_col, fp, component_id) for every row of ``docs``.
 
@@ -188,20 +192,28 @@ def simhash_groups(
     repeated rows stay repeated; an empty table gives an empty result.
     """
     fps = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    found = components(links(classes, radius, classes.count()))
-    placed = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
+    with scratch() as keep:
+        classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+        found = components(materialize(links(classes, radius, classes.count()), "links"))
+        placed = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        placed = materialize(placed, "placed")
+        least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+        of = keep(materialize(placed.select("fp", "root").join(least, "root").select("fp", "component_id"), "components"))
     return fps.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 # -- verified near-duplicates ------------------------------------------------------
 
-#: Distinct shingle sets of a candidate group that are compared in one task.
-GROUP = 1500
-#: Seeds of the fingerprints that candidates are searched by.
-SEEDS = (42, 43)
+#: Bits that the fingerprints of the distinct words may differ in for a pair to be looked at first.
+RADIUS = 4
+#: Counters of the sketch of shingle frequencies (fixed, so its broadcast is), and how many times the mean makes a late shingle.
+SKETCH_BITS, LATE = 18, 4
+#: Prefix places that are searched in one task.
+PLACES = 200_000
+#: 64-bit words of a set's parity map.
+PARITY = 4
+_PLACE = np.dtype([("token", "<u8"), ("key", "<i8"), ("root", "<i8"), ("size", "<i4"), ("at", "<i4")])
+_LATE_PLACE = np.dtype([*_PLACE.descr, ("parity", "<u8", (PARITY,))])
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -210,152 +222,149 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in parts), np.uint64, len(parts)))
 
 
-def similar_links(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within the radius whose sets have a Jaccard similarity of ``least`` or more."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    edges, left, ahead = [], np.arange(1, len(ids)), [0]
-    while len(left):
-        if not ahead:
-            ahead, left = [int(left[0])], left[1:]
-            continue
-        u = ahead.pop()
-        near = np.bitwise_count(fps[left] ^ fps[u]) <= radius
-        near &= np.minimum(size[left], size[u]) >= least * np.maximum(size[left], size[u])
-        at = np.flatnonzero(near)
-        if not len(at):
-            continue
-        own = left[at]
-        flat = np.concatenate([sets[i] for i in own])
-        if len(sets[u]):
-            where = np.minimum(np.searchsorted(sets[u], flat), len(sets[u]) - 1)
-            hits = np.concatenate(([0], np.cumsum(sets[u][where] == flat)))
-        else:
-            hits = np.zeros(len(flat) + 1, np.int64)
-        ends = np.cumsum(size[own])
-        common = hits[ends] - hits[ends - size[own]]
-        whole = size[own] + size[u] - common
-        ok = common >= least * whole - 1e-9
-        edges += [(int(ids[u]), int(ids[v])) for v in own[ok]]
-        ahead += own[ok].tolist()
-        left = np.delete(left, at[ok])
-    return edges
-
-
-def _candidates(fps: DataFrame, radius: int) -> DataFrame:
-    """(id, fp, root) of the rows of ``fps`` whose fingerprint is in a group with another row's."""
-    classes = materialize(fps.groupBy("fp").agg(F.count("*").alias("n")), "classes")
-    found = components(links(classes, radius, classes.count()))
-    placed = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    crowd = placed.groupBy("root").agg(F.sum("n").alias("n")).filter("n > 1").select("root")
-    wanted = materialize(placed.join(crowd, "root", "left_semi").select("fp", "root"), "wanted")
-    return fps.join(wanted, "fp").select("id", "fp", "root")
+def _slot(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-#: One document in so many is counted for the hot shingles: those of HOT and more of them, HOTTEST at most.
-SAMPLE, HOT, HOTTEST = 16, 4, 1 << 19
-#: Prefix places that are searched in one task.
-PLACES = 200_000
-_PLACE = np.dtype([("token", "<u8"), ("id", "<i8"), ("root", "<i8"), ("size", "<i4"), ("at", "<i4")])
+def shingle_counts(rows: DataFrame, width: int) -> np.ndarray:
+    """Document counts of all shingles of all rows, added up in 2^SKETCH_BITS counters.
 
+    Each task adds up its own; their sums are added in a tree, so no task or
+    driver holds more than a few of these fixed-size arrays.  The counts only
+    decide the order of shingles: any order gives the same pairs.
+    """
 
-def hot_shingles(rows: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of frequent shingles.  Any set gives the same pairs: it only decides which shingles come last in prefixes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.uint64)
         for batch in batches:
             for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), width).view(np.int64))], names=["token"])
+                total += np.bincount(_slot(shingle_set(text.as_py(), width)), minlength=len(total)).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.uint64)
+        for batch in batches:
+            for blob in batch.column(0):
+                total += np.frombuffer(blob.as_py(), np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    counts = sample.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= HOT)
-    got = counts.orderBy(F.desc("count"), "token").limit(HOTTEST).select("token").toArrow()
-    return np.sort(got["token"].to_numpy().view(np.uint64))
+    now = materialize(rows.select("text").mapInArrow(lean(count), "counts binary"), "counts")
+    n = now.count()
+    while n > 1:
+        n = -(-n // 16)
+        before, now = now, materialize(now.repartition(n).mapInArrow(add, "counts binary"), "counts")
+        release(before)
+        n = now.count() if n > 1 else 1
+    got = now.collect()  # one row of a fixed size, none without tasks
+    release(now)
+    return np.frombuffer(got[0][0], np.uint64) if got else np.zeros(1 << SKETCH_BITS, np.uint64)
 
 
-def prefix(tokens: np.ndarray, hot: np.ndarray, least: float) -> tuple[np.ndarray, int]:
-    """(the first of ``tokens`` in the order rare by hash, then hot by hash; how many of them are rare).
+def prefix(tokens: np.ndarray, counts: np.ndarray, cut: int, least: float) -> tuple[np.ndarray, int]:
+    """(the first of the set ``tokens`` in the order rare by hash, then late by count; how many of them are rare).
 
     Sets of a similarity of ``least`` share at least that part of either, so
-    one of so many first tokens of both.
+    one of so many first tokens of both, in any order that all sets share.
     """
     n = len(tokens)
     if not n:
         return tokens, 0
-    late = np.zeros(n, bool)
-    if len(hot):
-        late = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
     k = n - int(np.ceil(least * n - 1e-9)) + 1
-    rare = tokens[~late]
-    return np.concatenate((rare, tokens[late]))[:k], min(len(rare), k)
+    seen = counts[_slot(tokens)]
+    late = seen >= cut
+    rare, after, seen = tokens[~late], tokens[late], seen[late]
+    return np.concatenate((rare, after[np.lexsort((after, seen))]))[:k], min(len(rare), k)
+
+
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit per residue of the tokens: set if an odd number of them have it.
+
+    Sets whose maps differ in d bits differ in at least d tokens.
+    """
+    odd = np.bincount((tokens % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
 def prefix_pairs(places: np.ndarray, least: float) -> np.ndarray:
-    """Distinct (u, v), u < v, of other roots that share a token and may be similar by their sizes and the token's places."""
+    """Distinct (u, v), u < v, of other roots that share a token and may be similar.
+
+    What rules a pair out is exact: sizes, the token's places in both sets,
+    and for late tokens the parity maps.
+    """
     places = places[np.lexsort((places["size"], places["token"]))]
     start, end = runs_of(places["token"])
+    late = "parity" in places.dtype.names
     found, held = [np.empty((0, 2), np.int64)], 0
     for a, b in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
-        ids, root, size, at = (places[n][a:b] for n in ("id", "root", "size", "at"))
+        keys, root, size, at = (places[n][a:b] for n in ("key", "root", "size", "at"))
         if (root == root[0]).all():
             continue
         size, after = size.astype(np.int64), size.astype(np.int64) - at
+        maps = places["parity"][a:b] if late else None
         # sizes rise: a place's partners are the later ones of at most size / least
         ends = np.searchsorted(size, size / least + 1e-6, "right").tolist()
         for i in range(b - a - 1):
             j = slice(i + 1, ends[i])
+            both = size[i] + size[j]
             # if the token is the first that they share, no more than what follows it is common
-            common = np.minimum(after[i], after[j])
-            ok = (root[j] != root[i]) & (common * (1 + least) >= least * (size[i] + size[j]) - 1e-6)
+            ok = (root[j] != root[i]) & (np.minimum(after[i], after[j]) * (1 + least) >= least * both - 1e-6)
+            if late and ok.any():
+                ok &= np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1) * (1 + least) <= (1 - least) * both + 1e-6
             if ok.any():
-                other = ids[j][ok]
-                found.append(np.column_stack((np.minimum(other, ids[i]), np.maximum(other, ids[i]))))
+                other = keys[j][ok]
+                found.append(np.column_stack((np.minimum(other, keys[i]), np.maximum(other, keys[i]))))
                 held += len(other)
-        if held > 1 << 20:
+        if held > 1 << 18:
             found = [np.unique(np.concatenate(found), axis=0)]
             held = 0
     return np.unique(np.concatenate(found), axis=0)
 
 
-def remaining_links(rows: DataFrame, prefixes: DataFrame, roots: DataFrame, width: int, least: float) -> DataFrame:
-    """(u, v): all pairs of a similarity of ``least`` and more that are not of one root yet.
+def described(rows: DataFrame, width: int, least: float) -> DataFrame:
+    """(id, c, key, fp, size, rare, tokens, parity) of every row of (id, c, text).
 
-    Prefix-filtered join: places (token, document) travel as packed arrays by
-    the token's hash.  A hot token's places are dealt by size as well: bands
-    are so wide that partners are in the same one or the next.
+    ``key`` names the set of shingles (64 bits: two of n sets share it by chance
+    with a probability of n^2 / 2^65), ``fp`` is the fingerprint of the distinct
+    words, ``tokens`` the set's prefix and ``parity`` its map if it is needed.
     """
-    placed = prefixes.join(roots, prefixes["id"] == roots["node"], "left").select("id", "size", "rare", "tokens", F.coalesce("root", "id").alias("root"))
-    n = prefixes.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
-    parts = int(max(1, -(-n // PLACES)))
+    counts = shingle_counts(rows, width)
+    cut = max(16, int(LATE * counts.sum() / len(counts)))
+    held = rows.sparkSession.sparkContext.broadcast(counts)  # 2^SKETCH_BITS numbers
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, blobs = [], []
-            ids, size, rare, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
-            tokens = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(3)]
-            length = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            of = np.repeat(np.arange(len(tokens)), length)
-            if not len(of):
-                continue
-            out = np.empty(len(of), _PLACE)
-            out["token"], out["id"], out["root"], out["size"] = np.concatenate(tokens), ids[of], root[of], size[of]
-            out["at"] = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
-            late = out["at"] >= rare[of]
-            band = np.where(late, 1 + np.floor(np.log(out["size"]) / -np.log(least) + 1e-9) if least < 1 else 1, 0).astype(np.uint64)
-            out = np.concatenate((out, out[late]))
-            band = np.concatenate((band, band[late] + np.uint64(1)))
-            order, bounds = split_by((mix64(out["token"] + band * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64), parts)
-            for p in np.flatnonzero(np.diff(bounds)).tolist():
-                names.append(p)
-                blobs.append(out[order[bounds[p] : bounds[p + 1]]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "places"])
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(prefix_pairs(np.frombuffer(b"".join(group["places"]), _PLACE), least), columns=["u", "v"])
+            out: list[list] = [[] for _ in range(6)]
+            for text in batch.column(2):
+                text = text.as_py()
+                tokens = shingle_set(text, width)
+                first, rare = prefix(tokens, held.value, cut, least)
+                fp = fingerprint(sorted(set(lowered_words(text))))
+                row = (
+                    np.uint64(xxhash.xxh3_64_intdigest(tokens)).view(np.int64), np.uint64(fp).view(np.int64), len(tokens), rare,
+                    first.tobytes(), parity(tokens) if rare < len(first) else None,
+                )
+                for column, v in zip(out, row, strict=True):
+                    column.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            arrays = [batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "c", "key", "fp", "size", "rare", "tokens", "parity"])
+
+    kind = dict(rows.dtypes)["id"]
+    schema = f"id {kind}, c long, key long, fp long, size int, rare int, tokens binary, parity binary"
+    return rows.select("id", "c", "text").mapInArrow(lean(run), schema)
+
+
+def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (u, v) of set keys whose Jaccard similarity is ``least`` or more; written.
+
+    ``reps``: key, id, c of one row of every set.  Only sets that a pair names
+    are made, each once.
+    """
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["key", "hashes"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,97 +375,140 @@ def remaining_links(rows: DataFrame, prefixes: DataFrame, roots: DataFrame, widt
                 keep.append(common >= least * (len(a) + len(b) - common) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    dealt = placed.mapInArrow(deal, "bucket long, places binary")
-    pairs = materialize(dealt.groupBy("bucket").applyInPandas(search, "u long, v long").distinct(), "pairs")
-    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct(), "paired")
-    texts = rows.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = materialize(texts.mapInArrow(sets_of, "id long, hashes binary").distinct(), "remaining")
-    left = sets.select(F.col("id").alias("u"), F.col("hashes").alias("a"))
-    right = sets.select(F.col("id").alias("v"), F.col("hashes").alias("b"))
+    needed = materialize(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "needed")
+    wanted = reps.join(needed, "key", "left_semi").select("key", F.col("id").alias("_id"), F.col("c").alias("_c"))
+    texts = rows.join(wanted.hint("shuffle_hash"), (F.col("c") == F.col("_c")) & F.col("id").eqNullSafe(F.col("_id"))).select("key", "text")
+    sets = materialize(texts.dropDuplicates(["key"]).mapInArrow(lean(sets_of), "key long, hashes binary"), "sets")
+    left = sets.select(F.col("key").alias("u"), F.col("hashes").alias("a"))
+    right = sets.select(F.col("key").alias("v"), F.col("hashes").alias("b"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return both.mapInArrow(verify, "u long, v long").distinct()
-
+    out = materialize(both.mapInArrow(lean(verify), "u long, v long"), "verified")
+    release(needed, sets)
+    return out
 
-def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 7, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """(doc_id, root): documents that are not the least of their group of near-duplicates.
 
-    Two documents are linked if the sets of their ``width``-word shingles have a
-    Jaccard similarity of ``least`` or more.  Three steps find the groups:
-    documents with equal shingle sets are one class; candidates whose
-    fingerprints of the distinct words, under one of the ``seeds``, are within
-    ``radius`` bits are compared exactly, which joins most large groups; and an
-    exact prefix-filtered join finds every pair that these left apart, whatever
-    its fingerprints (see :func:`remaining_links`).
+def prefix_join(prefixes: DataFrame, least: float) -> DataFrame:
+    """(u, v): all pairs of sets of other roots that may have a similarity of ``least`` and more; written.
 
-    A candidate group over ``GROUP`` classes is compared in pairs of blocks.
-    Null ids are not judged; texts without words are one class; rows that repeat
-    an id stand or fall together; no documents give no rows.
+    ``prefixes``: key, root, size, rare, tokens, parity of every set.  Places
+    (token, set) travel as packed arrays by the token's hash.  A late token's
+    places are dealt by size as well: bands are so wide that partners are in
+    the same one or the next.
     """
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fps = fingerprints(rows, None, seeds=seeds)
-    fps = materialize(fps if len(seeds) > 1 else fps.withColumnRenamed("fp", "fp0"), "fingerprints")
-    candidates = None
-    for i in range(len(seeds)):
-        own = _candidates(fps.select("id", F.col(f"fp{i}").alias("fp")), radius).withColumn("seed", F.lit(i))
-        candidates = own if candidates is None else candidates.unionByName(own)
-    candidates = materialize(candidates, "candidates")
-    hot = hot_shingles(rows, width)
-
-    def prefixes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = shingle_set(t.as_py(), width)
-                first, rare = prefix(tokens, hot, least)
-                out.append((i, xxhash.xxh3_128_digest(tokens), len(tokens), rare, first.tobytes()))
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-            columns = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "name", "size", "rare", "tokens"])
-
-    prefixes = materialize(rows.mapInArrow(prefixes_of, "id long, name binary, size int, rare int, tokens binary"), "prefixes")
-    # equal sets have equal words, so equal fingerprints and groups: a class has one representative in all
-    rep = materialize(prefixes.groupBy("name").agg(F.min("id").alias("rep")), "representatives")
-    equal = prefixes.select("id", "name").join(rep, "name").filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    first = rep.select(F.col("name").alias("_name"), "rep")
-    prefixes = prefixes.join(first, (F.col("name") == F.col("_name")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["id", "name"])
+    n = prefixes.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
+    parts = int(max(1, -(-n // PLACES)))
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
-            names = [xxhash.xxh3_128_digest(b) for b in blobs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(blobs, pa.binary())], names=["id", "name", "hashes"])
-
-    reps = candidates.join(rep.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").distinct()
-    reps = materialize(reps, "members")
-    wanted = reps.select(F.col("id").alias("_id")).distinct()
-    joined = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
-    made = materialize(joined.mapInArrow(sets_of, "id long, name binary, hashes binary"), "sets")
-    sizes = reps.groupBy("seed", "root").agg(F.count("*").alias("m")).filter("m > 1").select("seed", "root", F.ceil(F.col("m") / GROUP).alias("blocks"))
-    chosen = reps.join(materialize(sizes, "sizes"), ["seed", "root"])
-    members = made.join(chosen.hint("shuffle_hash"), "id")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    paired = members.withColumn("own", own).withColumn("other", other).select(
-        "id", "name", "fp", "hashes", "seed", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["id", "name", "fp"]).sort_values(["id", "name"])
-        sets = [np.frombuffer(b, np.uint64) for b in group["hashes"]]
-        got = similar_links(group["id"].to_numpy(), group["fp"].to_numpy().view(np.uint64), sets, radius, least)
-        return pd.DataFrame(got, columns=["u", "v"]).astype("int64")
-
-    links_ = paired.groupBy("seed", "root", "i", "j").applyInPandas(compare, "u long, v long")
-    linked = materialize(components(links_.unionByName(equal)), "linked")
-    rest = remaining_links(rows, materialize(prefixes, "prefixes"), linked, width, least)
-    groups = components(rest.unionByName(linked.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    return groups.filter("node <> root").select(F.col("node").alias("doc_id"), "root")
-
-
-def without_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 7) -> DataFrame:
-    """``docs`` with one document, the least id, of each group of near-duplicates; columns keep their names."""
-    gone = materialize(near_duplicates(docs, width, least, radius).select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+            key, root, size, rare = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            tokens = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(4)]
+            length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            of = np.repeat(np.arange(len(tokens)), length)
+            if not len(of):
+                continue
+            token, at = np.concatenate(tokens), np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
+            late = at >= rare[of]
+            names, blobs = [], []
+            for kind, own in ((_PLACE, np.flatnonzero(~late)), (_LATE_PLACE, np.flatnonzero(late))):
+                if not len(own):
+                    continue
+                out, who = np.empty(len(own), kind), of[own]
+                out["token"], out["key"], out["root"], out["size"], out["at"] = token[own], key[who], root[who], size[who], at[own]
+                spread, first = out["token"], 0
+                if kind is _LATE_PLACE:
+                    maps = np.zeros((len(tokens), PARITY), np.uint64)
+                    for i in np.unique(who).tolist():
+                        maps[i] = np.frombuffer(batch.column(5)[i].as_py(), np.uint64)
+                    out["parity"] = maps[who]
+                    band = 1 + np.floor(np.log(out["size"]) / -np.log(least) + 1e-9) if least < 1 else np.ones(len(own))
+                    band, out, first = np.concatenate((band, band + 1)).astype(np.uint64), np.concatenate((out, out)), parts
+                    spread = out["token"] + band * np.uint64(0x9E3779B97F4A7C15)
+                part = (mix64(spread) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                for a, b in zip(*runs_of(part[order]), strict=True):
+                    names.append(first + int(part[order[a]]))
+                    blobs.append(out[order[a:b]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "places"])
+
+    def search(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        kind = _PLACE if key[0] < parts else _LATE_PLACE
+        found = prefix_pairs(np.frombuffer(b"".join(group["places"]), kind), least)
+        trim()
+        return pd.DataFrame(found, columns=["u", "v"])
+
+    rows = prefixes.select("key", "root", "size", "rare", "tokens", "parity")
+    dealt = rows.mapInArrow(lean(deal), "bucket long, places binary")
+    return materialize(dealt.groupBy("bucket").applyInPandas(search, "u long, v long").distinct(), "pairs")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
+    """(id, c, key, root, kept): every row's set of shingles, its group, and whether it is the group's first row.
+
+    ``c`` is the 64-bit hash of the text.  Two documents are linked if the sets
+    of their ``width``-word shingles (64-bit hashes) have a Jaccard similarity
+    of ``least`` or more.  Equal sets are one class from the start.  Then
+
+    1. covering tables find fingerprints of the distinct words within
+       ``radius`` bits; every bucket hands on a spanning forest of them, and each
+       of its links is verified on the sets: linear in the number of classes,
+       and large groups are mostly one from here on;
+    2. an exact prefix-filtered join finds every pair that this left apart,
+       whatever its fingerprints.
+
+    A group's first row is the one of the least id, a null id last, ties by
+    ``c``.  Ids may be of any type that has an order.  Texts without words, null
+    ones too, are one class; rows that repeat both id and text get equal
+    results; an empty table gives an empty result.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("c"), "text")
+    with scratch() as keep:
+        every = materialize(described(rows, width, least), "described")
+        order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("c").alias("c"))
+        classes = every.groupBy("key").agg(F.min(order).alias("rep"), F.min("fp").alias("fp"))
+        classes = materialize(classes.select("key", "fp", "rep.id", "rep.c"), "classes")
+        reps = classes.select("key", "id", "c")
+        # fingerprints stand for their least class; its other classes are linked to it
+        fps = materialize(classes.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+        near = materialize(links(fps, radius, fps.count()).distinct(), "near")
+        name = lambda side: fps.select(F.col("fp").alias(side), F.col("least").alias(f"_{side}"))
+        edges = near.join(name("u"), "u").join(name("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+        alike = classes.join(fps, "fp").filter("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v"))
+        edges = materialize(edges.unionByName(alike), "edges")
+        close = verified(edges, rows, reps, width, least)
+        linked = materialize(components(close), "linked")
+        own = every.join(reps.select(F.col("key").alias("_k"), F.col("id").alias("_i"), F.col("c").alias("_c")), (F.col("key") == F.col("_k")) & (F.col("c") == F.col("_c")) & F.col("id").eqNullSafe(F.col("_i")), "left_semi")
+        roots = linked.select(F.col("node").alias("key"), "root")
+        prefixes = own.select("key", "size", "rare", "tokens", "parity").dropDuplicates(["key"]).join(roots, "key", "left")
+        prefixes = materialize(prefixes.withColumn("root", F.coalesce("root", "key")), "prefixes")
+        rest = verified(prefix_join(prefixes, least), rows, reps, width, least)
+        groups = components(rest.unionByName(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).filter("u <> v")))
+        placed = reps.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        placed = materialize(placed, "placed")
+        first = placed.groupBy("root").agg(F.min(order).alias("first"))
+        whole = placed.select("key", "root").join(first, "root")
+        same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("c") == F.col("first.c"))
+        out = every.select("id", "c", "key").join(whole, "key").select("id", "c", "key", "root", same.alias("kept"))
+        return keep(materialize(out, "groups"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates; columns keep their names.  See :func:`near_duplicates`.
+
+    Of rows that repeat both id and text one stays, whichever.
+    """
+    docs, restore = aside(docs, "doc_id", "text")
+    groups = near_duplicates(docs, width, least, radius)
+    hashed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    name = lambda df, mark: df.select(F.col("id").alias(f"_id{mark}"), F.col("c").alias(f"_c{mark}"))
+    same = lambda mark: F.col("doc_id").eqNullSafe(F.col(f"_id{mark}")) & (F.col("_h") == F.col(f"_c{mark}"))
+    gone = name(groups.filter("NOT kept").select("id", "c").distinct(), "g")
+    out = hashed.join(gone.hint("shuffle_hash"), same("g"), "left_anti")
+    again = groups.filter("kept").groupBy("id", "c").agg(F.count("*").alias("n")).filter("n > 1")
+    again = name(materialize(again.select("id", "c"), "again"), "r")
+    if not again.isEmpty():
+        several = out.join(again, same("r"), "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("_h")))
+        out = out.join(again, same("r"), "left_anti").unionByName(several.filter("_n = 1").drop("_n"))
+    return restore(out)
 
 
 def op2_simhash_near_dedup(docs: DataFrame) -> DataFrame:
@@ -465,4 +517,4 @@ def op2_simhash_near_dedup(docs: DataFrame) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-__all__ = ["op2_simhash_near_dedup", "simhash_groups", "words_of"]
+__all__ = ["near_duplicates", "op2_simhash_near_dedup", "simhash_groups", "without_near_duplicates"]

@@ -254,8 +254,28 @@ def test_verified_near_duplicates(make):
     assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 2, 7, None]
 
 
-def test_near_duplicates_against_brute_force(make, monkeypatch):
-    """Whole groups, by blocks of few classes too: edits of many sizes, repeated ids with other texts."""
+def near_groups(rows, docs, **how):
+    """Wanted and found groups of the distinct (id, text) rows, as sets of row numbers, and the rows kept."""
+    rows = sorted(set(rows), key=str)
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    want = groups(range(len(rows)), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got, kept = {}, {}
+    names = {(i, c): n for n, (i, c) in enumerate((r.doc_id, r.c) for r in docs.sparkSession.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS c").collect())}
+    for r in simhash.near_duplicates(docs, **how).collect():
+        got.setdefault(r.root, set()).add(names[r.id, r.c])
+        if r.kept:
+            kept.setdefault(r.root, set()).add(r.id)
+    by = {}
+    for i, r in want.items():
+        by.setdefault(r, set()).add(i)
+    assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in by.values()}
+    least = lambda g: min((rows[i][0] for i in g), key=lambda i: (i is None, i))
+    assert all(kept[r] == {least(g)} for r, g in got.items())
+    return list(by.values())
+
+
+def test_near_duplicates_against_brute_force(make):
+    """Whole groups: edits of many sizes, repeated ids with other texts, null ids, repeated rows."""
     rng = random.Random(12)
     rows = []
     for base in range(12):
@@ -265,24 +285,14 @@ def test_near_duplicates_against_brute_force(make, monkeypatch):
             words = words.copy()
             for _ in range(rng.choice([0, 1, 2, 4])):
                 words[rng.randrange(len(words))] = f"x{rng.randint(0, 10**6)}"
-    rows += [rows[3], (rows[5][0], rows[30][1])]
-    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
-    linked = {}
-    for i, (a, _) in enumerate(rows):
-        for j, (b, _) in enumerate(rows[:i]):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                linked.setdefault(a, set()).add(b)
-    want = groups(sorted({i for i, _ in rows}), lambda a, b: b in linked.get(a, ()) or a in linked.get(b, ()))
-    for size in (1500, 3):
-        monkeypatch.setattr(simhash, "GROUP", size)
-        got = {r.doc_id: r.root for r in simhash.near_duplicates(make(*rows), seeds=(42, 43, 44)).collect()}
-        assert got == {i: r for i, r in want.items() if i != r}
-
-
-@pytest.mark.parametrize("sample", [1, 16])
-def test_production_default_finds_appended_and_short_copies(make, monkeypatch, sample):
+    rows += [rows[3], (rows[5][0], rows[30][1]), (None, rows[7][1]), (None, "only this"), (None, "only this"), (900, None), (901, "")]
+    assert any(len(g) > 5 for g in near_groups(rows, make(*rows)))
+
+
+@pytest.mark.parametrize("places", [200_000, 500])
+def test_production_default_finds_appended_and_short_copies(make, monkeypatch, places):
     """Short texts with a word more, and long ones with text appended, whatever their fingerprints; a shared passage in all of some."""
-    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    monkeypatch.setattr(simhash, "PLACES", places)
     rng = random.Random(7)
     passage, rows = [f"p{i}" for i in range(30)], []
     for base in range(240):
@@ -290,17 +300,44 @@ def test_production_default_finds_appended_and_short_copies(make, monkeypatch, s
         words = [f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(n)] + (passage if base % 4 == 0 else [])
         more = [f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(max(1, int(n * rng.choice([0.05, 0.15, 0.2, 0.24]))))]
         rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(words + more))]
-    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
-    want = groups(range(len(rows)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    got = {r.doc_id: r.root for r in simhash.near_duplicates(make(*rows)).collect()}
-    assert got == {i: r for i, r in want.items() if i != r} and len(got) > 100
-
-
-def test_similar_links_find_chains():
-    sets = [np.arange(i * 10, i * 10 + 100, dtype=np.uint32) for i in range(6)]
-    ids, fps = np.arange(6), np.zeros(6, np.uint64)
-    assert len(simhash.similar_links(ids, fps, sets, 7, 0.8)) == 5
-    assert not simhash.similar_links(ids, fps, sets, 7, 0.9)
+    assert len(near_groups(rows, make(*rows))) < len(rows) - 100
+
+
+def test_many_copies_with_edits_of_their_own(make):
+    """Copies that are near to the original and not to each other, beside a crowd that is near to nothing."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 60):
+        own = words.copy()
+        own[i] = f"edit{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join([*words[:40], *(f"x{i}.{j}" for j in range(20))])) for i in range(60)]
+    found = near_groups(rows, make(*rows))
+    assert max(map(len, found)) >= 55
+
+
+def test_prefix_filters_lose_nothing():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[: int(n)], rng.integers(0, 2**64, int(rng.integers(0, 30)), dtype=np.uint64)))) for n in rng.integers(20, 300, 120)]
+    counts = np.zeros(1 << simhash.SKETCH_BITS, np.uint64)
+    for x in sets:
+        np.add.at(counts, simhash._slot(x), np.uint64(1))
+    for kind in (simhash._PLACE, simhash._LATE_PLACE):
+        rows = []
+        for i, x in enumerate(sets):
+            first, _ = simhash.prefix(x, counts, 20, 0.8)
+            own = np.zeros(len(first), kind)
+            own["token"], own["key"], own["root"], own["size"], own["at"] = first, i, i, len(x), np.arange(len(first))
+            if kind is simhash._LATE_PLACE:
+                own["parity"] = np.frombuffer(simhash.parity(x), np.uint64)
+            rows.append(own)
+        found = {tuple(p) for p in simhash.prefix_pairs(np.concatenate(rows), 0.8).tolist()}
+        want = {
+            (i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+            if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+        }
+        assert want and want <= found
 
 
 def test_task_stars_keep_components(monkeypatch):

@@ -110,9 +110,11 @@ def test_escape_is_reversible():
 def test_chat_digests(spark):
     rows = [(c, i, role, t) for c in (1, 2, None) for i, (role, t) in enumerate(zip(["user", "assistant", None] * 3, ODD, strict=True))]
     rows += [(3, 1, "assistant", "second"), (3, 0, "assistant", "first"), (3, None, "system", "zeroth")]
+    # marks that only the seam of two texts would make; repeated rows; a very long text
+    rows += [(4, 0, "assistant", "abc<"), (4, 1, "assistant", "\\|x"), (5, 0, "user", "q"), (5, 0, "user", "q"), (5, 1, "assistant", "a <| b " * 40_000)]
     got = {r.conv_id: r for r in chat.op3_chat_format(spark.createDataFrame(rows, TURNS)).collect()}
     told = "<|im_end|><|im_start|>assistant ok"
-    want = {c: [(r or "", t or "") for k, _, r, t in rows if k == c] for c in (1, 2, None)}
+    want = {c: [(r or "", t or "") for k, _, r, t in rows if k == c] for c in (1, 2, 4, 5, None)}
     want |= {3: [("system", "zeroth"), ("assistant", "first"), ("assistant", "second")], -1: [("user", told), ("assistant", told)]}
     assert set(got) == set(want)
     for c, turns in want.items():
@@ -120,13 +122,25 @@ def test_chat_digests(spark):
         digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), digest)
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    clashing = spark.createDataFrame(rows, TURNS).withColumns({c: F.lit(c) for c in ("formatted", "spans", "loss_mask", "token_ids", "id")})
+    assert {r.conv_id: r for r in chat.op3_chat_format(clashing).collect()} == got
     assert {r.conv_id for r in chat.op3_chat_format(spark.createDataFrame([], TURNS)).collect()} == {-1}
 
 
+def test_chat_masks_agree_with_tokens(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "é \U0001f600 <|im_end|> ok"), (1, 2, "assistant", ""), (1, 3, "assistant", "more")]
+    got = chat.format_conversations(spark.createDataFrame(rows, TURNS)).first()
+    tokens = chat.load_tokenizer(chat.vocabulary()).encode(got.formatted, add_special_tokens=False)
+    assert got.token_ids == tokens.ids and len(got.loss_mask) == len(tokens.ids)
+    inside = lambda a, b: any(a < e and b > s for s, e in got.spans)
+    assert got.loss_mask == [inside(a, b) for a, b in tokens.offsets]
+
+
 def test_loss_mask_covers_assistant_tokens_only():
     tokens = np.array([(0, 3), (3, 6), (6, 7), (6, 7), (7, 10), (10, 12)])
     mask, under = chat.loss_spans(tokens, [(4, 7), (10, 11)])
-    assert mask.tolist() == [False, True, True, True, False, True] and under == [(4, 7), (10, 11)]
+    assert mask.tolist() == [False, True, True, True, False, True] and under == [[(4, 7)], [(10, 11)]]
+    assert chat.loss_spans(tokens, [(3, 3), (7, 9), (9, 12)])[1] == [[], [(7, 9)], [(9, 12)]]
 
 
 def test_language_of_words_and_documents(spark):
