@@ -31,7 +31,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Bytes that a vocabulary may have to be broadcast.
 MAX_VOCABULARY = 64 << 20
 #: Characters of formatted text that are encoded and handed on together.
-HELD = 2 << 20
+HELD = 1 << 19
 _OPEN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
 

@@ -261,7 +261,7 @@ def shingle_counts(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def prefix(tokens: np.ndarray, counts: np.ndarray, cut: int, least: float) -> tuple[np.ndarray, int]:
-    """(the first of the set ``tokens`` in the order rare by hash, then late by count; how many of them are rare).
+    """(the first of the set ``tokens``, rarest by ``counts`` first, ties by hash; how many of them are counted under ``cut``).
 
     Sets of a similarity of ``least`` share at least that part of either, so
     one of so many first tokens of both, in any order that all sets share.
@@ -271,9 +271,8 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, cut: int, least: float) -> tu
         return tokens, 0
     k = n - int(np.ceil(least * n - 1e-9)) + 1
     seen = counts[_slot(tokens)]
-    late = seen >= cut
-    rare, after, seen = tokens[~late], tokens[late], seen[late]
-    return np.concatenate((rare, after[np.lexsort((after, seen))]))[:k], min(len(rare), k)
+    order = np.argsort(seen, kind="stable")[:k]  # tokens come sorted by hash
+    return tokens[order], int((seen[order] < cut).sum())
 
 
 def parity(tokens: np.ndarray) -> bytes:
