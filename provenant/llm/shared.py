@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize, release
+
 #: White space between words: space and the controls 9 to 13.
 SPACES = b" \t\n\r\x0b\x0c"
 
@@ -34,6 +36,66 @@ def lean(fn: Callable) -> Callable:
     return run
 
 
+def folded(rows: DataFrame, column: str, fold: Callable[[np.ndarray | None, pa.Array], np.ndarray], add: Callable, kind: str) -> np.ndarray | None:
+    """One array of a fixed size from all rows: each task folds its own into one, and these are combined in a tree.
+
+    No task or driver holds more than a few of them.  ``fold`` takes the array
+    so far (None first) and a batch's column; ``add`` combines two in place.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            total = fold(total, batch.column(0))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for blob in batch.column(0):
+                more = np.frombuffer(blob.as_py(), kind)
+                total = more.copy() if total is None else add(total, more)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    now = materialize(rows.select(column).mapInArrow(lean(own), "part binary"), "folded")
+    while (n := now.count()) > 1:
+        before, now = now, materialize(now.repartition(-(-n // 16)).mapInArrow(both, "part binary"), "folded")
+        release(before)
+    got = now.collect()  # one row, of the array's size
+    release(now)
+    return np.frombuffer(got[0][0], kind) if got else None
+
+
+#: Bits of a filter of 64-bit values (fixed, so its broadcast is): what passes is checked by a join.
+FILTER_BITS = 26
+
+
+def _bit(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    slot = mix64(values.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+    return (slot >> np.uint64(3)).astype(np.int64), (slot & np.uint64(7)).astype(np.uint8)
+
+
+def value_filter(rows: DataFrame, column: str) -> np.ndarray:
+    """A bit array that has every value of a column of longs."""
+
+    def mark(total: np.ndarray | None, values: pa.Array) -> np.ndarray:
+        total = np.zeros(1 << FILTER_BITS - 3, np.uint8) if total is None else total
+        at, bit = _bit(values.to_numpy(zero_copy_only=False))
+        np.bitwise_or.at(total, at, np.uint8(1) << bit)
+        return total
+
+    got = folded(rows, column, mark, lambda a, b: np.bitwise_or(a, b, out=a), "u1")
+    return np.zeros(1 << FILTER_BITS - 3, np.uint8) if got is None else got
+
+
+def may_hold(held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """False where a value is surely not in the filter."""
+    at, bit = _bit(values)
+    return (held[at] >> bit & 1).astype(bool)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -87,6 +149,13 @@ def runs_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], cut)), np.concatenate((cut, [len(sorted_keys)]))
 
 
+def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, positions in it) of the buckets that occur, however many there are."""
+    order = np.argsort(bucket, kind="stable")
+    for a, b in zip(*runs_of(bucket[order]), strict=True):
+        yield int(bucket[order[a]]), order[a:b]
+
+
 def split_by(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, bounds): ``order[bounds[b]:bounds[b+1]]`` are the positions in bucket b."""
     order = np.argsort(bucket, kind="stable")

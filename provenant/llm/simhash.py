@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, release, scratch
 from .components import components
-from .shared import aside, lean, mix64, renamed_free, runs_of, trim
+from .shared import aside, folded, lean, may_hold, mix64, renamed_free, runs_of, trim, value_filter
 
 BITS = 64
 
@@ -222,6 +222,11 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in parts), np.uint64, len(parts)))
 
 
+def set_key(tokens: np.ndarray) -> np.int64:
+    """64 bits that name a set of shingles."""
+    return np.uint64(xxhash.xxh3_64_intdigest(tokens)).view(np.int64)
+
+
 def _slot(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -234,30 +239,18 @@ def shingle_counts(rows: DataFrame, width: int) -> np.ndarray:
     decide the order of shingles: any order gives the same pairs.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint64)
-        for batch in batches:
-            for text in batch.column(0):
-                total += np.bincount(_slot(shingle_set(text.as_py(), width)), minlength=len(total)).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+    def count(total: np.ndarray | None, texts: pa.Array) -> np.ndarray:
+        total = np.zeros(1 << SKETCH_BITS, np.uint64) if total is None else total
+        held = []
+        for text in texts:
+            held.append(_slot(shingle_set(text.as_py(), width)).astype(np.int32))
+            if len(held) == 1000:
+                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint64)
+                held = []
+        return total + np.bincount(np.concatenate([np.empty(0, np.int32), *held]), minlength=len(total)).astype(np.uint64)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint64)
-        for batch in batches:
-            for blob in batch.column(0):
-                total += np.frombuffer(blob.as_py(), np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
-
-    now = materialize(rows.select("text").mapInArrow(lean(count), "counts binary"), "counts")
-    n = now.count()
-    while n > 1:
-        n = -(-n // 16)
-        before, now = now, materialize(now.repartition(n).mapInArrow(add, "counts binary"), "counts")
-        release(before)
-        n = now.count() if n > 1 else 1
-    got = now.collect()  # one row of a fixed size, none without tasks
-    release(now)
-    return np.frombuffer(got[0][0], np.uint64) if got else np.zeros(1 << SKETCH_BITS, np.uint64)
+    got = folded(rows, "text", count, lambda a, b: np.add(a, b, out=a), "<u8")
+    return np.zeros(1 << SKETCH_BITS, np.uint64) if got is None else got
 
 
 def prefix(tokens: np.ndarray, counts: np.ndarray, cut: int, least: float) -> tuple[np.ndarray, int]:
@@ -339,7 +332,7 @@ def described(rows: DataFrame, width: int, least: float) -> DataFrame:
                 first, rare = prefix(tokens, held.value, cut, least)
                 fp = fingerprint(sorted(set(lowered_words(text))))
                 row = (
-                    np.uint64(xxhash.xxh3_64_intdigest(tokens)).view(np.int64), np.uint64(fp).view(np.int64), len(tokens), rare,
+                    set_key(tokens), np.uint64(fp).view(np.int64), len(tokens), rare,
                     first.tobytes(), parity(tokens) if rare < len(first) else None,
                 )
                 for column, v in zip(out, row, strict=True):
@@ -356,14 +349,19 @@ def described(rows: DataFrame, width: int, least: float) -> DataFrame:
 def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (u, v) of set keys whose Jaccard similarity is ``least`` or more; written.
 
-    ``reps``: key, id, c of one row of every set.  Only sets that a pair names
-    are made, each once.
+    ``reps``: key and c of one row of every set.  Sets are made where the texts
+    are, of those that a filter of a fixed size lets through, and met with the
+    wanted keys: texts do not move.
     """
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["key", "hashes"])
+            c = batch.column(0).to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(may_hold(held.value, c))
+            hit = hit[np.unique(c[hit], return_index=True)[1]]  # equal texts of a batch once
+            own = [shingle_set(batch.column(1)[i].as_py(), width) for i in hit.tolist()]
+            arrays = [pa.array([set_key(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "hashes"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,14 +373,15 @@ def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, width: int, lea
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     needed = materialize(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "needed")
-    wanted = reps.join(needed, "key", "left_semi").select("key", F.col("id").alias("_id"), F.col("c").alias("_c"))
-    texts = rows.join(wanted.hint("shuffle_hash"), (F.col("c") == F.col("_c")) & F.col("id").eqNullSafe(F.col("_id"))).select("key", "text")
-    sets = materialize(texts.dropDuplicates(["key"]).mapInArrow(lean(sets_of), "key long, hashes binary"), "sets")
+    wanted = materialize(reps.join(needed, "key", "left_semi").select("c"), "wanted")
+    held = rows.sparkSession.sparkContext.broadcast(value_filter(wanted, "c"))
+    made = rows.select("c", "text").mapInArrow(lean(sets_of), "key long, hashes binary")
+    sets = materialize(made.join(needed, "key", "left_semi").dropDuplicates(["key"]), "sets")
     left = sets.select(F.col("key").alias("u"), F.col("hashes").alias("a"))
     right = sets.select(F.col("key").alias("v"), F.col("hashes").alias("b"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
     out = materialize(both.mapInArrow(lean(verify), "u long, v long"), "verified")
-    release(needed, sets)
+    release(needed, wanted, sets)
     return out
 
 
@@ -475,9 +474,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
         edges = materialize(edges.unionByName(alike), "edges")
         close = verified(edges, rows, reps, width, least)
         linked = materialize(components(close), "linked")
-        own = every.join(reps.select(F.col("key").alias("_k"), F.col("id").alias("_i"), F.col("c").alias("_c")), (F.col("key") == F.col("_k")) & (F.col("c") == F.col("_c")) & F.col("id").eqNullSafe(F.col("_i")), "left_semi")
         roots = linked.select(F.col("node").alias("key"), "root")
-        prefixes = own.select("key", "size", "rare", "tokens", "parity").dropDuplicates(["key"]).join(roots, "key", "left")
+        prefixes = every.select("key", "size", "rare", "tokens", "parity").dropDuplicates(["key"]).join(roots, "key", "left")
         prefixes = materialize(prefixes.withColumn("root", F.coalesce("root", "key")), "prefixes")
         rest = verified(prefix_join(prefixes, least), rows, reps, width, least)
         groups = components(rest.unionByName(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).filter("u <> v")))
