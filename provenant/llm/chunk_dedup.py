@@ -19,15 +19,18 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .keyed import buckets, doc_id, keyed, per_owner, unflag, with_flags
-from .shared import byte_slices, split_by
+from .shared import byte_slices, dealt, lean, trim
 
 #: Bytes the gear hash looks back; no chunk that ends at a boundary is shorter.
 WINDOW = 32
 #: Boundary: this many high bits are zero (one place in 2^BITS).
 BITS = 5
 LONGEST = 512
+#: Bytes of text whose chunks a part decides on.
+PART = 4 << 20
 GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 FLAG = np.dtype([("chunk", "<i8")])
 
@@ -61,7 +64,9 @@ def cuts(ends: list[int], n: int) -> list[int]:
     while n - last > LONGEST:
         last += LONGEST
         out.append(last)
-    if n > last:
+    if out and 0 < n - last < WINDOW:
+        out[-1] = n  # a short end belongs to the chunk before it
+    elif n > last:
         out.append(n)
     return out
 
@@ -77,7 +82,7 @@ def chunks(offsets: np.ndarray, data: np.ndarray) -> Iterator[list[int]]:
 
 def chunk_flags(rows: DataFrame) -> DataFrame:
     """(k, c, flags): packed numbers of the chunks to remove, in any number of rows per document."""
-    parts = buckets(rows)
+    parts, tasks = buckets(rows, PART)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, batch in enumerate(batches):
@@ -88,7 +93,7 @@ def chunk_flags(rows: DataFrame) -> DataFrame:
                 for i, ends in enumerate(chunks(offsets, data)):
                     at, last = int(offsets[i]), 0
                     for j, e in enumerate(ends):
-                        if e - last >= WINDOW:
+                        if e - last >= WINDOW or len(ends) == 1:
                             digests.append(xxhash.xxh3_128_digest(raw[at + last : at + e]))
                             docs.append(first + i)
                             numbers.append(j)
@@ -111,10 +116,8 @@ def chunk_flags(rows: DataFrame) -> DataFrame:
                 for name, v in zip(out, row, strict=True):
                     out[name].append(v)
             d, doc, number = d[same], doc[same], number[same]
-            by, bounds = split_by((d["lo"] % np.uint64(parts)).astype(np.int64), parts)
-            for p in np.flatnonzero(np.diff(bounds)):
-                own = by[bounds[p] : bounds[p + 1]]
-                row = (int(p), None, None, d[own].tobytes(), ks[doc[own]].tobytes(), cs[doc[own]].tobytes(), number[own].astype(FLAG).tobytes())
+            for p, own in dealt((d["lo"] % np.uint64(parts)).astype(np.int64)):
+                row = (p, None, None, d[own].tobytes(), ks[doc[own]].tobytes(), cs[doc[own]].tobytes(), number[own].astype(FLAG).tobytes())
                 for name, v in zip(out, row, strict=True):
                     out[name].append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -135,19 +138,22 @@ def chunk_flags(rows: DataFrame) -> DataFrame:
             lead = np.maximum.accumulate(np.where(new, lead, 0))
         later = (k != k[lead]) | (number["chunk"] != number["chunk"][lead])
         a, b, f = per_owner(k[later], c[later], number[later])
+        trim()
         return pd.DataFrame(
             {"k": np.array([*known["k"], *a], np.int64), "c": np.array([*known["c"], *b], np.int64), "flags": [*known["flags"], *f]}
         )
 
-    dealt = rows.mapInArrow(deal, "bucket long, k long, c long, digests binary, ks binary, cs binary, flags binary")
-    return dealt.groupBy("bucket").applyInPandas(decide, "k long, c long, flags binary")
+    sent = rows.mapInArrow(lean(deal), "bucket long, k long, c long, digests binary, ks binary, cs binary, flags binary")
+    return sent.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(decide, "k long, c long, flags binary")
 
 
 def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, n_bytes, n_chunks, n_removed_chunks, n_removed, kept): what is left of every text.
 
-    A chunk of at least 32 bytes is removed if an equal one comes earlier, by
-    (id, position); shorter ends of documents always stay.  Null texts are
+    A chunk is removed if an equal one comes earlier, by (id, position).  It has
+    32 bytes or more, as a shorter end belongs to the chunk before it, or is a
+    whole text.  A chunk ends after ``LONGEST`` bytes at the latest (31 more at
+    the end of a text).  Null texts are
     empty; a null id comes last; rows that share an id are ordered by position
     alone; repeated rows get equal results; no rows give an empty result.
     ``kept`` is binary: removal may split a character.
@@ -178,13 +184,11 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays(arrays, names=["k", "n_bytes", "n_chunks", "n_removed_chunks", "n_removed", "kept"])
 
     schema = "k long, n_bytes long, n_chunks long, n_removed_chunks long, n_removed long, kept binary"
-    return with_flags(rows, chunk_flags(rows)).mapInArrow(apply, schema)
+    return with_flags(rows, chunk_flags(rows)).mapInArrow(lean(apply), schema)
 
 
 def op10_chunk_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_chunks, n_removed_chunks, n_removed, kept_sha256)."""
-    from pyspark.sql import functions as F
-
     return chunk_dedup(docs).select(
         doc_id(), "n_bytes", "n_chunks", "n_removed_chunks", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )

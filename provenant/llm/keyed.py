@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize, release
+
 #: Order key of a null id: after all others.
 LAST = 2**63 - 1
 
@@ -28,6 +30,15 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """Keyed rows with each (k, c) once; where none repeats, which a count of the keys tells, ``rows`` as they are."""
+    twice = materialize(rows.groupBy("k", "c").agg(F.count("*").alias("n")).filter("n > 1").select("k", "c"), "repeated-rows")
+    if twice.isEmpty():
+        release(twice)
+        return rows
+    return rows.join(twice, ["k", "c"], "left_anti").unionByName(rows.join(twice, ["k", "c"], "left_semi").dropDuplicates(["k", "c"]))
+
+
 def with_flags(rows: DataFrame, flags: DataFrame) -> DataFrame:
     """Adds ``flags`` (an array of packed decisions, null for none) to each keyed row.
 
@@ -38,9 +49,15 @@ def with_flags(rows: DataFrame, flags: DataFrame) -> DataFrame:
     return rows.join(gathered.hint("shuffle_hash"), ["k", "c"], "left")
 
 
-def buckets(df: DataFrame, per_partition: int = 4) -> int:
-    """How many parts to deal packed arrays into: follows the session's shuffle partitions."""
-    return max(16, per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of text that a task takes, whatever the session's shuffle partitions are.
+TASK = 32 << 20
+
+
+def buckets(rows: DataFrame, bytes_each: int) -> tuple[int, int]:
+    """(parts of about ``bytes_each`` bytes of text, tasks for them): both follow the input, so a part never grows with it."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
+    return max(16, -(-total // bytes_each)), tasks
 
 
 def unflag(column: pa.Array, row: int, dtype: np.dtype) -> np.ndarray:

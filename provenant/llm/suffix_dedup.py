@@ -31,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 from .keyed import LAST, buckets, doc_id, keyed, per_owner, unflag, with_flags
-from .shared import byte_slices, mix64, split_by
+from .shared import byte_slices, dealt, lean, mix64, split_by, trim
 
 #: Bytes of the strings that anchors are hashes of.
 SEED = 20
 #: Bytes whose windows are looked at together; longer texts pass piece by piece.
 PIECE = 1 << 20
 BYTES = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of text that a part stands for.
+PART = 1 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 RUN = np.dtype([("start", "<i8"), ("end", "<i8")])
 PLACE = np.dtype([("segment", "<u4"), ("c", "<u4"), ("start", "<i8")])
@@ -119,7 +121,7 @@ def _widen(blob: bytes) -> np.ndarray:
 
 def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
     """(k, anchors): packed anchors of the document that another document has too."""
-    parts = buckets(rows, 16)
+    parts, tasks = buckets(rows, PART)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,13 +148,13 @@ def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
             single, owner, several = name[alone], k[alone], np.unique(name[~alone])
             order = np.argsort(owner, kind="stable")
             single, owner = single[order], owner[order]
-            by, bounds = split_by((single % np.uint64(parts)).astype(np.int64), parts)
-            by2, bounds2 = split_by((several % np.uint64(parts)).astype(np.int64), parts)
-            for p in range(parts):
-                a, b = by[bounds[p] : bounds[p + 1]], by2[bounds2[p] : bounds2[p + 1]]
-                if len(a) or len(b):
-                    for column, v in zip(out.values(), (p, None, six_bytes(single[a]), _narrow(owner[a]), six_bytes(several[b])), strict=True):
-                        column.append(v)
+            nothing = np.empty(0, np.int64)
+            first = dict(dealt((single % np.uint64(parts)).astype(np.int64)))
+            second = dict(dealt((several % np.uint64(parts)).astype(np.int64)))
+            for p in first.keys() | second.keys():
+                a, b = first.get(p, nothing), second.get(p, nothing)
+                for column, v in zip(out.values(), (p, None, six_bytes(single[a]), _narrow(owner[a]), six_bytes(several[b])), strict=True):
+                    column.append(v)
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
@@ -172,10 +174,11 @@ def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
                 shared |= known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
         a, _, blobs = per_owner(k[shared], np.zeros(int(shared.sum()), np.int64), name[shared].astype("<u8"))
         blobs = [six_bytes(np.frombuffer(b, "<u8")) for b in blobs]
+        trim()
         return pd.DataFrame({"k": np.array([*passed["k"], *a], np.int64), "anchors": [*passed["names"], *blobs]})
 
-    dealt = rows.mapInArrow(deal, "bucket long, k long, names binary, ks binary, known binary")
-    return dealt.groupBy("bucket").applyInPandas(decide, "k long, anchors binary")
+    sent = rows.mapInArrow(lean(deal), "bucket long, k long, names binary, ks binary, known binary")
+    return sent.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(decide, "k long, anchors binary")
 
 
 # -- the transform ---------------------------------------------------------------
@@ -317,7 +320,7 @@ def _transform(raw: np.ndarray, offsets: np.ndarray, size: np.ndarray, owners: n
 
 def removals(rows: DataFrame, length: int) -> DataFrame:
     """(k, c, flags): packed byte runs to remove, in any number of rows per document."""
-    parts = buckets(rows, 16)
+    parts, tasks = buckets(rows, PART)
     found = materialize(shared_anchors(rows, length), "anchors")
     gathered = found.groupBy("k").agg(F.collect_list("anchors").alias("anchors"))
     candidates = rows.join(gathered.hint("shuffle_hash"), "k").select("k", "c", "text", "anchors")
@@ -359,19 +362,18 @@ def removals(rows: DataFrame, length: int) -> DataFrame:
             for k, c, blob in zip(*per_owner(ks[doc[later]], cs[doc[later]], runs), strict=True):
                 for column, v in zip(out.values(), ((k ^ c) % parts, k, c, blob, None, None, None, None), strict=True):
                     column.append(v)
-            order, bounds = split_by(part, parts)
+            mine = dict(dealt(part))
             local = np.empty(len(texts), np.int64)
-            local[order] = np.arange(len(texts)) - np.repeat(bounds[:-1], np.diff(bounds))
+            for own in mine.values():
+                local[own] = np.arange(len(own))
             seg, doc, at = seg[~later], doc[~later], at[~later]
             places = np.empty(len(seg), PLACE)
             places["segment"], places["c"], places["start"] = local[seg], cs[doc], at
-            by, edges = split_by(part[seg], parts)
-            ordered = [texts[i] for i in order.tolist()]
-            for p in np.flatnonzero(np.diff(bounds)):
-                a, b = bounds[p], bounds[p + 1]
+            held = dict(dealt(part[seg]))
+            for p, own in mine.items():
                 row = (
-                    int(p), None, None, None, b"".join(ordered[a:b]), size[order[a:b]].astype("<i4").tobytes(),
-                    least[order[a:b]].tobytes(), places[by[edges[p] : edges[p + 1]]].tobytes(),
+                    p, None, None, None, b"".join([texts[i] for i in own.tolist()]), size[own].astype("<i4").tobytes(),
+                    least[own].tobytes(), places[held.get(p, empty)].tobytes(),
                 )
                 for column, v in zip(out.values(), row, strict=True):
                     column.append(v)
@@ -417,7 +419,7 @@ def removals(rows: DataFrame, length: int) -> DataFrame:
         )
 
     schema = "bucket long, k long, c long, flags binary, texts binary, sizes binary, owners binary, places binary"
-    return candidates.mapInArrow(deal, schema).groupBy("bucket").applyInPandas(decide, "k long, c long, flags binary")
+    return candidates.mapInArrow(lean(deal), schema).repartition(tasks, "bucket").groupBy("bucket").applyInPandas(decide, "k long, c long, flags binary")
 
 
 def merged(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -440,7 +442,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     if not SEED < length <= 56:
         raise ValueError("length must be from 21 to 56")
     rows = keyed(docs, id_col, text_col)
-    flags = materialize(removals(rows, length), "removals")
+    with scratch() as keep:
+        flags = keep(materialize(removals(rows, length), "removals"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -459,7 +462,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             arrays = [batch.column("k"), *[pa.array(v, pa.int64()) for v in out[:3]], pa.array(out[3], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["k", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return with_flags(rows, flags).mapInArrow(apply, "k long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_flags(rows, flags).mapInArrow(lean(apply), "k long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_array_dedup(docs: DataFrame) -> DataFrame:
