@@ -3,12 +3,16 @@
 The ranks of one-line prefixes are the line ids.  A round pairs each place's
 rank with the rank ``h`` lines on, so ranks of h-line prefixes become ranks of
 2h-line prefixes, in lexicographic order of line ids.  A place whose prefix is
-unique has its final rank and leaves: only repeated prefixes go on.  Doubling
-stops at ``run`` lines; places of equal rank then form the intervals whose
-common prefix is ``run`` or more.  All but the first place of an interval start
-a later copy, and the lines that such windows cover (their unions are the
-maximal repeated runs) are deleted.  The pipeline's stage also takes a window of
-fewer lines for a run if it has ``WORDS`` words or more.
+unique has its final rank and leaves: only repeated prefixes go on, and rounds
+end when no rank repeats.
+
+Places whose common prefix is a run of the least length (``run`` lines, or fewer
+lines of ``words`` words together) are an interval of the array.  Every place of
+an interval but the first one (by id, then line) starts a later copy.  Its
+common prefix with the first place is read off the ranks of the rounds, the
+longest first: where the ranks of 2^j lines agree, both move on by 2^j.  Starts
+that no equal line precedes on both sides give the maximal repeated runs, each
+with its source and length, and the lines of later copies are deleted.
 """
 
 from __future__ import annotations
@@ -16,90 +20,132 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import number_rows
-from ..session import materialize
-from .keyed import LAST, doc_id, keyed
-from .shared import aside
+from ..session import materialize, release, scratch
+from .keyed import LAST, doc_id, keyed, once
+from .shared import aside, lean
 
-RUN = 3
-#: Words that make a run of fewer lines (in the pipeline; the query's SQL counts lines alone).
-WORDS = 50
+#: The least run: so many lines, or fewer of so many words.
+RUN, WORDS = 3, 50
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def line_ids(rows: DataFrame, counted: bool = False) -> DataFrame:
-    """(k, c, p, r): the lines that have a word, numbered from 0, with a 64-bit id of their text.
+def line_ids(rows: DataFrame, run: int = RUN) -> DataFrame:
+    """(k, c, p, r, w1, w2...): the lines that have a word, numbered from 0, with a 64-bit id of their text.
 
-    ``counted`` adds w and e, the words of the line.
+    ``w<d>`` is the number of words of the d lines from here on, for d < ``run``;
+    null if the text has fewer.
     """
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
-    if counted:
-        words = lambda x: F.size(F.split(F.btrim(x, F.lit(_SPACE)), "[ \\t\\n\\x0B\\f\\r]+", -1)).cast("long")
-        both = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("r"), words(x).alias("w")))
-        return rows.select("k", "c", F.posexplode(both).alias("p", "x")).select("k", "c", "p", "x.r", "x.w", F.col("x.w").alias("e"))
-    ids = F.transform(lines, lambda x: F.xxhash64(x))
-    return rows.select("k", "c", F.posexplode(ids).alias("p", "r"))
+    words = lambda x: F.size(F.split(F.btrim(x, F.lit(_SPACE)), "[ \\t\\n\\x0B\\f\\r]+", -1))
+    named = rows.select("k", "c", F.transform(lines, lambda x: F.xxhash64(x)).alias("ids"), F.transform(lines, words).alias("n"))
 
+    def place(r: Column, i: Column) -> Column:
+        sums, total = [], F.lit(0)
+        for d in range(1, run):
+            total = total + F.get("n", i + d - 1)
+            sums.append(total.alias(f"w{d}"))
+        return F.struct(r.alias("r"), *sums)
 
-def _repeated(state: DataFrame) -> DataFrame:
+    return named.select("k", "c", F.posexplode(F.transform("ids", place)).alias("p", "x")).select("k", "c", "p", "x.*")
+
+
+def _repeated(state: DataFrame, *names: str) -> DataFrame:
     """Places whose rank another place has too.
 
     The small side of this and the later joins is a written table, so adaptive
     execution can split a rank that very many places share.
     """
-    twice = state.groupBy(F.col("r").alias("_r")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_r")
-    twice = materialize(twice, "repeated")
-    return state.join(twice, state["r"] == twice["_r"], "left_semi")
+    twice = state.groupBy(*[F.col(n).alias(f"_{n}") for n in names]).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    return materialize(twice, "repeated")
+
+
+def _ahead(state: DataFrame, lines: int) -> DataFrame:
+    """Adds b: the rank so many lines on in the same text; places without one go."""
+    at = Window.partitionBy("k", "c").orderBy("p").rangeBetween(lines, lines)
+    return state.withColumn("b", F.max("r").over(at)).filter("b IS NOT NULL")
+
+
+def rank_rounds(ids: DataFrame, run: int) -> list[DataFrame]:
+    """Written (k, c, p, r, w...) for prefixes of 1, 2, 4... lines: the places whose prefix is repeated."""
+    twice = _repeated(ids, "r")
+    rounds = [materialize(ids.join(twice, ids["r"] == twice["_r"], "left_semi"), "ranks")]
+    release(twice)
+    while not rounds[-1].isEmpty():
+        h = 1 << len(rounds) - 1
+        state = rounds[-1] if h < run else rounds[-1].select("k", "c", "p", "r")
+        pairs = materialize(_ahead(state, h).withColumnRenamed("r", "a"), "pairs")
+        ranks = materialize(number_rows(_repeated(pairs, "a", "b"), ["_a", "_b"], "_rank"), "ranked")
+        ranked = pairs.join(ranks, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
+        rounds.append(materialize(ranked.select("k", "c", "p", F.col("_rank").alias("r"), *state.columns[4:]), "ranks"))
+        release(pairs, ranks)
+    return rounds[:-1]
 
 
-def _later(state: DataFrame, n: int) -> DataFrame:
-    """(k, c, p, n, source_k, source_p): places of ``state`` after the first one of their rank."""
-    first = state.groupBy(F.col("r").alias("_r")).agg(F.min(F.struct("k", "p")).alias("f"))
+def _later(state: DataFrame, *names: str) -> DataFrame:
+    """(k, c, p, f): places of ``state`` after the first one, f, of their interval."""
+    first = state.groupBy(*[F.col(n).alias(f"_{n}") for n in names]).agg(F.min(F.struct("k", "p", "c")).alias("f"))
     first = materialize(first, "first")
-    joined = state.join(first, state["r"] == first["_r"])
-    later = joined.filter((F.col("k") > F.col("f.k")) | (F.col("p") > F.col("f.p")))
-    return later.select("k", "c", "p", F.lit(n).alias("n"), F.col("f.k").alias("source_k"), F.col("f.p").alias("source_p"))
+    same = [state[n] == first[f"_{n}"] for n in names]
+    joined = state.join(first, same)
+    return joined.filter((F.col("k") > F.col("f.k")) | (F.col("p") > F.col("f.p"))).select("k", "c", "p", "f")
 
 
-def later_windows(rows: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
-    """(k, c, p, n, source_k, source_p): windows of n = ``run`` lines that start later than their first copy.
+def maximal_runs(rows: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
+    """(k, c, p, n, source_k, source_p): the maximal repeated runs of later copies; written.
 
-    With ``words``, windows of fewer lines that have so many words are there
-    too; windows then grow by one line a round, and w and e are the words of a
-    window and of its last line.  Order is (k, p).  Duplicated rows are one place.
+    ``n`` lines from line p on equal those from line ``source_p`` of ``source_k``
+    on, which is the first place of the least run that starts at p; neither the
+    lines before nor those behind are equal (or the latter have another first
+    place).  Order is (k, p).
     """
-    counts = ["w", "e"] if words is not None else []
-    state, h, short = materialize(_repeated(line_ids(rows, words is not None)), "lines"), 1, []
-    while h < run:
-        if words is not None:
-            short.append(_later(state.filter(F.col("w") >= words), h))
-        s = min(h, run - h) if words is None else 1
-        ahead = Window.partitionBy("k", "c").orderBy("p").rangeBetween(s, s)
-        pairs = state.withColumn("b", F.max("r").over(ahead))
-        if words is not None:
-            pairs = pairs.withColumn("e", F.max("e").over(ahead)).withColumn("w", F.col("w") + F.col("e"))
-        pairs = pairs.filter("b IS NOT NULL").withColumnRenamed("r", "a")
-        pairs = materialize(pairs, "pairs")
-        again = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-        ranks = materialize(number_rows(again, ["_a", "_b"], "_rank"), "ranked")
-        ranked = pairs.join(ranks, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
-        state, h = materialize(ranked.select("k", "c", "p", F.col("_rank").alias("r"), *counts), "ranks"), h + s
-    out = _later(state, run)
-    for more in short:
-        out = out.unionByName(more)
-    return out
-
-
-def drop_lines(text: str, starts: list[int], run: int) -> tuple[str, int, int]:
-    """(text without the covered lines, lines removed, maximal runs); lines without a word stay and are not numbered."""
-    return drop_covered(text, {s + i for s in starts for i in range(run)})
+    with scratch() as keep:
+        ids = materialize(line_ids(once(rows), run), "lines")
+        rounds = rank_rounds(ids, run)
+        release(ids)
+        starts = None
+        for d in range(1, run + 1):
+            j = d.bit_length() - 1
+            if j >= len(rounds):
+                break
+            state, names = rounds[j], ["r"]
+            if d < run:
+                if words is None:
+                    continue
+                state = state.filter(F.col(f"w{d}") >= words)
+            if d > 1 << j:  # a prefix of d lines is two overlapping ones of 2^j
+                state, names = _ahead(rounds[j], d - (1 << j)), ["r", "b"]
+                if d < run:
+                    state = state.filter(F.col(f"w{d}") >= words)
+            later = _later(state, *names)
+            starts = later if starts is None else starts.unionByName(later)
+        kinds = dict(rows.dtypes)
+        if starts is None:
+            empty = f"k {kinds['k']}, c long, p int, n int, source_k {kinds['k']}, source_p int"
+            return keep(materialize(rows.sparkSession.createDataFrame([], empty), "runs"))
+        starts = materialize(starts.distinct(), "starts")
+        # inside a run the line before is one too
+        before = starts.select(F.col("k").alias("_k"), F.col("c").alias("_c"), (F.col("p") + 1).alias("_p"), "f.*").select(
+            "_k", "_c", "_p", F.struct("k", (F.col("p") + 1).alias("p"), "c").alias("_f")
+        )
+        same = (F.col("k") == F.col("_k")) & (F.col("c") == F.col("_c")) & (F.col("p") == F.col("_p")) & (F.col("f") == F.col("_f"))
+        heads = materialize(starts.join(before, same, "left_anti").withColumn("n", F.lit(0)), "heads")
+        for j in range(len(rounds) - 1, -1, -1):
+            ranks = rounds[j].select(F.col("k").alias("_k"), F.col("c").alias("_c"), F.col("p").alias("_p"), F.col("r").alias("_r"))
+            other = ranks.toDF("_fk", "_fc", "_fp", "_fr")
+            heads = heads.join(ranks, (F.col("k") == F.col("_k")) & (F.col("c") == F.col("_c")) & (F.col("p") + F.col("n") == F.col("_p")), "left")
+            heads = heads.join(other, (F.col("f.k") == F.col("_fk")) & (F.col("f.c") == F.col("_fc")) & (F.col("f.p") + F.col("n") == F.col("_fp")), "left")
+            step = F.when(F.col("_r") == F.col("_fr"), F.lit(1 << j)).otherwise(F.lit(0))
+            heads = heads.select("k", "c", "p", "f", (F.col("n") + step).alias("n"))
+        out = heads.select("k", "c", "p", "n", F.col("f.k").alias("source_k"), F.col("f.p").alias("source_p"))
+        return keep(materialize(out, "runs"))
 
 
 def drop_covered(text: str, gone: set[int]) -> tuple[str, int, int]:
-    """The same for the numbers of the covered lines."""
+    """(text without the lines of these numbers, lines removed, maximal runs); lines without a word stay and are not numbered."""
     kept, p = [], 0
     for line in text.split("\n"):
         if line.strip(_SPACE):
@@ -111,60 +157,66 @@ def drop_covered(text: str, gone: set[int]) -> tuple[str, int, int]:
     return "\n".join(kept), len(gone), sum(g - 1 not in gone for g in gone)
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _covered(runs: list[dict] | None) -> set[int]:
+    return {x["p"] + o for x in runs or () for o in range(x["n"])}
+
+
+def _gathered(rows: DataFrame, run: int, words: int | None) -> DataFrame:
+    """(k, c, runs) of the texts that have any."""
+    runs = maximal_runs(rows, run, words).select("k", "c", "p", "n").distinct()
+    return runs.groupBy("k", "c").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
+
+
+def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, c, n_lines, n_removed, n_runs, kept): every row's text without later copies.
 
-    A line goes if it is covered by ``run`` consecutive lines (lines without a
-    word are skipped, not counted) whose first copy, by (id, line number), is
-    elsewhere and earlier.  Null texts are empty; null ids come last; rows that
-    share an id are ordered by line number alone; repeated rows get equal
-    results; no rows give an empty result.
+    A line goes if it is covered by ``run`` consecutive lines, or by fewer of
+    ``words`` words together, (lines without a word are skipped, not counted)
+    whose first copy, by (id, line number), is elsewhere and earlier.  Null texts
+    are empty; null ids come last; rows that share an id are ordered by line
+    number alone; repeated rows get equal results; no rows give an empty result.
     """
     rows = keyed(docs, id_col, text_col)
-    starts = materialize(later_windows(rows, run).select("k", "c", "p").distinct(), "later")
-    gathered = starts.groupBy("k", "c").agg(F.collect_list("p").alias("starts"))
-    joined = rows.join(gathered.hint("shuffle_hash"), ["k", "c"], "left").select("k", "c", "text", "starts")
+    joined = rows.join(_gathered(rows, run, words).hint("shuffle_hash"), ["k", "c"], "left").select("k", "c", "text", "runs")
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, runs, kept = [], [], [], []
             for text, own in zip(batch.column(2), batch.column(3), strict=True):
                 text, own = text.as_py(), own.as_py()
-                left, a, b = drop_lines(text, own, run) if own else (text, 0, 0)
+                left, a, b = drop_covered(text, _covered(own)) if own else (text, 0, 0)
                 for column, v in zip((n, removed, runs, kept), (text.count("\n") + 1, a, b, left), strict=True):
                     column.append(v)
             arrays = [batch.column(0), batch.column(1), *[pa.array(v, pa.int64()) for v in (n, removed, runs)], pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["k", "c", "n_lines", "n_removed", "n_runs", "kept"])
 
-    return joined.mapInArrow(run_, "k long, c long, n_lines long, n_removed long, n_runs long, kept string")
+    schema = f"k {dict(rows.dtypes)['k']}, c long, n_lines long, n_removed long, n_runs long, kept string"
+    return joined.mapInArrow(lean(run_), schema)
 
 
 def without_later_copies(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """``docs`` with later copies of line runs deleted from ``text`` (and ``n_chars`` set anew).
 
-    A run is ``run`` lines, or fewer lines of ``words`` words and more.
-    A document that had words and keeps none was a copy throughout and goes;
-    null, empty and wordless texts stay as they are.  Other columns are kept,
-    whatever their names.
+    See :func:`dedup_lines`.  A document that had words and keeps none was a
+    copy throughout and goes; null, empty and wordless texts stay as they are.
+    Other columns are kept, whatever their names.
     """
-    keys = keyed(docs)
+    gathered = _gathered(keyed(docs), run, words).select(F.col("k").alias("_k"), F.col("c").alias("_c"), F.col("runs").alias("_runs"))
     docs, restore = aside(docs, "doc_id", "text", "n_chars")
     schema = docs.schema
-    starts = materialize(later_windows(keys, run, words).select("k", "c", "p", "n").distinct(), "later")
-    gathered = starts.groupBy("k", "c").agg(F.collect_list(F.struct("p", "n")).alias("_starts"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_c": F.crc32(text.cast("binary"))})
-    joined = rows.join(gathered.hint("shuffle_hash"), (F.col("_k") == F.col("k")) & (F.col("_c") == F.col("c")), "left")
-    joined = joined.select(*docs.columns, "_starts")
+    rows = docs.withColumns({"_dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_dc": F.crc32(text.cast("binary"))})
+    joined = rows.join(gathered.hint("shuffle_hash"), (F.col("_dk") == F.col("_k")) & (F.col("_dc") == F.col("_c")), "left")
+    joined = joined.select(*docs.columns, "_runs")
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             texts, stay = batch.column(names.index("text")).to_pylist(), []
-            for i, own in enumerate(batch.column(names.index("_starts"))):
+            for i, own in enumerate(batch.column(names.index("_runs"))):
                 own = own.as_py()
                 if own:
-                    texts[i] = drop_covered(texts[i], {x["p"] + o for x in own for o in range(x["n"])})[0]
+                    texts[i] = drop_covered(texts[i], _covered(own))[0]
                 stay.append(not own or bool(texts[i].strip(_SPACE)))
             out = []
             for f in schema.names:
@@ -176,26 +228,31 @@ def without_later_copies(docs: DataFrame, run: int = RUN, words: int | None = WO
                 out.append(column)
             yield pa.RecordBatch.from_arrays(out, names=schema.names).filter(pa.array(stay, pa.bool_()))
 
-    return restore(joined.mapInArrow(run_, schema))
+    return restore(joined.mapInArrow(lean(run_), schema))
 
 
 def op9_line_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_runs, kept_sha256): runs of three lines and more."""
+    """(doc_id, n_lines, n_removed, n_runs, kept_sha256): runs of three lines and more, or of 50 words and more."""
     return dedup_lines(docs).select(doc_id(), "n_lines", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def oracle(run: int = RUN, docs: str = "documents") -> str:
+def oracle(run: int = RUN, words: int = WORDS, docs: str = "documents") -> str:
     """DuckDB SQL of the query (ids are not null and not repeated in the driver's tables)."""
     word = "regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')"
+    n_words = "len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''))"
     grams = ", ".join(f"lead(line, {i}) OVER w AS l{i}" for i in range(1, run))
-    names = ", ".join(["line", *[f"l{i}" for i in range(1, run)]])
+    sums = ", ".join(f"sum(n) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {d - 1} FOLLOWING) AS w{d}" for d in range(1, run))
+    starts = []
+    for d in range(1, run + 1):
+        names = ", ".join(["line", *[f"l{i}" for i in range(1, d)]])
+        fits = " AND ".join(([f"l{d - 1} IS NOT NULL"] if d > 1 else []) + ([f"w{d} >= {words}"] if d < run else []))
+        starts.append(f"SELECT doc_id, p, {d} AS d FROM (SELECT *, row_number() OVER (PARTITION BY {names} ORDER BY doc_id, p) AS i FROM grams WHERE {fits}) WHERE i > 1")
     return f"""WITH every AS (SELECT doc_id, UNNEST(string_split(coalesce(text, ''), chr(10))) AS line,
       UNNEST(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM {docs}),
-    numbered AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM every WHERE {word}),
-    grams AS (SELECT doc_id, p, line, {grams} FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-    starts AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY {names} ORDER BY doc_id, p) AS n FROM grams
-      WHERE l{run - 1} IS NOT NULL) WHERE n > 1),
-    gone AS (SELECT DISTINCT doc_id, p + o AS p FROM starts, range(0, {run}) AS r(o)),
+    numbered AS (SELECT doc_id, i, line, {n_words} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM every WHERE {word}),
+    grams AS (SELECT doc_id, p, line, {grams}, {sums} FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+    starts AS ({" UNION ALL ".join(starts)}),
+    gone AS (SELECT DISTINCT doc_id, p + o AS p FROM starts, range(0, {run}) AS r(o) WHERE o < d),
     runs AS (SELECT doc_id, count(*) AS n, count(*) FILTER (b IS NULL OR b < p - 1) AS runs FROM
       (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS b FROM gone) GROUP BY 1),
     kept AS (SELECT e.doc_id, count(*) AS n_lines, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (g.p IS NULL), '') AS kept
