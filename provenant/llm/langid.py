@@ -6,9 +6,11 @@ of the lexicon, of the word itself; learned transition scores say how languages
 follow each other.  Forward-backward gives every word's label probabilities,
 and a document's language is the one with the largest expected number of words.
 
-The model is fitted on a bounded sample: ``PER_LANG`` documents of each language
-(chosen by a hash of their ids) with ``PIECES`` pieces of ``PIECE`` words each,
-spliced to code-switched sequences.  Prediction covers whole texts.
+The model is fitted on a bounded sample of labelled rows: the first ones of each
+language by a hash of their ids, at most ``PER_LANG`` and only while their texts
+together are under an equal share of ``SAMPLE_BYTES`` (one at least).  Their
+whole texts are used, and runs of their words are spliced to code-switched
+sequences.  Prediction covers whole texts.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import byte_slices, mix64
+from .shared import byte_slices, lean, mix64
 
-#: Bounds of the training sample.
-PER_LANG, PIECES, PIECE = 250, 3, 64
+#: Bounds of the training sample: rows of a language, bytes of all texts.
+PER_LANG, SAMPLE_BYTES = 250, 8 << 20
+#: Languages that a model may have, which is checked, and cells of its feature table: its size is bounded by both.
+MAX_LANGS, CELLS = 100, 1 << 22
 TABLE_BITS = 17
 LENGTH, SEQUENCES, EPOCHS, BATCH = 48, 4000, 6, 200
 #: A word is in the lexicon if the sample holds it this often.
@@ -60,14 +64,18 @@ _ALPHA[97:123] = True
 _ALPHA[128:] = True
 
 
-def _row(code: np.ndarray, kind: int) -> np.ndarray:
+def table_bits(langs: int) -> int:
+    return min(TABLE_BITS, (CELLS // max(langs, 1)).bit_length() - 1)
+
+
+def _row(code: np.ndarray, kind: int, bits: int) -> np.ndarray:
     """Table rows 1 to 2^bits - 1; row 0 stays zero."""
     salt = np.uint64(kind * 0xD6E8FEB86659FD93 % 2**64)
-    mixed = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt) >> np.uint64(64 - TABLE_BITS)
+    mixed = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt) >> np.uint64(64 - bits)
     return np.maximum(mixed, np.uint64(1)).astype(np.int32)
 
 
-def words_in(offsets: np.ndarray, data: np.ndarray) -> Words:
+def words_in(offsets: np.ndarray, data: np.ndarray, bits: int = TABLE_BITS) -> Words:
     b = _LOWER[data]
     word = ~_SPACE[data]
     start = word.copy()
@@ -85,8 +93,8 @@ def words_in(offsets: np.ndarray, data: np.ndarray) -> Words:
     affixes = np.zeros((len(s), 6), np.int32)
     for n, code in ((1, wide[:-3]), (2, wide[:-3] << 8 | wide[1:-2]), (3, three)):
         has = size >= n
-        affixes[has, n - 1] = _row(code[s[has]], n)
-        affixes[has, n + 2] = _row(code[e[has] - n], n + 3)
+        affixes[has, n - 1] = _row(code[s[has]], n, bits)
+        affixes[has, n + 2] = _row(code[e[has] - n], n + 3, bits)
     counts = np.maximum(size - 2, 0)
     total = int(counts.sum())
     at = np.arange(total) + np.repeat(s - (np.cumsum(counts) - counts), counts)
@@ -97,7 +105,7 @@ def words_in(offsets: np.ndarray, data: np.ndarray) -> Words:
     ends = (three[s] >> (24 - 8 * edge).astype(np.uint32)).astype(np.uint64) << np.uint64(8) | np.minimum(size, 255).astype(np.uint64)
     name = mix64(sums[last] - sums[last - counts] + mix64(ends))
     letters = np.concatenate(([0], np.cumsum(_ALPHA[b])))
-    return Words(doc, affixes, _row(code, 7), counts, name, letters[e] > letters[s])
+    return Words(doc, affixes, _row(code, 7, bits), counts, name, letters[e] > letters[s])
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -206,16 +214,18 @@ def fit(pieces: list[tuple[str, str]], seed: int = 6) -> Model:
     rng = np.random.default_rng(seed)
     index = {lang: i for i, lang in enumerate(langs)}
     pieces = sorted(pieces)
-    raw = [t.encode("utf-8", "surrogatepass") for _, t in pieces]
+    raw, bits = [t.encode("utf-8", "surrogatepass") for _, t in pieces], table_bits(size)
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-    w = words_in(offsets, np.frombuffer(b"".join(raw), np.uint8))
+    w = words_in(offsets, np.frombuffer(b"".join(raw), np.uint8), bits)
     label = np.array([index[lang] for lang, _ in pieces])[w.doc]
     names, counts = np.unique(w.name, return_counts=True)
     names = names[counts >= LEXICON_MIN]
-    model = Model(langs, np.zeros((2**TABLE_BITS, size), np.float32), names, np.zeros((len(names) + 1, size), np.float32), np.zeros((size, size)))
+    model = Model(langs, np.zeros((2**bits, size), np.float32), names, np.zeros((len(names) + 1, size), np.float32), np.zeros((size, size)))
     lexicon = model.lexicon_row(w.name)
     begin = np.cumsum(w.counts) - w.counts
-    by_lang = [np.flatnonzero(label == i) for i in range(size)]
+    by_lang = [own for i in range(size) if len(own := np.flatnonzero(label == i))]
+    if not by_lang:
+        return model
     squares, squares_e, squares_m = np.full_like(model.table, 1e-6), np.full_like(model.entries, 1e-6), np.full((size, size), 1e-6)
     for _ in range(EPOCHS):
         for _ in range(SEQUENCES // BATCH):
@@ -224,7 +234,7 @@ def fit(pieces: list[tuple[str, str]], seed: int = 6) -> Model:
             for i in range(BATCH):
                 got = 0
                 while got < LENGTH:
-                    run, own = min(int(rng.integers(4, 29)), LENGTH - got), by_lang[rng.integers(size)]
+                    run, own = min(int(rng.integers(4, 29)), LENGTH - got), by_lang[rng.integers(len(by_lang))]
                     at = int(rng.integers(max(1, len(own) - run)))
                     part = own[at : at + run]
                     seq[i, got : got + len(part)] = part
@@ -245,7 +255,7 @@ def fit(pieces: list[tuple[str, str]], seed: int = 6) -> Model:
             residual[np.arange(len(words)), label[words]] += 1.0
             rows = np.concatenate((flat, w.affixes[words].T.ravel()))
             value = np.concatenate((np.repeat(residual, n, axis=0), np.tile(residual, (6, 1))))
-            grad = np.stack([np.bincount(rows, weights=value[:, c], minlength=2**TABLE_BITS) for c in range(size)], axis=1)
+            grad = np.stack([np.bincount(rows, weights=value[:, c], minlength=2**bits) for c in range(size)], axis=1)
             grad[0] = 0.0
             grad_e = np.stack([np.bincount(lexicon[words], weights=residual[:, c], minlength=len(names) + 1) for c in range(size)], axis=1)
             grad_e[-1] = 0.0
@@ -273,28 +283,25 @@ def _pair_counts(psi: np.ndarray, step: np.ndarray, size: int) -> np.ndarray:
     return (joint / joint.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
 
 
-def training_pieces(docs: DataFrame) -> list[tuple[str, str]]:
-    """(language, piece) pairs of the bounded sample; pieces start at hashed places of the texts."""
+def training_texts(docs: DataFrame) -> list[tuple[str, str]]:
+    """(language, whole text) pairs of the bounded sample, as many and as long as the module's bounds allow."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    ranked = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(order)))
-    chosen = ranked.filter(F.col("_n") <= PER_LANG).select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"))
-    # at most PER_LANG rows for each language that is learned
-    sample = rows.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("lang") == F.col("_l")), "left_semi")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, texts = [], []
-            for key, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = text.split()
-                for j in range(min(PIECES, -(-len(words) // PIECE))):
-                    at = int(mix64(np.array([(key or 0) * PIECES + j], np.int64).view(np.uint64))[0] % max(1, len(words) - PIECE + 1))
-                    langs.append(lang)
-                    texts.append(" ".join(words[at : at + PIECE]) + " ")
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string())], names=["lang", "piece"])
-
-    got = sample.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(cut, "lang string, piece string").collect()
-    return [(r[0], r[1]) for r in got if r[1].strip()]
+    langs = rows.select("lang").distinct().limit(MAX_LANGS + 1).count()
+    if langs > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages: give coarser labels")
+    own = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    order = Window.partitionBy("lang").orderBy(own, "_bytes")
+    ranked = rows.select("doc_id", "lang", F.octet_length("text").alias("_bytes")).withColumn("_n", F.row_number().over(order))
+    first = ranked.filter(F.col("_n") <= PER_LANG)
+    first = first.withColumn("_upto", F.sum("_bytes").over(Window.partitionBy("lang").orderBy("_n")))
+    first = first.filter((F.col("_n") == 1) | (F.col("_upto") <= SAMPLE_BYTES // max(langs, 1)))
+    chosen = first.select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("_bytes").alias("_b")).distinct()
+    # at most PER_LANG rows for each of at most MAX_LANGS languages
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("lang") == F.col("_l")) & (F.octet_length("text") == F.col("_b"))
+    sample = rows.join(F.broadcast(chosen), same, "left_semi")
+    # rows that repeat id, language and length would be more than was ranked
+    texts = sample.select("lang", "text").distinct().orderBy("lang", F.md5("text"), "text").limit(PER_LANG * max(langs, 1))
+    return [(r[0], r[1]) for r in texts.collect() if r[1].strip()]
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,10 +311,11 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     text if no language was learned; ``score`` is the expected share of the
     predicted language's words; ``n_langs`` counts languages with an expected
     tenth of the words or more.  Repeated rows repeat; null ids are kept; no rows
-    give an empty result.
+    give an empty result.  Ids may be of any type.  Over ``MAX_LANGS`` languages
+    are an error.
     """
     if model is None:
-        pieces = training_pieces(docs)
+        pieces = training_texts(docs)
         model = fit(pieces) if pieces else None
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
@@ -320,7 +328,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
             texts = batch.column(2)
             if m is not None:
                 for first, offsets, data in byte_slices(texts, 1 << 20):
-                    w = words_in(offsets, data)
+                    w = words_in(offsets, data, table_bits(len(m.langs)))
                     mass = document_mass(m.emissions(w), w.doc, w.letter, len(offsets) - 1, m.moves)
                     total = mass.sum(axis=1)
                     best = mass.argmax(axis=1)
@@ -334,7 +342,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "held_out", "lang_pred", "score", "n_langs"])
 
     rows = docs.select(id_col, held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, n_langs long")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, n_langs long")
 
 
 def op6_language_id(docs: DataFrame) -> DataFrame:
