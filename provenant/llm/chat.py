@@ -12,6 +12,7 @@ conversation at a time, never a group of them.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -152,6 +153,7 @@ def format_conversations(turns: DataFrame, folder: str = TOKENIZERS) -> DataFram
     held = turns.sparkSession.sparkContext.broadcast(vocabulary(folder))  # of a checked size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         tokenizer = load_tokenizer(held.value)
 
         def encoded(convs: list, texts: list[str], spans: list) -> pa.RecordBatch:

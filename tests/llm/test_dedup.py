@@ -88,20 +88,19 @@ def brute_chunks(docs):
             if (p + 1 - last >= chunk_dedup.WINDOW and not h >> (32 - chunk_dedup.BITS)) or p + 1 - last == chunk_dedup.LONGEST:
                 parts.append(b[last : p + 1])
                 last = p + 1
-        parts += [b[last:]] if last < len(b) else []
-        kept = []
-        for x in parts:
-            if len(x) < chunk_dedup.WINDOW or x not in seen:
-                kept.append(x)
-            if len(x) >= chunk_dedup.WINDOW:
-                seen.add(x)
+        tail = b[last:]
+        if parts and len(tail) < chunk_dedup.WINDOW:
+            parts[-1] += tail
+        else:
+            parts += [tail] if tail else []
+        kept = [x for x in parts if x not in seen and not seen.add(x)]
         whole = b"".join(kept)
         got[i] = (len(b), len(parts), len(parts) - len(kept), len(b) - len(whole), hashlib.sha256(whole).hexdigest())
     return got
 
 
 def test_chunk_dedup_matches_a_rolling_hash(make, messy):
-    docs = dict(enumerate(texts(2) + ["a" * 3000, "a" * 3000]))
+    docs = dict(enumerate(texts(2) + ["a" * 3000, "a" * 3000, "short", "short", "shor"]))
     rows = chunk_dedup.op10_chunk_dedup(make(*docs.items())).collect()
     assert {r[0]: tuple(r[1:]) for r in rows} == brute_chunks(docs)
     assert chunk_dedup.op10_chunk_dedup(messy).count() == messy.count()
@@ -114,25 +113,51 @@ def test_chunks_resist_an_insertion(make):
     assert rows[1].n_removed > 0.9 * len(base)
 
 
-def brute_lines(docs, run):
-    first, got = {}, {}
-    seqs = {i: [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")] for i, t in docs.items()}
-    for i in sorted(seqs):
-        for p in range(len(seqs[i]) - run + 1):
-            first.setdefault(tuple(seqs[i][p : p + run]), (i, p))
+def line_docs(seed, n=40):
+    rng = random.Random(seed)
+    pool = [" ".join(f"v{i}.{j}" for j in range(n)) for i, n in enumerate([1, 1, 2, 3, 15, 24, 26, 30, 49, 50, 51, 80])] + ["", "  "]
+    docs = {i: "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for i in range(n)}
+    for i in range(n, n + 6):  # long common runs
+        a, b = rng.sample(range(n), 2)
+        docs[i] = docs[a] + "\n" + docs[b]
+    return docs
+
+
+def brute_runs(docs, run, words):
+    """{(doc, line): (n, source, source line)} of the maximal runs, and the covered lines of each document."""
+    seqs = {i: [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")] for i, t in sorted(docs.items())}
+    first, starts = {}, set()
     for i, s in seqs.items():
-        gone = {p + o for p in range(len(s) - run + 1) if first[tuple(s[p : p + run])] != (i, p) for o in range(run)}
-        got[i] = len(gone)
-    return got
-
-
-@pytest.mark.parametrize("run", [2, 3, 5])
-def test_line_dedup_is_exact(make, run):
-    rng = random.Random(run)
-    pool = [f"line {i}" for i in range(12)] + ["", "  "]
-    docs = {i: "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for i in range(40)}
-    rows = line_dedup.dedup_lines(make(*docs.items()), run).collect()
-    assert {r.k: r.n_removed for r in rows} == brute_lines(docs, run)
+        for p in range(len(s)):
+            for d in range(1, run + 1):
+                w = tuple(s[p : p + d])
+                if len(w) == d and (d == run or words is not None and sum(len(x.split()) for x in w) >= words):
+                    source = first.setdefault(w, (i, p))
+                    if source != (i, p):
+                        starts.add((i, p, *source))
+    runs, gone = set(), {i: set() for i in docs}
+    for i, p, j, q in starts:
+        if (i, p - 1, j, q - 1) not in starts:
+            n = 0
+            while p + n < len(seqs[i]) and q + n < len(seqs[j]) and seqs[i][p + n] == seqs[j][q + n]:
+                n += 1
+            runs.add((i, p, n, j, q))
+            gone[i] |= set(range(p, p + n))
+    return runs, {i: [x for p, x in enumerate(s) if p not in gone[i]] for i, s in seqs.items()}, gone
+
+
+@pytest.mark.parametrize("run,words", [(2, None), (3, 50), (3, None), (4, 50), (5, 30)])
+def test_maximal_runs_are_exact(make, run, words):
+    docs = line_docs(run)
+    want, kept, gone = brute_runs(docs, run, words)
+    got = line_dedup.maximal_runs(line_dedup.keyed(make(*docs.items())), run, words)
+    assert {(r.k, r.p, r.n, r.source_k, r.source_p) for r in got.collect()} == want
+    assert max(n for _, _, n, _, _ in want) > 8
+    rows = line_dedup.dedup_lines(make(*docs.items()), run, words).collect()
+    assert {r.k: r.n_removed for r in rows} == {i: len(g) for i, g in gone.items()}
+    left = line_dedup.without_later_copies(make(*docs.items()), run, words).collect()
+    stay = {i for i, k in kept.items() if k or not docs[i].strip()}
+    assert {r.doc_id: [x for x in r.text.split("\n") if x.strip()] for r in left} == {i: kept[i] for i in stay}
 
 
 def test_line_dedup_handles_odd_rows(messy, make):
@@ -143,26 +168,6 @@ def test_line_dedup_handles_odd_rows(messy, make):
     assert {r.doc_id: (r.text, r.n_chars) for r in left.collect()} == {1: ("a\nb\nc\nd", 7), 2: ("x", 1), 4: (None, None)}
 
 
-@pytest.mark.parametrize("run", [3, 4])
-def test_line_dedup_takes_runs_by_words(make, run):
-    """Later windows of one line and more that have 50 words, or of ``run`` lines, against brute force."""
-    rng = random.Random(run)
-    pool = [" ".join(f"v{i}.{j}" for j in range(n)) for i, n in enumerate([1, 2, 15, 24, 26, 30, 49, 50, 51, 80])] + [" "]
-    docs = {i: "\n".join([f"own {i}", *(rng.choice(pool) for _ in range(rng.randint(0, 5)))]) for i in range(40)}
-    seqs = {i: [x for x in t.split("\n") if x.strip()] for i, t in docs.items()}
-    first, want = {}, {}
-    for i, s in seqs.items():
-        gone = set()
-        for n in range(1, run + 1):
-            for p in range(len(s) - n + 1):
-                w = tuple(s[p : p + n])
-                if first.setdefault(w, (i, p)) != (i, p) and (n == run or sum(len(x.split()) for x in w) >= 50):
-                    gone |= set(range(p, p + n))
-        want[i] = [x for p, x in enumerate(s) if p not in gone]
-    rows = line_dedup.without_later_copies(make(*docs.items()), run).collect()
-    assert {r.doc_id: [x for x in r.text.split("\n") if x.strip()] for r in rows} == {i: k for i, k in want.items() if k}
-
-
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     parts = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []

@@ -204,12 +204,29 @@ def test_decontamination_is_exact(spark, make):
     for block in (1 << 20, 40):
         got = decontaminate.contamination(table, bench, block=block)
         assert {(r.doc_id, r.item_id) for r in got.collect()} == want
-    left = {r.doc_id for r in decontaminate.decontaminated(table, bench).collect()}
-    assert left == {d for d, _ in docs} - {d for d, _ in want}
+    for block in (1 << 20, 40):
+        left = {r.doc_id for r in decontaminate.decontaminated(table, bench, block=block).collect()}
+        assert left == {d for d, _ in docs} - {d for d, _ in want}
+    inside = {(d, 1) for d, t in docs if f" {items[1][1]} " in f" {(t or '').lower()} "}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(table, bench, short_from=3).collect()}
+    assert got == want | inside and inside - want
     assert decontaminate.contamination(table, bench.limit(0)).count() == 0
     assert decontaminate.contamination(table.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 3])
+def test_decontamination_handles_odd_rows(messy, spark, block):
+    """Repeated documents repeat, ids and items may be text, clashing columns stay, very long texts are searched whole."""
+    long = "".join(f"word{i} other{i % 97}\n" for i in range(30_000)).split()
+    items = [("a", " ".join(long[-20:])), ("a", "something else that is nowhere at all"), ("b", " ".join(long[500:520])), (None, " ".join(long[:20])), ("c", None)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = messy.withColumn("doc_id", F.col("doc_id").cast("string")).withColumns({c: F.lit(c) for c in ("id", "item", "d", "s", "n_item", "value")})
+    got = decontaminate.contamination(docs, bench, block=block)
+    assert sorted((r.doc_id, r.item_id, r.containment) for r in got.collect()) == sorted((d, i, 1.0) for d in "344" for i in "ab")
+    left = decontaminate.decontaminated(docs, bench, block=block)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {"1", "2", "5", "6", None}
+
+
 def test_bins_hold_the_miss_bound():
     for c in range(12):
         block, bits = decontaminate.bins_of(c, 0.8, 1e-12)
