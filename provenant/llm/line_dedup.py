@@ -19,8 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import number_rows
@@ -39,28 +41,34 @@ def line_ids(rows: DataFrame, run: int = RUN) -> DataFrame:
     ``w<d>`` is the number of words of the d lines from here on, for d < ``run``;
     null if the text has fewer.
     """
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
-    words = lambda x: F.size(F.split(F.btrim(x, F.lit(_SPACE)), "[ \\t\\n\\x0B\\f\\r]+", -1))
-    named = rows.select("k", "c", F.transform(lines, lambda x: F.xxhash64(x)).alias("ids"), F.transform(lines, words).alias("n"))
 
-    def place(r: Column, i: Column) -> Column:
-        sums, total = [], F.lit(0)
-        for d in range(1, run):
-            total = total + F.get("n", i + d - 1)
-            sums.append(total.alias(f"w{d}"))
-        return F.struct(r.alias("r"), *sums)
-
-    return named.select("k", "c", F.posexplode(F.transform("ids", place)).alias("p", "x")).select("k", "c", "p", "x.*")
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ids, words = [], [], []
+            for i, text in enumerate(batch.column(2)):
+                for line in text.as_py().encode("utf-8", "surrogatepass").split(b"\n"):
+                    if n := len(line.split()):
+                        at.append(i)
+                        ids.append(xxhash.xxh3_64_intdigest(line))
+                        words.append(n)
+            at, words = np.array(at, np.int32), np.array(words, np.int64)
+            upto, place = np.concatenate(([0], np.cumsum(words))), np.arange(len(at))
+            first = np.searchsorted(at, at, "left")
+            end = np.searchsorted(at, at, "right")
+            own = pa.array(at)
+            out = {"k": batch.column(0).take(own), "c": batch.column(1).take(own), "p": pa.array((place - first).astype(np.int32))}
+            out["r"] = pa.array(np.array(ids, np.uint64).view(np.int64))
+            for d in range(1, run):
+                out[f"w{d}"] = pa.array((upto[np.minimum(place + d, len(at))] - upto[place]).astype(np.int32), mask=place + d > end)
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    sums = "".join(f", w{d} int" for d in range(1, run))
+    return rows.select("k", "c", "text").mapInArrow(lean(name), f"k {dict(rows.dtypes)['k']}, c long, p int, r long{sums}")
 
 
 def _repeated(state: DataFrame, *names: str) -> DataFrame:
-    """Places whose rank another place has too.
-
-    The small side of this and the later joins is a written table, so adaptive
-    execution can split a rank that very many places share.
-    """
-    twice = state.groupBy(*[F.col(n).alias(f"_{n}") for n in names]).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return materialize(twice, "repeated")
+    """The ranks that more than one place has."""
+    return state.groupBy(*[F.col(n).alias(f"_{n}") for n in names]).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
 
 
 def _ahead(state: DataFrame, lines: int) -> DataFrame:
@@ -71,17 +79,18 @@ def _ahead(state: DataFrame, lines: int) -> DataFrame:
 
 def rank_rounds(ids: DataFrame, run: int) -> list[DataFrame]:
     """Written (k, c, p, r, w...) for prefixes of 1, 2, 4... lines: the places whose prefix is repeated."""
-    twice = _repeated(ids, "r")
+    twice = materialize(_repeated(ids, "r"), "repeated")
     rounds = [materialize(ids.join(twice, ids["r"] == twice["_r"], "left_semi"), "ranks")]
     release(twice)
     while not rounds[-1].isEmpty():
         h = 1 << len(rounds) - 1
         state = rounds[-1] if h < run else rounds[-1].select("k", "c", "p", "r")
         pairs = materialize(_ahead(state, h).withColumnRenamed("r", "a"), "pairs")
-        ranks = materialize(number_rows(_repeated(pairs, "a", "b"), ["_a", "_b"], "_rank"), "ranked")
+        # numbers come from written range partitions, so a rank that very many places share can be split in the join
+        ranks = number_rows(_repeated(pairs, "a", "b"), ["_a", "_b"], "_rank")
         ranked = pairs.join(ranks, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
         rounds.append(materialize(ranked.select("k", "c", "p", F.col("_rank").alias("r"), *state.columns[4:]), "ranks"))
-        release(pairs, ranks)
+        release(pairs)
     return rounds[:-1]
 
 

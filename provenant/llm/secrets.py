@@ -98,7 +98,7 @@ def _exists(spark, path: str) -> bool:
 
 def update_ledger(versions: DataFrame, ledger_dir: str | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
     """Scans the blobs of ``versions`` (path, blob_id, text) that the ledger lacks under this rule
-    version; returns the ledger rows of all its blobs.
+    version; returns one ledger row for each of its blobs, also where two writers scanned one at once.
 
     With ``ledger_dir`` the ledger is a Parquet folder that grows by one write per
     call; without, it is empty and lives for this call.  One path per blob is
@@ -119,7 +119,8 @@ def update_ledger(versions: DataFrame, ledger_dir: str | None = None, rule_versi
     if ledger_dir is None:
         return materialize(materialize(fresh, "scanned").dropDuplicates(["blob_id"]), "ledger")
     fresh.dropDuplicates(["blob_id"]).write.mode("append").parquet(ledger_dir)
-    return spark.read.parquet(ledger_dir).filter(F.col("rule_version") == rule_version)
+    ledger = spark.read.parquet(ledger_dir).filter(F.col("rule_version") == rule_version)
+    return ledger.join(names.select("blob_id").distinct(), "blob_id", "left_semi").dropDuplicates(["blob_id"])
 
 
 def find_secrets(docs: DataFrame, ledger_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

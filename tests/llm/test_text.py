@@ -85,13 +85,21 @@ def test_ledger_scans_each_blob_once(spark, make, tmp_path):
     first = secrets.with_blob(make("token=abcdefg", "token=abcdefg", "plain"))
     assert secrets.update_ledger(first, where).count() == 2
     second = secrets.with_blob(make("token=abcdefg", "fresh secret=qwertyu"))
-    assert secrets.update_ledger(second, where).count() == 3
+    assert secrets.update_ledger(second, where).count() == 2 and spark.read.parquet(where).count() == 3
+    spark.read.parquet(where).write.mode("append").parquet(f"{where}-twice")
+    spark.read.parquet(where).write.mode("append").parquet(f"{where}-twice")  # as if two writers had met
+    got = secrets.find_secrets(make("token=abcdefg", "token=abcdefg", "plain"), f"{where}-twice")
+    assert sorted(r.spans for r in got.collect()) == ["", "assign:0:13", "assign:0:13"]
     assert secrets.update_ledger(second, where, rule_version=2).count() == 2
     assert spark.read.parquet(where).groupBy("blob_id", "rule_version").count().filter("count > 1").count() == 0
 
 
 def test_secrets_handle_odd_rows(messy, make):
-    assert secrets.op4_secret_scan(messy).count() == messy.count()
+    held = messy.withColumn("text", F.when(F.col("doc_id") == 4, F.concat("text", F.lit("secret: abcdef"))).otherwise(F.col("text")))
+    got = secrets.op4_secret_scan(held.withColumns({c: F.lit(c) for c in ("blob_id", "spans", "path", "at")})).collect()
+    size = len(messy.filter("doc_id = 4").first().text)
+    assert sorted((str(r.doc_id), r.spans) for r in got if r.spans) == [("4", f"assign:{size}:{size + 14}")] * 2
+    assert len(got) == messy.count() and all(r.n_assign == (r.doc_id == 4) for r in got)
     assert secrets.op4_secret_scan(make().limit(0)).count() == 0
 
 
@@ -161,6 +169,36 @@ def test_language_of_words_and_documents(spark):
     assert langid.op6_language_id(docs.limit(0)).count() == 0
 
 
+def test_languages_are_bounded_and_ids_free(spark, messy):
+    rows = [(2**63 - 1 - i, f"{'alpha beta gamma' if i % 2 else 'eins zwei drei'} {i} " * 8, "xx" if i % 2 else "yy") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {str(r.doc_id): (r.lang_pred, r.held_out) for r in langid.op6_language_id(docs).collect()}
+    assert {p for p, _ in want.values()} == {"xx", "yy"}
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("string")).withColumns({c: F.lit(c) for c in ("held_out", "score", "_n", "_d")})
+    got = langid.op6_language_id(named.unionByName(named))  # repeated rows get equal results
+    assert {r.doc_id: (r.lang_pred, r.held_out) for r in got.collect()} == want and got.count() == 120
+    assert langid.op6_language_id(messy).count() == messy.count()
+    with pytest.raises(ValueError):
+        langid.op6_language_id(docs.withColumn("lang", F.col("doc_id").cast("string")).unionByName(spark.range(400).selectExpr("id AS doc_id", "'a b' AS text", "string(id) AS lang")))
+    assert langid.table_bits(4) == 17 and langid.table_bits(100) * 1 <= 15
+
+
+def test_expected_pairs_equal_an_enumeration():
+    rng = np.random.default_rng(4)
+    psi, step = np.exp(rng.normal(size=(3, 4, 3))), np.exp(rng.normal(size=(3, 3)))
+    want = np.zeros((3, 3))
+    for n in range(3):
+        own, whole = np.zeros((3, 3)), 0.0
+        for path in np.ndindex(3, 3, 3, 3):
+            # the first label has been reached from any of the labels alike
+            weight = step[:, path[0]].sum() * np.prod([psi[n, t, x] for t, x in enumerate(path)]) * np.prod([step[a, b] for a, b in zip(path, path[1:], strict=False)])
+            whole += weight
+            for a, b in zip(path, path[1:], strict=False):
+                own[a, b] += weight
+        want += own / whole
+    assert np.allclose(langid._pair_counts(psi, step, 3), want)
+
+
 def test_chunked_recursion_equals_the_plain_one():
     rng = np.random.default_rng(2)
     moves = rng.normal(size=(3, 3))
@@ -242,6 +280,30 @@ def test_raking_meets_the_margins(spark):
             assert math.isclose(sum(x for c, x in zip(cells, mass, strict=True) if c[i] == v), t, abs_tol=1e-6)
 
 
+@pytest.mark.parametrize("cells", [mixing.MAX_CELLS, 0])
+def test_mixing_meets_given_targets(make, cells):
+    texts = [f"{'star planet' if i % 3 else 'goal match'} {'w ' * (20 + i % 50)}" for i in range(600)]
+    docs = make(*texts).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3)).withColumn("lang", F.when(F.col("doc_id") % 4 != 0, "en"))
+    topic = mixing.topic_by_words({"space": ["star", "planet"], "sport": ["goal", "match"]})
+    # the topic follows the source here, so targets of both must agree
+    targets = {"source": {"s0": 0.5, "s1": 0.2, "absent": 0.1}, "lang": {None: 0.7}, "topic": {"sport": 0.5 / 0.9}}
+    rows = mixing.mix(docs, targets, topic, max_cells=cells, budget=0.1).select("source", "lang", "topic", "n_tokens", "probability").collect()
+    assert {r.topic for r in rows} == {"space", "sport"}
+    whole = sum(r.n_tokens * r.probability for r in rows)
+    share = lambda **k: sum(r.n_tokens * r.probability for r in rows if all(r[c] == v for c, v in k.items())) / whole
+    assert math.isclose(whole, 0.1 * sum(r.n_tokens for r in rows), rel_tol=1e-6)
+    assert math.isclose(share(source="s0"), 0.5 / 0.9, rel_tol=1e-6) and math.isclose(share(source="s1"), 0.2 / 0.9, rel_tol=1e-6)
+    assert math.isclose(share(lang=None), 0.7, rel_tol=1e-6)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"lang": {"en": -1}}, max_cells=cells)
+
+
+def test_fitting_warns_of_targets_that_no_table_meets():
+    cells = [("a", "x", "p", 5), ("b", "y", "p", 5)]
+    with pytest.warns(UserWarning, match="margins differ"):
+        mixing.rake(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 1.0}}, 50)
+
+
 @pytest.mark.parametrize("cells", [mixing.MAX_CELLS, 0])
 def test_mixing_paths_agree_and_handle_odd_rows(make, messy, cells):
     docs = messy.unionByName(make(*[(i, f"w{i} " * (i % 70)) for i in range(100, 200)]), allowMissingColumns=True)
