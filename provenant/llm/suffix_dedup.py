@@ -47,13 +47,12 @@ RUN = np.dtype([("start", "<i8"), ("end", "<i8")])
 PLACE = np.dtype([("segment", "<u4"), ("c", "<u4"), ("start", "<i8")])
 
 
-def window_anchors(data: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
-    """A 48-bit anchor for each window of ``length`` bytes, from its bytes (and the salt) alone."""
-    span = length - SEED + 1
+def rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of every string of ``width`` bytes, put together from strings of powers of two."""
     with np.errstate(over="ignore"):
         h, power, n, parts = BYTES[data], STEP, 1, {}
-        while n <= SEED:
-            if SEED & n:
+        while n <= width:
+            if width & n:
                 parts[n] = (h, power)
             h, power, n = (h[:-n] * power + h[n:] if len(h) > n else h[:0]), power * power, 2 * n
         whole, used = None, 0
@@ -63,7 +62,13 @@ def window_anchors(data: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
             else:
                 fit = max(0, len(data) - used - n + 1)
                 whole, used = whole[:fit] * power + h[used : used + fit], used + n
-    low, n = mix64(whole ^ np.uint64(salt)), 1
+    return whole
+
+
+def window_anchors(data: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """A 48-bit anchor for each window of ``length`` bytes, from its bytes (and the salt) alone."""
+    span = length - SEED + 1
+    low, n = mix64(rolling(data, SEED) ^ np.uint64(salt)), 1
     while 2 * n <= span:
         low, n = np.minimum(low[:-n], low[n:]), 2 * n
     if span > n:
@@ -268,10 +273,47 @@ def open_boundaries(symbols: np.ndarray, order: np.ndarray, length: int) -> np.n
 LIMIT = 1 << 20
 
 
+def repeating(texts: list[bytes], length: int) -> np.ndarray:
+    """True for the texts that hold a window that these texts have twice (by hash: a few more may be true)."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(size)
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    if len(joined) < length:
+        return np.zeros(len(texts), bool)
+    h = rolling(joined, length)
+    windows = np.maximum(size - length + 1, 0)
+    at = np.arange(int(windows.sum())) + np.repeat(ends - size - (np.cumsum(windows) - windows), windows)
+    owner = np.repeat(np.arange(len(texts)), windows)
+    order = np.argsort(h[at])
+    own = h[at[order]]
+    same = own[1:] == own[:-1]
+    out = np.zeros(len(texts), bool)
+    out[owner[order[1:][same]]] = True
+    out[owner[order[:-1][same]]] = True
+    return out
+
+
 def least_holder(texts: list[bytes], owners: np.ndarray, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(least owner, offsets): for each place of the joined texts (each with an end mark), the least
     owner of the ``length`` bytes that start there; meaningless in a text's last length - 1 places.
 
+    Texts none of whose windows is there twice have their own owner everywhere
+    and are left out of the transform.
+    """
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    again = repeating(texts, length)
+    out = np.repeat(owners, size)
+    if again.any():
+        some = np.flatnonzero(again)
+        value, _ = _least_holder([texts[i] for i in some.tolist()], owners[some], length, salt)
+        out[np.repeat(again, size)] = value
+    return out, offsets
+
+
+def _least_holder(texts: list[bytes], owners: np.ndarray, length: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same by the transform alone.
+
     Over ``LIMIT`` places (an anchor that very many texts hold in different
     surroundings) windows are dealt by another anchor and the shares are done
     one after the other: equal windows share this anchor too.
@@ -291,7 +333,7 @@ def least_holder(texts: list[bytes], owners: np.ndarray, length: int, salt: int
     for p in np.flatnonzero(np.diff(bounds)):
         own = by[bounds[p] : bounds[p + 1]]
         parts = [plain[s : s + w + length - 1] for s, w in zip(start[own].tolist(), windows[own].tolist(), strict=True)]
-        value, at = least_holder(parts, owners[owner[own]], length, salt + 1)
+        value, at = _least_holder(parts, owners[owner[own]], length, salt + 1)
         w = windows[own]
         inside = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
         out[np.repeat(start[own] + owner[own], w) + inside] = value[np.repeat(at[:-1], w) + inside]
