@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_counterparties(transfers: DataFrame, labels: DataFrame, until) -> DataFrame:
-    """(to_address, label_type, n): distinct labelled senders up to and including ``until``."""
+#: Kinds of label that the pivot has (fixed values).
+KINDS = ("cex", "dex")
+
+
+def labelled_counterparties(transfers: DataFrame, labels: DataFrame, until, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(to_address, label_type, n): distinct labelled senders up to and including ``until``; with ``kinds``, of these labels alone."""
     kept = transfers.filter(F.col("ts") <= until)
+    if kinds is not None:  # before the join: the labels are all that is read of them
+        labels = labels.filter(F.col("label_type").isin(*kinds))
+    labels = labels.select("address", "label_type").distinct()
     return (
         kept.join(labels, kept["from_address"] == labels["address"])
         .groupBy("to_address", "label_type")

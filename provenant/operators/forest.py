@@ -6,11 +6,13 @@ log-depth pointer doubling; every metric is a native aggregate over it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import after_fill, double_sum, mean_of, safe_divide
+from ..session import materialize
 from .labels import without_members
+from .numbering import number_rows
 from .walks import double_pointers
 
 
@@ -101,10 +103,15 @@ def tree_metrics(nodes: DataFrame) -> DataFrame:
 
 
 def gini(nodes: DataFrame) -> DataFrame:
-    """The Gini coefficient of positive amounts per tree (extension; the inherited column is 0)."""
-    a = nodes.filter("depth > 0 AND gas > 0")
-    w = Window.partitionBy("root").orderBy("gas", "node")
-    ranked = a.withColumn("i", F.row_number().over(w))
+    """The Gini coefficient of positive amounts per tree (extension; the inherited column is 0).
+
+    Places within a tree are global numbers, from range partitions, less the
+    tree's first one: a giant tree is no single task.
+    """
+    a = nodes.filter("depth > 0 AND gas > 0").select("root", "gas", "node")
+    numbered = materialize(number_rows(a, ["root", "gas", "node"], "i"), "amounts")
+    first = numbered.groupBy("root").agg(F.min("i").alias("_first"))
+    ranked = numbered.join(first, "root").withColumn("i", F.col("i") - F.col("_first") + 1)
     n, total = F.count("*"), F.sum("gas")
     return ranked.groupBy("root").agg(
         ((2 * F.sum(F.col("i") * F.col("gas")) - (n + 1) * total) / (n * total)).alias("gini_true")

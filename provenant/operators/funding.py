@@ -6,7 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import double_sum, safe_divide
-from ..session import materialize, release
+from ..session import materialize, scratch
+
+
+def earliest_blocks(transfers: DataFrame) -> DataFrame:
+    """Per address: the earliest positive transfer and how many share its time and block.
+
+    Aggregates alone, so a hot receiver's history is reduced before it is
+    shuffled.  Partial results combine: see :func:`merge_first`.
+    """
+    per_block = (
+        transfers.filter(F.col("value") > 0)
+        .groupBy("to_address", "ts", "block")
+        .agg(F.count("*").alias("n"), F.min(F.struct("tx", "from_address", "value")).alias("first"))
+    )
+    return _first_block(per_block)
+
+
+def _first_block(per_block: DataFrame) -> DataFrame:
+    first = F.min(F.struct("ts", "first.tx", "block", "n", "first")).alias("m")
+    return per_block.groupBy("to_address").agg(first).select("to_address", "m.ts", "m.block", "m.n", "m.first")
+
+
+def merge_first(partials: DataFrame) -> DataFrame:
+    """Combines partial earliest blocks: equal (ts, block) add up, later ones go."""
+    return _first_block(partials.groupBy("to_address", "ts", "block").agg(F.sum("n").alias("n"), F.min("first").alias("first")))
+
+
+def as_edges(merged: DataFrame) -> DataFrame:
+    return merged.filter("n = 1").select(
+        F.col("to_address").alias("activated_address"),
+        F.col("first.from_address").alias("gas_provider"),
+        F.col("first.value").alias("amount"),
+        "ts",
+        "block",
+        F.col("first.tx").alias("tx"),
+    )
 
 
 def first_funding(transfers: DataFrame) -> DataFrame:
@@ -15,48 +50,31 @@ def first_funding(transfers: DataFrame) -> DataFrame:
     An address whose first block holds several positive transfers has no edge:
     there is no tie-break.  Input: to_address, from_address, value, ts, block, tx.
     """
-    positive = transfers.filter(F.col("value") > 0)
-    first = Window.partitionBy("to_address").orderBy("ts", "tx")
-    alike = Window.partitionBy("to_address", "ts", "block")
-    return (
-        positive.withColumn("_n", F.count("*").over(alike))
-        .withColumn("_rn", F.row_number().over(first))
-        .filter("_rn = 1 AND _n = 1")
-        .select(
-            F.col("to_address").alias("activated_address"),
-            F.col("from_address").alias("gas_provider"),
-            F.col("value").alias("amount"),
-            "ts",
-            "block",
-            "tx",
-        )
-    )
+    return as_edges(earliest_blocks(transfers))
 
 
 def provision_closure(edges: DataFrame, seeds: DataFrame, max_level: int = 500) -> DataFrame:
     """All distinct edges on the way up from ``seeds`` (one column), self-loops included.
 
-    A frontier loop: each level joins only addresses not reached before, so
-    cycles end and no level is kept in the result.  State is a written table.
+    A frontier loop over written edges: each level joins only addresses not
+    reached before, so cycles end.  What was reached is one growing set of
+    files, a single scan however many levels there were.
     """
-    column = seeds.columns[0]
-    frontier = materialize(seeds.select(F.col(column).alias("a")).distinct(), "closure")
-    parts = [frontier]
-    for _ in range(max_level):
-        reached = edges.join(frontier, edges["activated_address"] == frontier["a"], "left_semi")
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.unionByName(p)
-        fresh = reached.select(F.col("gas_provider").alias("a")).filter("a IS NOT NULL").distinct()
-        frontier = materialize(fresh.join(seen, "a", "left_anti"), "closure")
-        if frontier.isEmpty():
-            release(frontier)
-            break
-        parts.append(frontier)
-    visited = parts[0]
-    for p in parts[1:]:
-        visited = visited.unionByName(p)
-    return edges.join(visited, edges["activated_address"] == visited["a"], "left_semi").distinct()
+    spark, column = edges.sparkSession, seeds.columns[0]
+    with scratch() as keep:
+        edges = keep(materialize(edges, "edges"))
+        frontier = materialize(seeds.select(F.col(column).alias("a")).distinct(), "closure")
+        levels = [keep(frontier)]
+        seen = frontier
+        for _ in range(max_level):
+            reached = edges.join(frontier, edges["activated_address"] == frontier["a"], "left_semi")
+            fresh = reached.select(F.col("gas_provider").alias("a")).filter("a IS NOT NULL").distinct()
+            frontier = materialize(fresh.join(seen, "a", "left_anti"), "closure")
+            if frontier.isEmpty():
+                break
+            levels.append(keep(frontier))
+            seen = spark.read.schema(frontier.schema).parquet(*[x._materialized_path for x in levels])
+    return edges.join(seen, edges["activated_address"] == seen["a"], "left_semi").distinct()
 
 
 def provider_star(rows: DataFrame) -> DataFrame:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .numbering import number_rows
 
 
+#: Boosting rounds of the inherited model (fixed value).
+ROUNDS = 2000
+#: A split in the text form of a tree, with the number of its feature.
+_SPLIT = re.compile(r"\bIf \(feature (\d+) ")
+
+
 def hash_order(key: str, seed: int) -> Column:
     """A pseudo-random order that depends on key and seed only, so a re-run of a lost task agrees."""
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
@@ -39,7 +48,9 @@ def upsample_minority(df: DataFrame, key: str, label: str, seed: int = 42) -> Da
 
     Draws come from a hash of the draw's number, joined to row numbers of the minority.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # two classes
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().limit(3).collect()}
+    if len(counts) > 2 or None in counts:
+        raise ValueError(f"{label} must have two classes and no null")
     if len(counts) < 2:
         return df
     minor, major = sorted(counts, key=lambda c: (counts[c], c))
@@ -58,10 +69,16 @@ def assemble(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def train_boosted(
-    df: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 6, step: float = 0.3, seed: int = 42
+    df: DataFrame, features: list[str], label: str, rounds: int = ROUNDS, depth: int = 6, step: float = 0.3, seed: int = 42
 ) -> GBTClassificationModel:
-    """Logistic boosting with the usual defaults of depth and step."""
-    gbt = GBTClassifier(labelCol="_label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
+    """Logistic boosting, with the inherited number of rounds and the usual defaults of depth and step.
+
+    A round is a few jobs over all rows, whatever their number; lineage is cut every ten rounds.
+    """
+    df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
+    gbt = GBTClassifier(
+        labelCol="_label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, checkpointInterval=10, cacheNodeIds=True
+    )
     return gbt.fit(assemble(df, features, label))
 
 
@@ -73,14 +90,7 @@ def score(model: GBTClassificationModel, df: DataFrame, features: list[str], lab
 def split_counts(model: GBTClassificationModel, features: list[str], top: int = 20) -> list[tuple[str, int]]:
     """How often each feature splits a node, largest first, ties in feature order."""
     counts = dict.fromkeys(features, 0)
-
-    def visit(node) -> None:
-        if node.numDescendants() > 0:
-            counts[features[node.split().featureIndex()]] += 1
-            visit(node.leftChild())
-            visit(node.rightChild())
-
-    for tree in model.trees:
-        visit(tree._java_obj.rootNode())
+    for i in _SPLIT.findall(model.toDebugString):
+        counts[features[int(i)]] += 1
     order = {f: i for i, f in enumerate(features)}
     return sorted(((f, n) for f, n in counts.items() if n), key=lambda x: (-x[1], order[x[0]]))[:top]

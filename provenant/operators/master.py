@@ -5,28 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .labels import flag_membership, member_set
 from .walks import chain_walk
 
-#: The model's features in their fixed order (fixed values).
+#: The model's features in the order that breaks ties of importance (fixed values).
 FEATURES = """
-n_eth_interactions n_l0_source_chains n_l0_projects n_l0_project_per_source_chain n_l0_source_contracts
-l0_avg_stargate_swap l0_min_stargate_swap earliest_l0_tx_time latest_l0_tx_time l0_tx_time_span
-n_l0_to_eth_source_chains n_l0_to_eth_projects n_l0_to_eth_project_per_source_chain n_l0_to_eth_source_contracts
-n_l0_to_eth_dest_contracts n_l0_to_eth_txs l0_to_eth_max_stargate_swap l0_to_eth_avg_stargate_swap
-l0_to_eth_min_stargate_swap l0_to_eth_max_native_drop_usd l0_to_eth_avg_native_drop_usd l0_to_eth_tx_time_span
-min_tx_value_out max_tx_value_out tx_value_per_block_out
-num_transactions_in earliest_tx_block_in min_tx_value_in time_span_in indegree_per_block_in
-cex_in_count
-provider_fan_out provider_total_gas_provision_amount provider_avg_gas_provision_amount
-provider_max_gas_provision_amount provider_min_gas_provision_amount provider_is_star_like_attack
-tree_size total_gas max_depth branching_factor balance_factor leaf_provision_proportion avg_depth
-leaf_to_internal_ratio breadth_factor breadth_to_depth_ratio gini_coefficient gas_distribution_entropy
-gas_distribution_skewness leaf_gas_distribution_entropy leaf_gas_distribution_skewness sparsity depth
-longest_chain_ratio star_like_ratio
-gas_provision_block_number
-provider_is_labeled provider_is_interactor provider_is_null is_provider
-chain_length interactors_in_chain
+min_tx_value_out gini_coefficient cex_in_count leaf_gas_distribution_entropy star_like_ratio provider_is_star_like_attack
+leaf_gas_distribution_skewness interactors_in_chain provider_is_labeled provider_is_interactor l0_to_eth_avg_native_drop_usd
+l0_to_eth_max_native_drop_usd balance_factor l0_tx_time_span latest_l0_tx_time time_span_in
+provider_total_gas_provision_amount l0_avg_stargate_swap avg_depth breadth_factor indegree_per_block_in
+gas_distribution_skewness tree_size l0_min_stargate_swap provider_max_gas_provision_amount total_gas num_transactions_in
+branching_factor l0_to_eth_tx_time_span n_l0_to_eth_source_contracts n_l0_to_eth_projects provider_is_null max_depth
+leaf_provision_proportion n_l0_to_eth_project_per_source_chain n_l0_to_eth_txs earliest_l0_tx_time n_l0_projects
+n_l0_to_eth_dest_contracts provider_fan_out l0_to_eth_min_stargate_swap n_l0_source_chains longest_chain_ratio
+n_eth_interactions provider_avg_gas_provision_amount gas_distribution_entropy sparsity max_tx_value_out
+n_l0_source_contracts gas_provision_block_number min_tx_value_in tx_value_per_block_out chain_length
+provider_min_gas_provision_amount n_l0_to_eth_source_chains depth l0_to_eth_max_stargate_swap breadth_to_depth_ratio
+leaf_to_internal_ratio earliest_tx_block_in n_l0_project_per_source_chain l0_to_eth_avg_stargate_swap is_provider
 """.split()
 
 
@@ -53,21 +49,23 @@ def fill_zero(df: DataFrame) -> DataFrame:
 
 def master_features(
     behaviour: DataFrame, provider_of: DataFrame, star: DataFrame, members: DataFrame, exchange: DataFrame,
-    first_edges: DataFrame, sybil: DataFrame, labeled: DataFrame, cex: DataFrame, interactors: DataFrame,
+    first_edges: DataFrame, sybil: DataFrame, labeled: DataFrame, cex: DataFrame,
 ) -> DataFrame:
     """One row per behaviour address that has exchange features (inner join), all 63 features and ``sybil``.
 
-    Forest features join left and default to 0; roots, having no parent, get 0 too.
+    Forest features join left and default to 0; roots, having no parent, get 0
+    too.  Interactors are the frame's own addresses: for the provider's flag all
+    behaviour addresses, for the walk those that are left after the join.
     """
     provision = first_edges.select(
         F.col("activated_address").alias("addr"), F.col("block").cast("long").alias("gas_provision_block_number")
     )
     own_star = star.drop("gas_provider", "amount").withColumnRenamed("activated_address", "addr")
-    df = provider_flags(behaviour, provider_of, labeled, cex, interactors)
+    df = provider_flags(behaviour, provider_of, labeled, cex, member_set(behaviour, "addr"))
     for part in (own_star, members, provision):
         df = df.join(part, "addr", "left")
     df = fill_zero(df)
     df = df.join(exchange.withColumnRenamed("to_address", "addr"), "addr", "inner")
-    df = is_provider(flag_membership(df, "addr", sybil, "sybil"), provider_of)
-    walked = chain_walk(df.select("addr"), provider_of, interactors, labeled).drop("in_cycle")
+    df = materialize(is_provider(flag_membership(df, "addr", sybil, "sybil"), provider_of), "assembled")  # the walk reads it too
+    walked = chain_walk(df.select("addr"), provider_of, member_set(df, "addr"), labeled).drop("in_cycle")
     return fill_zero(df.join(walked, "addr", "left"))

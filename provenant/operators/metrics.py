@@ -1,14 +1,17 @@
 """Evaluation of scores as relational aggregates.
 
 Scores are first counted per distinct value, so curves run over thresholds,
-not rows; the cumulative window is over that pre-aggregated table.
+not rows; running counts over these come from range partitions and offsets, as
+model scores are nearly all distinct.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import running_sums
+
 
 def classify(df: DataFrame, score: str, threshold: float | Column, *, inclusive: bool) -> DataFrame:
     cut = F.lit(threshold) if isinstance(threshold, float) else threshold
@@ -49,17 +52,19 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
 
 
 def threshold_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Per distinct score s: tp and fp at ``score >= s``, and the totals."""
+    """Per distinct score s: tp and fp at ``score >= s``, those at s itself, and the totals."""
     per = df.groupBy(F.col(score).alias("threshold")).agg(
-        F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_n")
+        F.sum(F.col(label).cast("long")).alias("own_tp"), F.sum(1 - F.col(label).cast("long")).alias("own_fp")
     )
-    upto = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.select(
+    summed = running_sums(per, [-F.col("threshold")], ["own_tp", "own_fp"])
+    return summed.select(
         "threshold",
-        F.sum("_p").over(upto).alias("tp"),
-        F.sum("_n").over(upto).alias("fp"),
-        per.agg(F.sum("_p")).scalar().alias("pos"),
-        per.agg(F.sum("_n")).scalar().alias("neg"),
+        F.col("upto_own_tp").alias("tp"),
+        F.col("upto_own_fp").alias("fp"),
+        "own_tp",
+        "own_fp",
+        summed.agg(F.sum("own_tp")).scalar().alias("pos"),
+        summed.agg(F.sum("own_fp")).scalar().alias("neg"),
     )
 
 
@@ -85,10 +90,7 @@ def roc_curve(df: DataFrame, score: str = "score", label: str = "label") -> Data
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Trapezoid area, from (0, 0)."""
-    w = Window.orderBy(F.desc("threshold"))
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
-    part = roc_curve(df, score, label).select(
-        ((F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2).alias("a")
-    )
-    return part.agg(F.sum("a").alias("auc"))
+    """Trapezoid area, from (0, 0): the point before a threshold is its counts without its own."""
+    tp, fp, pos, neg, own = (F.col(c).cast("double") for c in ("tp", "own_fp", "pos", "neg", "own_tp"))
+    area = F.when((pos > 0) & (neg > 0), fp / neg * (2 * tp - own) / pos / 2)
+    return threshold_counts(df, score, label).select(area.alias("a")).agg(F.sum("a").alias("auc"))

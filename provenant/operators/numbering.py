@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+def running_sums(df: DataFrame, order: list[Column | str], columns: list[str]) -> DataFrame:
+    """Adds ``upto_<column>``: the sum of the column over all rows up to and including the own one, in the given order.
+
+    Rows are range-partitioned and sorted; what comes before a partition is the
+    sum of the totals of the earlier ones, so no task sees all rows.  Rows must
+    not tie in ``order``, which is ascending.
+    """
+    rank = [c if isinstance(c, Column) else F.col(c) for c in order]
+    keys = [f"_o{i}" for i in range(len(rank))]
+    placed = df.withColumns(dict(zip(keys, rank, strict=True)))
+    placed = materialize(placed.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "running")
+    totals = placed.groupBy("_p").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = totals.select("_p", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in columns])
+    inside = Window.partitionBy("_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.join(offsets, "_p").withColumns({f"upto_{c}": F.sum(c).over(inside) + F.col(f"_b_{c}") for c in columns})
+    return out.drop("_p", *keys, *[f"_b_{c}" for c in columns])
+
+
 def number_rows(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """Adds 0-based numbers in the given order.
 

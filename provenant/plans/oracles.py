@@ -181,15 +181,18 @@ def _master() -> str:
           ELSE CAST(s.provider_fan_out > 1 AND f.gas_provider NOT IN (SELECT address FROM labeled) AS INTEGER) END AS provider_is_star_like_attack,
         coalesce(f.gas_provider IN (SELECT address FROM labeled), false) AS provider_is_labeled,
         coalesce(f.gas_provider IN (SELECT address FROM cex), false) AS provider_is_cex,
-        coalesce(f.gas_provider IN (SELECT address FROM interactors), false) AS provider_is_interactor,
+        coalesce(f.gas_provider IN (SELECT addr FROM behaviour), false) AS provider_is_interactor,
         f.gas_provider IS NULL AS provider_is_null, b.addr IN (SELECT gas_provider FROM first_edge) AS is_provider,
         b.addr IN (SELECT address FROM sybil_set) AS sybil, w.chain_length, w.interactors_in_chain
         FROM behaviour b JOIN exch c ON c.to_address = b.addr LEFT JOIN first_edge f ON f.activated_address = b.addr
         LEFT JOIN star s ON s.gas_provider = f.gas_provider AND f.activated_address IN (SELECT address FROM interactors)
         LEFT JOIN nodes n ON n.node = b.addr AND n.depth >= 1 LEFT JOIN tm t ON t.root = n.root LEFT JOIN walked w ON w.addr = b.addr"""
-    names = _BEHAVIOUR + f" {_FOREST} cex dex interactors sybil_set label_dim exch irows star tm pmap walk walked wide"
+    names = _BEHAVIOUR + f" {_FOREST} cex dex interactors sybil_set label_dim exch irows star tm pmap own walk walked wide"
+    # the walk's interactors are the frame's own addresses
+    own = "SELECT addr AS address FROM behaviour WHERE addr IN (SELECT to_address FROM exch)"
+    walk = _VIEWS["walk"].replace("SELECT address FROM interactors", "SELECT address FROM own")
     return _with(
-        names, f"SELECT addr, sybil, provider_is_cex, {columns} FROM wide", star=_VIEWS["star"].format(rows="irows"), wide=wide
+        names, f"SELECT addr, sybil, provider_is_cex, {columns} FROM wide", star=_VIEWS["star"].format(rows="irows"), wide=wide, own=own, walk=walk
     )
 
 
@@ -365,6 +368,23 @@ def oracle_sql() -> dict[str, str]:
             """SELECT split, sybil, CASE WHEN split = 'train' THEN max(n) OVER (PARTITION BY split) ELSE n END AS n FROM per""",
             per="SELECT split, sybil, count(*) AS n FROM splits GROUP BY 1, 2",
         ),
+        "csv_union_by_name": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 2 THEN c_acctbal END AS c_acctbal FROM customer",
+        "csv_union_all_columns": """SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_custkey % 3 <> 2 THEN c_acctbal END AS c_acctbal,
+            CASE WHEN c_custkey % 3 = 1 THEN 'x' END AS other FROM customer""",
+        "csv_keep_first_loaded": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+        "csv_single_file": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+        "csv_empty_folder": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE false",
+        "line_sets": "SELECT DISTINCT c_mktsegment AS segment FROM customer",
+        "lines_sorted": "SELECT count(*) AS lines, true AS in_order FROM customer WHERE c_name IS NOT NULL",
+        "replaced_table": "SELECT *, true AS expires FROM region",
+        "pointer_detection": "SELECT * FROM (VALUES (false, 1::BIGINT), (true, 1::BIGINT)) v(is_pointer, files)",
+        "progress_eta": """SELECT step, sum(amount) OVER w AS done, sum(amount) OVER () AS total, round(elapsed, 3) AS elapsed_s,
+            round(elapsed / sum(amount) OVER w * (sum(amount) OVER () - sum(amount) OVER w), 3) + 0.0 AS left_s FROM
+            (SELECT strftime(ts, '%Y-%m-%d') AS step, count(*) AS amount,
+              CAST(max(floor(epoch(ts))) - epoch(TIMESTAMP '2024-01-01 00:00:00') AS DOUBLE) AS elapsed FROM events GROUP BY 1)
+            WINDOW w AS (ORDER BY elapsed, step)""",
+        "event_windows": """SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n,
+            round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE), 4) AS total FROM events GROUP BY 1, 2""",
         "events_first_seen": """SELECT user_id AS activated_address, event_type AS gas_provider, value AS amount,
             date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS block, event_id AS tx FROM (
             SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,

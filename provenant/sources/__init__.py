@@ -1,5 +1,6 @@
 from .readers import (  # noqa: F401
     InvalidExtractError,
+    pointer_files,
     key_sets,
     literal_set,
     read_csv_directory,

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import materialize
 
 
-def write_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, *, single_file: bool = False, append: bool = False) -> None:
     """Header, no index.  One file only on request: a single task writes it then."""
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
+    (df.coalesce(1) if single_file else df).write.mode("append" if append else "overwrite").option("header", True).csv(path)
 
 
 def write_lines(df: DataFrame, path: str, column: str = "address") -> None:
@@ -21,10 +20,10 @@ def write_lines(df: DataFrame, path: str, column: str = "address") -> None:
     ).text(path)
 
 
-def replace_table(df: DataFrame, name: str, *, days_to_live: int | None = None) -> None:
+def replace_table(df: DataFrame, name: str, *, days_to_live: int | None = None, location: str | None = None) -> None:
     """Create or replace a table.  Spark keeps no expiry, so it is recorded as a property."""
     writer = df.write.mode("overwrite").format("parquet")
-    writer.saveAsTable(name)
+    (writer.option("path", location) if location else writer).saveAsTable(name)
     if days_to_live is not None:
         expiry = df.sparkSession.range(1).select(
             F.date_format(F.current_timestamp() + F.make_dt_interval(F.lit(days_to_live)), "yyyy-MM-dd HH:mm:ss")
@@ -59,7 +58,3 @@ def _running(value: str, order: str) -> Column:
 
 def offset_chunk(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
-
-
-#: Type of the ranks that ``rank_chunk`` adds.
-RANK_TYPE = T.LongType()

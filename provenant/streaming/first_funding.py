@@ -11,37 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-
-def earliest_blocks(transfers: DataFrame) -> DataFrame:
-    """Per address: the earliest positive transfer and how many share its time and block.
-
-    Partial results combine: see :func:`merge_first`.
-    """
-    per_block = (
-        transfers.filter(F.col("value") > 0)
-        .groupBy("to_address", "ts", "block")
-        .agg(F.count("*").alias("n"), F.min(F.struct("tx", "from_address", "value")).alias("first"))
-    )
-    return merge_first(per_block)
-
-
-def merge_first(partials: DataFrame) -> DataFrame:
-    """Combines partial earliest blocks: equal (ts, block) add up, later ones go."""
-    alike = partials.groupBy("to_address", "ts", "block").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    return alike.groupBy("to_address").agg(F.min(F.struct("ts", "first.tx", "block", "n", "first")).alias("m")).select(
-        "to_address", "m.ts", "m.block", "m.n", "m.first"
-    )
-
-
-def as_edges(merged: DataFrame) -> DataFrame:
-    return merged.filter("n = 1").select(
-        F.col("to_address").alias("activated_address"),
-        F.col("first.from_address").alias("gas_provider"),
-        F.col("first.value").alias("amount"),
-        "ts",
-        "block",
-        F.col("first.tx").alias("tx"),
-    )
+from ..operators.funding import as_edges, earliest_blocks, merge_first
 
 
 def first_funding_stream(transfers: DataFrame, table_dir: str, checkpoint_dir: str) -> StreamingQuery:

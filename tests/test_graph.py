@@ -97,6 +97,12 @@ def test_closure_ends_on_cycles(spark):
     assert {r.activated_address for r in got.collect()} == {"a", "b", "c"}
 
 
+def test_closure_stops_at_its_level(spark):
+    e = edges_of(spark, *[(f"n{i}", f"n{i + 1}") for i in range(12)])
+    for level, n in ((0, 1), (3, 4), (500, 12)):
+        assert funding.provision_closure(e, names(spark, "n12"), level).count() == n
+
+
 def test_running_star_flag(spark):
     rows = spark.createDataFrame([("p1", "a", 1.0), ("p2", "a", 1.0), ("p2", "b", 1.0), ("p3", "a", 1.0)], "gas_provider string, activated_address string, amount double")
     got = {(r.gas_provider, r.activated_address): r.provider_is_star_like_attack for r in funding.star_features(rows, names(spark)).collect()}

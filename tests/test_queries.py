@@ -1,9 +1,16 @@
 """Every registered query against its SQL, and plan checks."""
 
+import math
+import sys
+
+import duckdb
 import pytest
 from compare import oracle, spark_rows
 
-from provenant import plans
+from provenant import plans, session
+from provenant.operators.master import FEATURES
+
+plans_queries = sys.modules["provenant.plans.queries"]
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,10 +31,43 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string>" in plan
 
 
-def test_training_scores(spark):
-    rows = plans.queries()["train_gbt"](spark, SF).collect()
+def test_training_scores(spark, monkeypatch, tmp_path):
+    """The evaluation of written scores equals SQL over the same file."""
+    monkeypatch.setattr(plans_queries, "QUERY_ROUNDS", 3)
+    scored = session.materialize(plans.queries()["train_gbt"](spark, SF), "scored")
+    rows = scored.collect()
     assert rows and all(0 <= r.score <= 1 and r.prediction == int(r.score > 0.5) for r in rows)
     assert {r.split for r in rows} == {"test", "validation"}
+    monkeypatch.setattr(plans_queries, "_scored", lambda p: scored)
+    got = {(r.split, r.threshold, r["class"]): r for r in plans.queries()["train_evaluation"](spark, SF).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW s AS SELECT * FROM read_parquet('{scored._materialized_path.removeprefix('file://').removeprefix('file:')}/*.parquet')")
+    for split in ("validation", "test"):
+        auc, accuracy, n = con.execute(f"""SELECT (SELECT avg(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END)
+            FROM s a, s b WHERE a.split = '{split}' AND b.split = '{split}' AND a.label = 1 AND b.label = 0),
+            avg((prediction = label)::INT), count(*) FROM s WHERE split = '{split}'""").fetchone()
+        assert math.isclose(got[split, "best", "auc"].f1, auc, rel_tol=1e-9)
+        assert math.isclose(got[split, "0.5", "accuracy"].f1, accuracy, rel_tol=1e-9) and got[split, "0.5", "accuracy"].support == n
+    assert got["validation", "best", "1"].f1 >= got["validation", "0.5", "1"].f1
+
+
+def test_importance_counts_splits(spark, monkeypatch):
+    monkeypatch.setattr(plans_queries, "QUERY_ROUNDS", 2)
+    seen = []
+    fitted = plans_queries.fitted
+    monkeypatch.setattr(plans_queries, "fitted", lambda p: seen.append(fitted(p)) or seen[-1])
+    rows = plans.queries()["topk_importance"](spark, SF).collect()
+    counts = {}
+    for tree in seen[0][1].trees:
+        stack = [tree._java_obj.rootNode()]
+        while stack:
+            node = stack.pop()
+            if node.numDescendants() > 0:
+                name = FEATURES[node.split().featureIndex()]
+                counts[name] = counts.get(name, 0) + 1
+                stack += [node.leftChild(), node.rightChild()]
+    want = sorted(counts.items(), key=lambda x: (-x[1], FEATURES.index(x[0])))[:20]
+    assert [(r.feature, r.splits) for r in rows] == want and len(FEATURES) == 63
 
 
 def test_entry(spark):
