@@ -27,7 +27,8 @@ def strip_whitespace(c: Column | str) -> Column:
 
 
 def epoch_seconds(c: Column | str) -> Column:
-    return F.unix_timestamp(_col(c).cast("timestamp")).cast("long")
+    """Whole seconds; a timestamp without time zone is taken as it stands, whatever the session's zone."""
+    return F.unix_timestamp(_col(c)).cast("long")
 
 
 def to_native_units(c: Column | str) -> Column:

@@ -27,8 +27,20 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
 
 def duplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     """All rows (none kept apart) whose key combination occurs more than once."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("_n", F.count("*").over(w)).filter("_n > 1").drop("_n")
+    counted = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return df.join(counted, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
+
+
+def shape_report(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(column, rows, filled, distinct_keys, repeated_rows) per column: the frame's shape and its duplicates by ``keys``."""
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.count(c).alias(f"_c{i}") for i, c in enumerate(df.columns)])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    one = per_key.agg(
+        total("_n").alias("rows"), F.count("*").alias("distinct_keys"), total(F.when(F.col("_n") > 1, F.col("_n"))).alias("repeated_rows"),
+        *[total(f"_c{i}").alias(f"_c{i}") for i in range(len(df.columns))],
+    )
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("filled")) for i, c in enumerate(df.columns)])
+    return one.select(F.explode(cells).alias("x"), "rows", "distinct_keys", "repeated_rows").select("x.*", "rows", "distinct_keys", "repeated_rows")
 
 
 def with_several(df: DataFrame, key: str, value: str, name: str) -> DataFrame:

@@ -368,6 +368,15 @@ def oracle_sql() -> dict[str, str]:
             """SELECT split, sybil, CASE WHEN split = 'train' THEN max(n) OVER (PARTITION BY split) ELSE n END AS n FROM per""",
             per="SELECT split, sybil, count(*) AS n FROM splits GROUP BY 1, 2",
         ),
+        "shape_report": _with(
+            "xfer per one",
+            """SELECT 'to_address' AS "column", a AS filled, rows, distinct_keys, repeated_rows FROM one UNION ALL
+            SELECT 'from_address', b, rows, distinct_keys, repeated_rows FROM one UNION ALL SELECT 'block', c, rows, distinct_keys, repeated_rows FROM one""",
+            per="""SELECT count(*) AS n, count(to_address) AS a, count(from_address) AS b, count(CASE WHEN block > 0 THEN 1 END) AS c
+            FROM xfer GROUP BY to_address, from_address""",
+            one="""SELECT sum(n)::BIGINT AS rows, count(*) AS distinct_keys, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS repeated_rows,
+            sum(a)::BIGINT AS a, sum(b)::BIGINT AS b, sum(c)::BIGINT AS c FROM per""",
+        ),
         "csv_union_by_name": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 <> 2 THEN c_acctbal END AS c_acctbal FROM customer",
         "csv_union_all_columns": """SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_custkey % 3 <> 2 THEN c_acctbal END AS c_acctbal,
             CASE WHEN c_custkey % 3 = 1 THEN 'x' END AS other FROM customer""",

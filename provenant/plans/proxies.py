@@ -29,7 +29,7 @@ class Proxies:
 
     @property
     def cutoff(self):
-        return F.lit(CUTOFF).cast("timestamp")
+        return F.lit(CUTOFF).cast("timestamp_ntz")
 
     @property
     def xfer(self) -> DataFrame:
@@ -38,7 +38,7 @@ class Proxies:
             F.col("o_custkey").alias("to_address"),
             (F.col("o_orderkey") % F.greatest("o_custkey", F.lit(1))).alias("from_address"),
             F.col("o_totalprice").cast("decimal(18,2)").alias("value"),
-            F.col("o_orderdate").cast("timestamp").alias("ts"),
+            F.col("o_orderdate").cast("timestamp_ntz").alias("ts"),
             F.datediff("o_orderdate", F.lit("1995-01-01")).cast("long").alias("block"),
             F.col("o_orderkey").alias("tx"),
         )
@@ -60,7 +60,7 @@ class Proxies:
             F.nullif(F.col("l_extendedprice").cast("decimal(18,2)"), F.lit(0)).alias("swap_usd"),
             F.nullif(F.col("l_discount").cast("decimal(18,2)"), F.lit(0)).alias("drop_usd"),
             F.col("l_orderkey").alias("tx_hash"),
-            F.col("l_shipdate").cast("timestamp").alias("ts"),
+            F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
         )
 
     @property
@@ -72,7 +72,7 @@ class Proxies:
             F.col("l_extendedprice").cast("decimal(18,2)").alias("value"),
             F.col("l_tax").cast("decimal(18,2)").alias("fee"),
             F.datediff("l_shipdate", F.lit("1992-01-01")).cast("long").alias("block"),
-            F.col("l_shipdate").cast("timestamp").alias("ts"),
+            F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
         )
 
     def _customers(self, condition: str) -> DataFrame:

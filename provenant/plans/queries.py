@@ -83,6 +83,12 @@ def dup_pairs(p: Proxies) -> DataFrame:
     return cleaning.duplicated(p.xfer.select("to_address", "from_address", "tx"), ["to_address", "from_address"])
 
 
+@query
+def shape_report(p: Proxies) -> DataFrame:
+    x = p.xfer.select("to_address", "from_address", F.when(F.col("block") > 0, F.col("block")).alias("block"))
+    return cleaning.shape_report(x, ["to_address", "from_address"])
+
+
 @query
 def multi_provider(p: Proxies) -> DataFrame:
     return cleaning.with_several(p.xfer, "to_address", "from_address", "n_providers")
