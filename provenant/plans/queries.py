@@ -422,7 +422,7 @@ def split_balance(p: Proxies) -> DataFrame:
 
 
 #: Rounds of the registered training queries, for their time alone (see the README); the operator's default is the inherited number.
-QUERY_ROUNDS = 20
+QUERY_ROUNDS = 100
 
 
 def fitted(p: Proxies, rounds: int = QUERY_ROUNDS):
