@@ -130,7 +130,7 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | No
 
 
 SCHEMA = (
-    "conv_id long, formatted string, token_ids array<int>, loss_mask array<boolean>, loss_spans array<array<array<int>>>, spans array<array<int>>"
+    "formatted string, token_ids array<int>, loss_mask array<boolean>, loss_spans array<array<array<int>>>, spans array<array<int>>"
 )
 
 
@@ -147,8 +147,8 @@ def format_conversations(turns: DataFrame, folder: str = TOKENIZERS) -> DataFram
     ``turns``: conv_id, turn, role, text.  Rows are ordered by turn (nulls
     first), ties by role and text; null roles and texts are empty; a null
     conv_id is a conversation of its own; repeated rows are turns of their own;
-    an empty table gives an empty result; other columns are ignored.  A
-    conversation is one row, however long.
+    an empty table gives an empty result; other columns are ignored.  Ids may be
+    of any type.  A conversation is one row, however long.
     """
     held = turns.sparkSession.sparkContext.broadcast(vocabulary(folder))  # of a checked size
 
@@ -156,6 +156,13 @@ def format_conversations(turns: DataFrame, folder: str = TOKENIZERS) -> DataFram
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         tokenizer = load_tokenizer(held.value)
 
+        kinds: list[pa.DataType] = []
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds[:] = [batch.schema.field(0).type]
+                yield batch
+
         def encoded(convs: list, texts: list[str], spans: list) -> pa.RecordBatch:
             ids, masks, under = [], [], []
             for e, own in zip(tokenizer.encode_batch(texts, add_special_tokens=False), spans, strict=True):
@@ -165,12 +172,12 @@ def format_conversations(turns: DataFrame, folder: str = TOKENIZERS) -> DataFram
                 masks.append(mask)
                 under.append(pieces)
             two = pa.list_(pa.list_(pa.int32()))
-            columns = [pa.array(convs, pa.int64()), pa.array(texts, pa.string()), _lists(ids, pa.int32()), _lists(masks, pa.bool_())]
+            columns = [pa.array(convs, kinds[0]), pa.array(texts, pa.string()), _lists(ids, pa.int32()), _lists(masks, pa.bool_())]
             columns += [pa.array(under, pa.list_(two)), pa.array(spans, two)]
             return pa.RecordBatch.from_arrays(columns, names=["conv_id", "formatted", "token_ids", "loss_mask", "loss_spans", "spans"])
 
         convs, texts, spans, size = [], [], [], 0
-        for conv, rows in _conversations(batches):
+        for conv, rows in _conversations(noted()):
             formatted, own = render(rows)
             convs.append(conv)
             texts.append(formatted)
@@ -182,9 +189,9 @@ def format_conversations(turns: DataFrame, folder: str = TOKENIZERS) -> DataFram
         if convs:
             yield encoded(convs, texts, spans)
 
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
+    rows = turns.select("conv_id", "role", "text", "turn")
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(lean(run), SCHEMA)
+    return dealt.select("conv_id", "role", "text").mapInArrow(lean(run), f"conv_id {dict(turns.dtypes)['conv_id']}, {SCHEMA}")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -156,6 +156,7 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the end of a text).  Null texts are
     empty; a null id comes last; rows that share an id are ordered by position
     alone; repeated rows get equal results; no rows give an empty result.
+    Ids must be of an integer type.
     ``kept`` is binary: removal may split a character.
     """
     rows = keyed(docs, id_col, text_col)

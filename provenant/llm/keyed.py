@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, release
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 #: Order key of a null id: after all others.
 LAST = 2**63 - 1
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, c, text); a null text is empty."""
+    """(k, c, text); a null text is empty.  Ids are whole numbers (packed arrays hold them); others are an error."""
+    if (kind := dict(docs.dtypes)[id_col]) not in INTEGERS:
+        raise TypeError(f"{id_col} is {kind}: number the documents first, see operators.numbering")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)).alias("k"),

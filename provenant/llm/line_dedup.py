@@ -184,6 +184,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = WORDS, id_c
     whose first copy, by (id, line number), is elsewhere and earlier.  Null texts
     are empty; null ids come last; rows that share an id are ordered by line
     number alone; repeated rows get equal results; no rows give an empty result.
+    Ids must be of an integer type.
     """
     rows = keyed(docs, id_col, text_col)
     joined = rows.join(_gathered(rows, run, words).hint("shuffle_hash"), ["k", "c"], "left").select("k", "c", "text", "runs")

@@ -480,6 +480,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     are empty; a null id counts as the largest; rows that share an id never
     remove each other's bytes; repeated rows get equal results; no rows give an
     empty result.  ``length`` is at least 21 and at most 56.
+    Ids must be of an integer type.
     """
     if not SEED < length <= 56:
         raise ValueError("length must be from 21 to 56")

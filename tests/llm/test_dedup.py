@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from provenant.llm import chunk_dedup, line_dedup, simhash, suffix_dedup
 from provenant.llm import components as components_module
@@ -168,6 +169,15 @@ def test_line_dedup_handles_odd_rows(messy, make):
     assert {r.doc_id: (r.text, r.n_chars) for r in left.collect()} == {1: ("a\nb\nc\nd", 7), 2: ("x", 1), 4: (None, None)}
 
 
+def test_ids_must_be_whole_numbers(make):
+    docs = make("a b c").withColumn("doc_id", F.lit("x"))
+    for run in (suffix_dedup.suffix_dedup, chunk_dedup.chunk_dedup, line_dedup.dedup_lines, line_dedup.without_later_copies):
+        with pytest.raises(TypeError, match="number the documents"):
+            run(docs)
+    assert simhash.simhash_groups(docs).first().component_id == "x"
+    assert [r.doc_id for r in simhash.without_near_duplicates(docs.unionByName(docs)).collect()] == ["x"]
+
+
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     parts = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []

@@ -132,6 +132,8 @@ def test_chat_digests(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     clashing = spark.createDataFrame(rows, TURNS).withColumns({c: F.lit(c) for c in ("formatted", "spans", "loss_mask", "token_ids", "id")})
     assert {r.conv_id: r for r in chat.op3_chat_format(clashing).collect()} == got
+    named = chat.format_conversations(spark.createDataFrame(rows, TURNS).withColumn("conv_id", F.concat(F.lit("c"), "conv_id")))
+    assert {r.conv_id for r in named.collect()} == {"c1", "c2", "c3", "c4", "c5", None}
     assert {r.conv_id for r in chat.op3_chat_format(spark.createDataFrame([], TURNS)).collect()} == {-1}
 
 
