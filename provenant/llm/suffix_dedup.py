@@ -5,8 +5,10 @@ earlier document.
 
 1. *Anchors.*  The least hash among the ``SEED``-byte strings inside a window of
    ``length`` bytes depends on the window alone, so equal windows have equal
-   anchors.  A run of windows with one anchor is a segment.  Anchors seen in two
-   documents are found first; other segments cannot repeat and stay at home.
+   anchors.  A run of windows with one anchor is a segment.  Strings that would be
+   anchors of very many segments are found by counting all of them and come last
+   in the order, so a common phrase is an anchor only where there is no other.
+   Anchors seen in two documents are found first; other segments cannot repeat and stay at home.
 2. *Parts.*  Segments travel to the part of their anchor, so all copies of a
    window meet in one part, whichever documents hold them.
 3. *Intervals.*  A part's distinct segments are joined to one string; its
@@ -28,12 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
 from .keyed import LAST, buckets, doc_id, keyed, per_owner, unflag, with_flags
-from .shared import byte_slices, dealt, lean, mix64, split_by, trim
+from .shared import byte_slices, dealt, folded, lean, mix64, split_by, trim
 
 #: Bytes of the strings that anchors are hashes of.
 SEED = 20
@@ -42,6 +45,8 @@ PIECE = 1 << 20
 BYTES = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text that a part stands for.
 PART = 1 << 20
+#: Counters of the sketch of anchors (fixed, so its broadcast is), and segments of one anchor that make it hot.
+SKETCH_BITS, HOT = 20, 10_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 RUN = np.dtype([("start", "<i8"), ("end", "<i8")])
 PLACE = np.dtype([("segment", "<u4"), ("c", "<u4"), ("start", "<i8")])
@@ -65,18 +70,59 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
     return whole
 
 
-def window_anchors(data: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
-    """A 48-bit anchor for each window of ``length`` bytes, from its bytes (and the salt) alone."""
+def minima(data: np.ndarray, length: int, salt: int = 0, hot: np.ndarray | None = None) -> np.ndarray:
+    """The least hash among the ``SEED``-byte strings of each window; strings that ``hot`` marks come after all others."""
     span = length - SEED + 1
     low, n = mix64(rolling(data, SEED) ^ np.uint64(salt)), 1
+    if hot is not None:
+        low = low >> np.uint64(1) | hot[_slot(low)].astype(np.uint64) << np.uint64(63)
     while 2 * n <= span:
         low, n = np.minimum(low[:-n], low[n:]), 2 * n
     if span > n:
         low = np.minimum(low[: len(low) - (span - n)], low[span - n :])
-    return mix64(low) >> np.uint64(16)
+    return low
 
 
-def segments(offsets: np.ndarray, data: np.ndarray, length: int, salt: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+def window_anchors(data: np.ndarray, length: int, salt: int = 0, hot: np.ndarray | None = None) -> np.ndarray:
+    """A 48-bit anchor for each window of ``length`` bytes, from its bytes (and the salt and ``hot``) alone."""
+    return mix64(minima(data, length, salt, hot)) >> np.uint64(16)
+
+
+def _slot(low: np.ndarray) -> np.ndarray:
+    return (low & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+
+
+def hot_strings(rows: DataFrame, length: int) -> np.ndarray:
+    """Marks, by slot of their hash, the strings that would be the anchors of very many segments.
+
+    All segments of all texts are counted, in 2^SKETCH_BITS counters that tasks
+    add up on their own and that are combined in a tree.  Any marks give the same
+    result: they keep a string that very many texts hold in different
+    surroundings from gathering these in one part.
+    """
+
+    def count(total: np.ndarray | None, texts: pa.Array) -> np.ndarray:
+        total = np.zeros(1 << SKETCH_BITS, np.uint32) if total is None else total
+        for _, _, data in byte_slices(texts, 4 << 20):
+            for p in range(0, len(data), PIECE):
+                if len(piece := data[p : p + PIECE + length - 1]) >= length:
+                    low = minima(piece, length)
+                    first = np.concatenate(([True], low[1:] != low[:-1]))
+                    total += np.bincount(_slot(low[first]), minlength=len(total)).astype(np.uint32)
+        return total
+
+    got = folded(rows, "text", count, _saturating, "<u4")
+    if got is None:
+        return np.zeros(1 << SKETCH_BITS, bool)
+    return got >= max(HOT, 4 * got.mean())
+
+
+def _saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a[:] = np.minimum(a.astype(np.uint64) + b, np.uint64(2**32 - 1)).astype(np.uint32)
+    return a
+
+
+def segments(offsets: np.ndarray, data: np.ndarray, length: int, salt: int = 0, hot: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """(document, start, windows, anchor) of runs of windows with one anchor, piece by piece.
 
     ``start`` is absolute in ``data``; windows do not cross documents.
@@ -85,7 +131,7 @@ def segments(offsets: np.ndarray, data: np.ndarray, length: int, salt: int = 0)
         piece = data[p : p + PIECE + length - 1]
         if len(piece) < length:
             return
-        anchors = window_anchors(piece, length, salt)
+        anchors = window_anchors(piece, length, salt, hot)
         first = max(0, int(np.searchsorted(offsets, p, "right")) - 1)
         last = int(np.searchsorted(offsets, p + len(anchors), "left"))
         lo = np.maximum(offsets[first:last], p) - p
@@ -124,7 +170,7 @@ def _widen(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, blob[:3].decode(), offset=11).astype(np.int64) + int.from_bytes(blob[3:11], "little", signed=True)
 
 
-def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
+def shared_anchors(rows: DataFrame, length: int, hot: Broadcast) -> DataFrame:
     """(k, anchors): packed anchors of the document that another document has too."""
     parts, tasks = buckets(rows, PART)
 
@@ -133,7 +179,7 @@ def shared_anchors(rows: DataFrame, length: int) -> DataFrame:
             ks = batch.column(0).to_numpy()
             docs, names = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for first, offsets, data in byte_slices(batch.column(2), 4 << 20):
-                for owner, _, _, anchor in segments(offsets, data, length):
+                for owner, _, _, anchor in segments(offsets, data, length, hot=hot.value):
                     docs.append(owner + first)
                     names.append(anchor)
             name, k = np.concatenate(names), ks[np.concatenate(docs)]
@@ -363,7 +409,8 @@ def _transform(raw: np.ndarray, offsets: np.ndarray, size: np.ndarray, owners: n
 def removals(rows: DataFrame, length: int) -> DataFrame:
     """(k, c, flags): packed byte runs to remove, in any number of rows per document."""
     parts, tasks = buckets(rows, PART)
-    found = materialize(shared_anchors(rows, length), "anchors")
+    hot = rows.sparkSession.sparkContext.broadcast(hot_strings(rows, length))  # 2^SKETCH_BITS marks
+    found = materialize(shared_anchors(rows, length, hot), "anchors")
     gathered = found.groupBy("k").agg(F.collect_list("anchors").alias("anchors"))
     candidates = rows.join(gathered.hint("shuffle_hash"), "k").select("k", "c", "text", "anchors")
 
@@ -380,7 +427,7 @@ def removals(rows: DataFrame, length: int) -> DataFrame:
                     mine = from_six(b"".join(names[first + i].as_py()))
                     wanted.append(mine | np.uint64(i) << np.uint64(48))
                 want = np.sort(np.concatenate(wanted))
-                for owner, start, windows, anchor in segments(offsets, data, length):
+                for owner, start, windows, anchor in segments(offsets, data, length, hot=hot.value):
                     pair = anchor | owner.astype(np.uint64) << np.uint64(48)
                     hit = want[np.minimum(np.searchsorted(want, pair), len(want) - 1)] == pair if len(want) else np.zeros(len(pair), bool)
                     owner, start, windows = owner[hit], start[hit], windows[hit]

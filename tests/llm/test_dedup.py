@@ -48,9 +48,10 @@ def brute_suffix(docs):
     return got
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 1 << 11])
-def test_suffix_dedup_is_exact(make, monkeypatch, limit):
+@pytest.mark.parametrize("limit,hot", [(1 << 20, 10_000), (1 << 11, 10_000), (1 << 11, 3)])
+def test_suffix_dedup_is_exact(make, monkeypatch, limit, hot):
     monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     docs = dict(enumerate(texts(1)))
     rows = suffix_dedup.op5_suffix_array_dedup(make(*docs.items())).collect()
     assert {r[0]: tuple(r[1:]) for r in rows} == brute_suffix(docs)
