@@ -149,6 +149,8 @@ def maximal_runs(rows: DataFrame, run: int = RUN, words: int | None = WORDS) ->
             heads = heads.join(other, (F.col("f.k") == F.col("_fk")) & (F.col("f.c") == F.col("_fc")) & (F.col("f.p") + F.col("n") == F.col("_fp")), "left")
             step = F.when(F.col("_r") == F.col("_fr"), F.lit(1 << j)).otherwise(F.lit(0))
             heads = heads.select("k", "c", "p", "f", (F.col("n") + step).alias("n"))
+            if j % 4 == 0 and j:  # plans stay short, however many rounds there were
+                heads = materialize(heads, "heads")
         out = heads.select("k", "c", "p", "n", F.col("f.k").alias("source_k"), F.col("f.p").alias("source_p"))
         return keep(materialize(out, "runs"))
 
