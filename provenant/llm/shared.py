@@ -36,6 +36,10 @@ def lean(fn: Callable) -> Callable:
     return run
 
 
+#: Arrays that a task of :func:`folded` combines.
+FAN = 4
+
+
 def folded(rows: DataFrame, column: str, fold: Callable[[np.ndarray | None, pa.Array], np.ndarray], add: Callable, kind: str) -> np.ndarray | None:
     """One array of a fixed size from all rows: each task folds its own into one, and these are combined in a tree.
 
@@ -61,7 +65,7 @@ def folded(rows: DataFrame, column: str, fold: Callable[[np.ndarray | None, pa.A
 
     now = materialize(rows.select(column).mapInArrow(lean(own), "part binary"), "folded")
     while (n := now.count()) > 1:
-        before, now = now, materialize(now.repartition(-(-n // 16)).mapInArrow(both, "part binary"), "folded")
+        before, now = now, materialize(now.repartition(-(-n // FAN)).mapInArrow(both, "part binary"), "folded")
         release(before)
     got = now.collect()  # one row, of the array's size
     release(now)
