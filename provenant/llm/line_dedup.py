@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..operators.numbering import number_rows
 from ..session import materialize, release, scratch
 from .keyed import LAST, doc_id, keyed, once
-from .shared import aside, lean
+from .shared import aside, lean, sliced
 
 #: The least run: so many lines, or fewer of so many words.
 RUN, WORDS = 3, 50
@@ -192,7 +192,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = WORDS, id_c
     joined = rows.join(_gathered(rows, run, words).hint("shuffle_hash"), ["k", "c"], "left").select("k", "c", "text", "runs")
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, removed, runs, kept = [], [], [], []
             for text, own in zip(batch.column(2), batch.column(3), strict=True):
                 text, own = text.as_py(), own.as_py()
@@ -222,7 +222,7 @@ def without_later_copies(docs: DataFrame, run: int = RUN, words: int | None = WO
     joined = joined.select(*docs.columns, "_runs")
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.schema.names
             texts, stay = batch.column(names.index("text")).to_pylist(), []
             for i, own in enumerate(batch.column(names.index("_runs"))):

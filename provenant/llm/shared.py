@@ -100,6 +100,13 @@ def may_hold(held: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (held[at] >> bit & 1).astype(bool)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in views of few rows: what is made of one is handed on before the next."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
