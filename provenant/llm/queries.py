@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chunk_dedup, decontaminate, langid, line_dedup, mixing, quality, secrets, simhash, suffix_dedup
+from . import chat, chunk_dedup, decontaminate, filter_audit, langid, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, turn_repair, url_filter
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +26,19 @@ def queries() -> dict[str, Query]:
         "op9_line_dedup": lambda spark, d: line_dedup.op9_line_dedup(documents(spark, d)),
         "op10_chunk_dedup": lambda spark, d: chunk_dedup.op10_chunk_dedup(documents(spark, d)),
         "op2_simhash_near_dedup": lambda spark, d: simhash.op2_simhash_near_dedup(documents(spark, d)),
+        "op11_conversation_repair": lambda spark, d: turn_repair.op11_conversation_repair(spark.read.parquet(f"{d}/conversations.parquet")),
+        "op12_url_filter": lambda spark, d: url_filter.op12_url_filter(spark.read.parquet(f"{d}/pages.parquet")),
+        "op13_filter_audit": lambda spark, d: filter_audit.op13_filter_audit(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.ORACLE, "op4_secret_scan": secrets.ORACLE, "op7_quality_rules": quality.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {
+        "op1_source_mixing": mixing.ORACLE,
+        "op4_secret_scan": secrets.ORACLE,
+        "op7_quality_rules": quality.ORACLE,
+        "op9_line_dedup": line_dedup.ORACLE,
+        "op11_conversation_repair": turn_repair.ORACLE,
+        "op12_url_filter": url_filter.ORACLE,
+        "op13_filter_audit": filter_audit.ORACLE,
+    }
