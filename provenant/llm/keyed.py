@@ -33,13 +33,25 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def once(rows: DataFrame) -> DataFrame:
-    """Keyed rows with each (k, c) once; where none repeats, which a count of the keys tells, ``rows`` as they are."""
-    twice = materialize(rows.groupBy("k", "c").agg(F.count("*").alias("n")).filter("n > 1").select("k", "c"), "repeated-rows")
+def distinct_rows(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """(keyed rows with each (k, c) once, whether any k has several c).
+
+    Where no k repeats, which a count of the ids alone tells, these are ``rows``
+    as they are.  Repeats are dropped by partial aggregations, so a row that
+    comes very often is no hot key.
+    """
+    twice = materialize(rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"), "repeated-ids")
     if twice.isEmpty():
         release(twice)
-        return rows
-    return rows.join(twice, ["k", "c"], "left_anti").unionByName(rows.join(twice, ["k", "c"], "left_semi").dropDuplicates(["k", "c"]))
+        return rows, False
+    some = rows.join(twice, "k", "left_semi")
+    clash = not some.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a < b").isEmpty()
+    return rows.join(twice, "k", "left_anti").unionByName(some.dropDuplicates(["k", "c"])), clash
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """Keyed rows with each (k, c) once."""
+    return distinct_rows(rows)[0]
 
 
 def with_flags(rows: DataFrame, flags: DataFrame) -> DataFrame:

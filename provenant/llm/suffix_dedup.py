@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
-from .keyed import LAST, buckets, doc_id, keyed, per_owner, unflag, with_flags
-from .shared import byte_slices, dealt, folded, lean, mix64, split_by, trim
+from .keyed import LAST, buckets, distinct_rows, doc_id, keyed, per_owner, unflag, with_flags
+from .shared import byte_slices, dealt, folded, lean, mix64, runs_of, split_by, trim
 
 #: Bytes of the strings that anchors are hashes of.
 SEED = 20
@@ -170,66 +170,74 @@ def _widen(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, blob[:3].decode(), offset=11).astype(np.int64) + int.from_bytes(blob[3:11], "little", signed=True)
 
 
-def shared_anchors(rows: DataFrame, length: int, hot: Broadcast) -> DataFrame:
-    """(k, anchors): packed anchors of the document that another document has too."""
+def shared_anchors(rows: DataFrame, length: int, hot: Broadcast, clash: bool) -> DataFrame:
+    """(k, c, anchors): packed anchors of the document that a document of another id has too.
+
+    ``c`` is carried only where ids ``clash`` (one has several texts), else it
+    is 0.  Neither is null on the way: pandas would make floats of them, which
+    do not hold every id.
+    """
     parts, tasks = buckets(rows, PART)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ks = batch.column(0).to_numpy()
+            cs = batch.column(1).to_numpy() if clash else np.zeros(len(ks), np.int64)
             docs, names = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for first, offsets, data in byte_slices(batch.column(2), 4 << 20):
                 for owner, _, _, anchor in segments(offsets, data, length, hot=hot.value):
                     docs.append(owner + first)
                     names.append(anchor)
-            name, k = np.concatenate(names), ks[np.concatenate(docs)]
-            order = np.lexsort((k, name))
-            name, k = name[order], k[order]
+            name, doc = np.concatenate(names), np.concatenate(docs)
+            k, c = ks[doc], cs[doc]
+            order = np.lexsort((c, k, name))
+            name, k, c = name[order], k[order], c[order]
             new = np.ones(len(name), bool)
-            new[1:] = (name[1:] != name[:-1]) | (k[1:] != k[:-1])
-            name, k = name[new], k[new]  # once per document
-            alone = np.ones(len(name), bool)
-            alone[1:] &= name[1:] != name[:-1]
-            alone[:-1] &= name[:-1] != name[1:]
-            out: dict[str, list] = {"bucket": [], "k": [], "names": [], "ks": [], "known": []}
-            here = np.zeros(int((~alone).sum()), np.int64)
-            for owner, _, blob in zip(*per_owner(k[~alone], here, name[~alone].astype("<u8")), strict=True):
-                for column, v in zip(out.values(), (owner % parts, owner, six_bytes(np.frombuffer(blob, "<u8")), None, None), strict=True):
+            new[1:] = (name[1:] != name[:-1]) | (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+            name, k, c = name[new], k[new], c[new]  # once per document
+            start, end = runs_of(name)
+            alone = np.repeat(k[start] == k[end - 1], end - start)  # no other id of the batch has it
+            out: dict[str, list] = {"bucket": [], "k": [], "c": [], "names": [], "ks": [], "cs": [], "known": []}
+            for a, b, blob in zip(*per_owner(k[~alone], c[~alone], name[~alone].astype("<u8")), strict=True):
+                for column, v in zip(out.values(), ((a ^ b) % parts, a, b, six_bytes(np.frombuffer(blob, "<u8")), None, None, None), strict=True):
                     column.append(v)
-            single, owner, several = name[alone], k[alone], np.unique(name[~alone])
+            single, owner, check, several = name[alone], k[alone], c[alone], np.unique(name[~alone])
             order = np.argsort(owner, kind="stable")
-            single, owner = single[order], owner[order]
+            single, owner, check = single[order], owner[order], check[order]
             nothing = np.empty(0, np.int64)
             first = dict(dealt((single % np.uint64(parts)).astype(np.int64)))
             second = dict(dealt((several % np.uint64(parts)).astype(np.int64)))
             for p in first.keys() | second.keys():
                 a, b = first.get(p, nothing), second.get(p, nothing)
-                for column, v in zip(out.values(), (p, None, six_bytes(single[a]), _narrow(owner[a]), six_bytes(several[b])), strict=True):
+                own = check[a].astype("<u4").tobytes() if clash else None
+                for column, v in zip(out.values(), (p, 0, 0, six_bytes(single[a]), _narrow(owner[a]), own, six_bytes(several[b])), strict=True):
                     column.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int64()] * 3 + [pa.binary()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
         passed, sent = rows[rows["ks"].isna()], rows[rows["ks"].notna()]
         name = from_six(b"".join(sent["names"]))
         k = np.concatenate([_widen(x) for x in sent["ks"]]) if len(sent) else np.empty(0, np.int64)
+        c = np.frombuffer(b"".join(sent["cs"]), "<u4").astype(np.int64) if clash else np.zeros(len(k), np.int64)
         known = np.unique(from_six(b"".join(sent["known"])))
         order = np.lexsort((k, name))
-        name, k = name[order], k[order]
+        name, k, c = name[order], k[order], c[order]
         shared = np.zeros(len(name), bool)
         if len(name):
-            cut = np.flatnonzero(name[1:] != name[:-1]) + 1
-            start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(name)]))
+            start, end = runs_of(name)
             shared = np.repeat(k[start] != k[end - 1], end - start)
             if len(known):
                 shared |= known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
-        a, _, blobs = per_owner(k[shared], np.zeros(int(shared.sum()), np.int64), name[shared].astype("<u8"))
-        blobs = [six_bytes(np.frombuffer(b, "<u8")) for b in blobs]
+        a, b, blobs = per_owner(k[shared], c[shared], name[shared].astype("<u8"))
+        blobs = [six_bytes(np.frombuffer(x, "<u8")) for x in blobs]
         trim()
-        return pd.DataFrame({"k": np.array([*passed["k"], *a], np.int64), "anchors": [*passed["names"], *blobs]})
+        return pd.DataFrame(
+            {"k": np.array([*passed["k"], *a], np.int64), "c": np.array([*passed["c"], *b], np.int64), "anchors": [*passed["names"], *blobs]}
+        )
 
-    sent = rows.mapInArrow(lean(deal), "bucket long, k long, names binary, ks binary, known binary")
-    return sent.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(decide, "k long, anchors binary")
+    sent = rows.mapInArrow(lean(deal), "bucket long, k long, c long, names binary, ks binary, cs binary, known binary")
+    return sent.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(decide, "k long, c long, anchors binary")
 
 
 # -- the transform ---------------------------------------------------------------
@@ -408,11 +416,13 @@ def _transform(raw: np.ndarray, offsets: np.ndarray, size: np.ndarray, owners: n
 
 def removals(rows: DataFrame, length: int) -> DataFrame:
     """(k, c, flags): packed byte runs to remove, in any number of rows per document."""
+    rows, clash = distinct_rows(rows)
     parts, tasks = buckets(rows, PART)
     hot = rows.sparkSession.sparkContext.broadcast(hot_strings(rows, length))  # 2^SKETCH_BITS marks
-    found = materialize(shared_anchors(rows, length, hot), "anchors")
-    gathered = found.groupBy("k").agg(F.collect_list("anchors").alias("anchors"))
-    candidates = rows.join(gathered.hint("shuffle_hash"), "k").select("k", "c", "text", "anchors")
+    found = materialize(shared_anchors(rows, length, hot, clash), "anchors")
+    keys = ["k", "c"] if clash else ["k"]
+    gathered = found.groupBy(*keys).agg(F.collect_list("anchors").alias("anchors"))
+    candidates = rows.join(gathered.hint("shuffle_hash"), keys).select("k", "c", "text", "anchors")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -461,7 +471,7 @@ def removals(rows: DataFrame, length: int) -> DataFrame:
             held = dict(dealt(part[seg]))
             for p, own in mine.items():
                 row = (
-                    p, None, None, None, b"".join([texts[i] for i in own.tolist()]), size[own].astype("<i4").tobytes(),
+                    p, 0, 0, None, b"".join([texts[i] for i in own.tolist()]), size[own].astype("<i4").tobytes(),
                     least[own].tobytes(), places[held.get(p, empty)].tobytes(),
                 )
                 for column, v in zip(out.values(), row, strict=True):

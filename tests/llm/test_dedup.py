@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,61 @@ def test_suffix_dedup_is_exact(make, monkeypatch, limit, hot):
     assert {r[0]: tuple(r[1:]) for r in rows} == brute_suffix(docs)
 
 
+IDS = {
+    "small": lambda i: i,
+    "beyond doubles": lambda i: 2**53 + i,
+    "large": lambda i: 2**62 + 2 * i + 1,
+    "negative": lambda i: -(2**61) + i,
+    "far apart": lambda i: (i - 20) * 2**57 + i,
+}
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+@pytest.mark.parametrize("ids", IDS)
+def test_ids_of_any_size(make, ids, tasks):
+    """Ids are exact wherever they travel; null ids come last, whatever they repeat."""
+    docs = {IDS[ids](i): t for i, t in enumerate(texts(4))}
+    own = " ".join(f"own{i}" for i in range(60))
+    least = min(docs)
+    some = "x" + docs[least] + own  # copies of the first document inside two texts without an id
+    rows = make(*docs.items(), (None, some), (None, some + "y"), (None, docs[least])).repartition(tasks)
+    got = suffix_dedup.op5_suffix_array_dedup(rows).collect()
+    assert {r[0]: tuple(r[1:]) for r in got if r[0] is not None} == brute_suffix(docs)
+    last = max(docs) + 1
+    want = sorted(brute_suffix(docs | {last: t})[last] for t in (some, some + "y", docs[least]))
+    assert sorted(tuple(r[1:]) for r in got if r[0] is None) == want
+    got = chunk_dedup.op10_chunk_dedup(rows).collect()
+    assert {r[0]: tuple(r[1:]) for r in got if r[0] is not None} == brute_chunks(docs)
+    assert [r.n_removed for r in got if r.doc_id is None and r.n_bytes == len(docs[least].encode())] == [len(docs[least].encode())]
+    lines = {IDS[ids](i): t for i, t in line_docs(5).items()}
+    copied = next(t for t in lines.values() if len(t.split("\n")) > 8)
+    _, kept, gone = brute_runs(lines, 3, 50)
+    got = line_dedup.op9_line_dedup(make(*lines.items(), (None, copied), (None, copied + "\nown"), (None, copied)).repartition(tasks)).collect()
+    assert {r.doc_id: r.n_removed for r in got if r.doc_id is not None} == {i: len(g) for i, g in gone.items()}
+    assert {r.n_removed for r in got if r.doc_id is None} == {sum(bool(x.strip()) for x in copied.split("\n"))}
+
+
+def test_repeated_rows_are_looked_at_once(make, spark):
+    """A row repeated very often costs what one does; the marks of its parts do not multiply."""
+    text = " ".join(f"w{i}" for i in range(3000))
+    rows = make((1, text), (2, "a " + text + " b"), (3, "own"))
+    many = rows.filter("doc_id = 2").crossJoin(spark.range(20_000)).select(rows.columns).unionByName(rows.filter("doc_id <> 2"))
+    for query in (suffix_dedup.op5_suffix_array_dedup, chunk_dedup.op10_chunk_dedup):
+        took = time.monotonic()
+        got = query(many).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
+        assert time.monotonic() - took < 90
+        by = {r.doc_id: r for r in got}
+        assert len(got) == 3 and by[2]["count"] == 20_000 and by[1].n_removed == by[3].n_removed == 0 and by[2].n_removed >= len(text) - 600
+
+
+def test_one_line_repeated_very_often_is_linear(make):
+    n = 200_000
+    took = time.monotonic()
+    rows = {r.doc_id: r for r in line_dedup.op9_line_dedup(make((1, "\n".join(["-" * 12] * n)), (2, "a\nb"))).collect()}
+    assert time.monotonic() - took < 120
+    assert rows[1].n_lines == n and rows[1].n_removed >= n - 3 and rows[2].n_removed == 0
+
+
 def test_open_boundaries_on_random_bytes():
     rng = np.random.default_rng(3)
     for size, sigma, length in ((500, 2, 5), (3000, 3, 21), (2000, 250, 30)):
