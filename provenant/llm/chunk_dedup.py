@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import buckets, doc_id, keyed, per_owner, unflag, with_flags
+from .keyed import buckets, doc_id, keyed, once, per_owner, unflag, with_flags
 from .shared import byte_slices, dealt, lean, trim
 
 #: Bytes the gear hash looks back; no chunk that ends at a boundary is shorter.
@@ -81,7 +81,10 @@ def chunks(offsets: np.ndarray, data: np.ndarray) -> Iterator[list[int]]:
 
 
 def chunk_flags(rows: DataFrame) -> DataFrame:
-    """(k, c, flags): packed numbers of the chunks to remove, in any number of rows per document."""
+    """(k, c, flags): packed numbers of the chunks to remove, in any number of rows per document.
+
+    ``k`` and ``c`` are never null on the way: pandas would make floats of them, which do not hold every id.
+    """
     parts, tasks = buckets(rows, PART)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +120,7 @@ def chunk_flags(rows: DataFrame) -> DataFrame:
                     out[name].append(v)
             d, doc, number = d[same], doc[same], number[same]
             for p, own in dealt((d["lo"] % np.uint64(parts)).astype(np.int64)):
-                row = (p, None, None, d[own].tobytes(), ks[doc[own]].tobytes(), cs[doc[own]].tobytes(), number[own].astype(FLAG).tobytes())
+                row = (p, 0, 0, d[own].tobytes(), ks[doc[own]].tobytes(), cs[doc[own]].tobytes(), number[own].astype(FLAG).tobytes())
                 for name, v in zip(out, row, strict=True):
                     out[name].append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -185,7 +188,7 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays(arrays, names=["k", "n_bytes", "n_chunks", "n_removed_chunks", "n_removed", "kept"])
 
     schema = "k long, n_bytes long, n_chunks long, n_removed_chunks long, n_removed long, kept binary"
-    return with_flags(rows, chunk_flags(rows)).mapInArrow(lean(apply), schema)
+    return with_flags(rows, chunk_flags(once(rows))).mapInArrow(lean(apply), schema)
 
 
 def op10_chunk_dedup(docs: DataFrame) -> DataFrame:
