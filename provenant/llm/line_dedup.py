@@ -155,21 +155,26 @@ def maximal_runs(rows: DataFrame, run: int = RUN, words: int | None = WORDS) ->
         return keep(materialize(out, "runs"))
 
 
-def drop_covered(text: str, gone: set[int]) -> tuple[str, int, int]:
-    """(text without the lines of these numbers, lines removed, maximal runs); lines without a word stay and are not numbered."""
-    kept, p = [], 0
-    for line in text.split("\n"):
+def drop_covered(text: str, runs: list[dict]) -> tuple[str, int, int]:
+    """(text without the lines that ``runs`` (p, n) cover, lines removed, maximal runs); lines without a word stay and are not numbered.
+
+    Runs are marked by their ends, so their work is their number and that of
+    the lines, however far they overlap.
+    """
+    lines = text.split("\n")
+    edges = np.zeros(len(lines) + 1, np.int64)
+    np.add.at(edges, [x["p"] for x in runs], 1)
+    np.add.at(edges, [x["p"] + x["n"] for x in runs], -1)
+    gone = np.cumsum(edges) > 0
+    marked, kept, p = gone.tolist(), [], 0
+    for line in lines:
         if line.strip(_SPACE):
-            if p not in gone:
+            if not marked[p]:
                 kept.append(line)
             p += 1
         else:
             kept.append(line)
-    return "\n".join(kept), len(gone), sum(g - 1 not in gone for g in gone)
-
-
-def _covered(runs: list[dict] | None) -> set[int]:
-    return {x["p"] + o for x in runs or () for o in range(x["n"])}
+    return "\n".join(kept), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
 
 
 def _gathered(rows: DataFrame, run: int, words: int | None) -> DataFrame:
@@ -196,7 +201,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = WORDS, id_c
             n, removed, runs, kept = [], [], [], []
             for text, own in zip(batch.column(2), batch.column(3), strict=True):
                 text, own = text.as_py(), own.as_py()
-                left, a, b = drop_covered(text, _covered(own)) if own else (text, 0, 0)
+                left, a, b = drop_covered(text, own) if own else (text, 0, 0)
                 for column, v in zip((n, removed, runs, kept), (text.count("\n") + 1, a, b, left), strict=True):
                     column.append(v)
             arrays = [batch.column(0), batch.column(1), *[pa.array(v, pa.int64()) for v in (n, removed, runs)], pa.array(kept, pa.string())]
@@ -228,7 +233,7 @@ def without_later_copies(docs: DataFrame, run: int = RUN, words: int | None = WO
             for i, own in enumerate(batch.column(names.index("_runs"))):
                 own = own.as_py()
                 if own:
-                    texts[i] = drop_covered(texts[i], _covered(own))[0]
+                    texts[i] = drop_covered(texts[i], own)[0]
                 stay.append(not own or bool(texts[i].strip(_SPACE)))
             out = []
             for f in schema.names:
