@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import materialize
 
@@ -21,67 +22,72 @@ ASSIGN = (
 )
 ACCESS = "AKIA[A-Z0-9]{16,}"  # of AKIA[A-Z0-9]+ the matches of 20 and more; shorter ones end where these cannot start
 HEX = "[0-9a-f]{24,}"  # likewise of [0-9a-f]+
-#: Rules that the method adds: key blocks and tokens with a prefix of their own (fixed values).
+#: Rules that the method adds: key blocks and tokens with a prefix of their own (fixed values).  A token's head is
+#: bounded, as each ``eyJ`` of a long run would be followed to the run's end otherwise.
 ADDED = {
     "pem": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "github": "gh[pousr]_[A-Za-z0-9]{36,}",
     "slack": "xox[abprs]-[A-Za-z0-9-]{10,}",
-    "jwt": "eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}",
+    "jwt": "eyJ[A-Za-z0-9_-]{10,1000}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}",
 }
 BASE = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 KINDS = [*BASE, *ADDED]
 
 
-def _step(place: int, kind: str):
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["p"]
-        end = start + x["m"]
-        one = F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.array_append(acc["all"], one).alias("all"))
+def _numbered(place: int, least: int):
+    """Of (length before, length, length of the value) and a number; a value is valid from ``least`` characters."""
+    return lambda x, i: F.struct(F.lit(place).alias("place"), i.alias("i"), x["p"].alias("p"), x["m"].alias("m"), (x["v"] >= least).alias("ok"))
 
-    return step
 
+def _lengths(rules: dict[str, str]) -> Column:
+    """One array of (place of kind, number, length before, length, valid) of all matches, from the pieces between matches.
 
-def _spans(df: DataFrame) -> DataFrame:
-    """Adds an array of (start, place of kind, end, kind) for each kind, from the pieces between matches.
-
-    A regular expression's matches and the text split by it alternate, so starts
-    are sums of lengths (in code points).  Texts without a match are not split.
+    A regular expression's matches and the text split by it alternate, so
+    starts are running sums of lengths (in code points).  Texts without a match
+    are not split.
     """
-    rules = BASE | ADDED
-    text = F.col("text")
-    whole = {k: F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1)) for k, p in rules.items()}
-    df = df.withColumns({f"_m_{k}": F.transform(c, lambda m: F.length(m)) for k, c in whole.items()})
-    found = lambda k: F.size(f"_m_{k}") > 0
-    df = df.withColumns(
-        {f"_p_{k}": F.when(found(k), F.transform(F.split(text, p, -1), lambda x: F.length(x))) for k, p in rules.items()}
-        | {"_v_assign": F.when(found("assign"), F.transform(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x)))}
+    text, arrays = F.col("text"), []
+    for place, (k, p) in enumerate(rules.items()):
+        matches = F.transform(F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1)), lambda m: F.length(m))
+        pieces = F.transform(F.split(text, p, -1), lambda x: F.length(x))
+        values = F.transform(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x)) if k == "assign" else matches
+        zipped = F.arrays_zip(pieces.alias("p"), matches.alias("m"), values.alias("v"))
+        found = F.filter(F.transform(zipped, _numbered(place, 6 if k == "assign" else 0)), lambda x: x["m"].isNotNull())  # the last piece is after all matches
+        arrays.append(F.when(F.rlike(text, F.lit(p)), found).otherwise(F.array().cast("array<struct<place:int,i:int,p:int,m:int,ok:boolean>>")))
+    return F.concat(*arrays)
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """(blob_id, counts, base_spans, spans) of the blobs with matches, by (blob_id, found).
+
+    Matches are rows here, so a running sum is a window over one blob's matches
+    of a kind and a text of very many matches costs no more for each of them.
+    """
+    each = found.select("blob_id", F.inline("found")).repartition("blob_id")
+    upto = Window.partitionBy("blob_id", "place").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = each.withColumn("end", F.sum(F.col("p") + F.col("m")).over(upto).cast("int")).filter("ok")
+    spans = ends.groupBy("blob_id").agg(
+        F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("m")).alias("start"), "place", "end"))).alias("all"),
+        *[F.count_if(F.col("place") == i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
     )
-    nothing = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
-    columns = {}
-    for place, k in enumerate(rules):
-        lengths = F.arrays_zip(F.slice(f"_p_{k}", 1, F.size(f"_m_{k}")).alias("p"), F.col(f"_m_{k}").alias("m"))
-
-        all_ = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), nothing.alias("all")), _step(place, k), lambda acc: acc["all"])
-        if k == "assign":
-            all_ = F.filter(all_, lambda s, i: F.get("_v_assign", i) >= 6)
-        columns[f"s_{k}"] = F.when(found(k), all_).otherwise(nothing)
-    return df.withColumns(columns).drop(*[c for k in rules for c in (f"_m_{k}", f"_p_{k}")], "_v_assign")
-
-
-def _joined(*kinds: str) -> Column:
-    every = F.array_sort(F.concat(*[F.col(f"s_{k}") for k in kinds]))
-    return F.array_join(F.transform(every, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    names = F.array(*[F.lit(k) for k in KINDS])
+    joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(names, s["place"]), s["start"], s["end"])), ",")
+    base = F.filter("all", lambda s: s["place"] < len(BASE))
+    return spans.select("blob_id", *[f"n_{k}" for k in KINDS], joined(base).alias("base_spans"), joined(F.col("all")).alias("spans"))
 
 
 def scan(blobs: DataFrame, rule_version: int = RULE_VERSION) -> DataFrame:
-    """Ledger rows of (blob_id, text): counts of base kinds, base spans and all spans as text."""
-    return _spans(blobs).select(
+    """Ledger rows of (blob_id, text), one for each blob: counts of kinds, base spans and all spans as text.
+
+    Lengths of matches are written once, without the texts.
+    """
+    found = materialize(blobs.select("blob_id", _lengths(BASE | ADDED).alias("found")).dropDuplicates(["blob_id"]), "scanned")
+    ledger = found.select("blob_id").join(_spans(found.filter(F.size("found") > 0)), "blob_id", "left")
+    return ledger.select(
         "blob_id",
         F.lit(rule_version).alias("rule_version"),
-        *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
-        _joined(*BASE).alias("base_spans"),
-        _joined(*KINDS).alias("spans"),
+        *[F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS],
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("base_spans", "spans")],
     )
 
 
@@ -117,8 +123,8 @@ def update_ledger(versions: DataFrame, ledger_dir: str | None = None, rule_versi
     unseen = own.join(chosen, (F.col("at") == F.col("_at")) & (F.col("blob_id") == F.col("_blob")), "left_semi")
     fresh = scan(unseen.select("blob_id", "text"), rule_version)
     if ledger_dir is None:
-        return materialize(materialize(fresh, "scanned").dropDuplicates(["blob_id"]), "ledger")
-    fresh.dropDuplicates(["blob_id"]).write.mode("append").parquet(ledger_dir)
+        return materialize(fresh, "ledger")
+    fresh.write.mode("append").parquet(ledger_dir)
     ledger = spark.read.parquet(ledger_dir).filter(F.col("rule_version") == rule_version)
     return ledger.join(names.select("blob_id").distinct(), "blob_id", "left_semi").dropDuplicates(["blob_id"])
 
