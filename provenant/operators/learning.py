@@ -1,25 +1,13 @@
-"""Stratified splits, exact balancing, boosted trees and their importances."""
+"""Stratified splits and exact balancing."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
 from .numbering import number_rows
 
 
-#: Boosting rounds of the inherited model (fixed value).
-ROUNDS = 2000
-#: A split in the text form of a tree, with the number of its feature.
-_SPLIT = re.compile(r"\bIf \(feature (\d+) ")
-
-
 def hash_order(key: str, seed: int) -> Column:
     """A pseudo-random order that depends on key and seed only, so a re-run of a lost task agrees."""
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
@@ -61,36 +49,3 @@ def upsample_minority(df: DataFrame, key: str, label: str, seed: int = 42) -> Da
         F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(counts[minor])).alias("_i")
     )
     return df.filter(F.col(label) == major).unionByName(draws.join(numbered, "_i").drop("_i"))
-
-
-def assemble(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    numeric = df.withColumns({c: F.col(c).cast("double") for c in features} | {"_label": F.col(label).cast("double")})
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(numeric)
-
-
-def train_boosted(
-    df: DataFrame, features: list[str], label: str, rounds: int = ROUNDS, depth: int = 6, step: float = 0.3, seed: int = 42
-) -> GBTClassificationModel:
-    """Logistic boosting, with the inherited number of rounds and the usual defaults of depth and step.
-
-    A round is a few jobs over all rows, whatever their number; lineage is cut every ten rounds.
-    """
-    df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    gbt = GBTClassifier(
-        labelCol="_label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, checkpointInterval=10, cacheNodeIds=True
-    )
-    return gbt.fit(assemble(df, features, label))
-
-
-def score(model: GBTClassificationModel, df: DataFrame, features: list[str], label: str) -> DataFrame:
-    out = model.transform(assemble(df, features, label))
-    return out.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability")
-
-
-def split_counts(model: GBTClassificationModel, features: list[str], top: int = 20) -> list[tuple[str, int]]:
-    """How often each feature splits a node, largest first, ties in feature order."""
-    counts = dict.fromkeys(features, 0)
-    for i in _SPLIT.findall(model.toDebugString):
-        counts[features[int(i)]] += 1
-    order = {f: i for i, f in enumerate(features)}
-    return sorted(((f, n) for f, n in counts.items() if n), key=lambda x: (-x[1], order[x[0]]))[:top]

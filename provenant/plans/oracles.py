@@ -15,7 +15,8 @@ _VIEWS = {
     "cex": "SELECT c_custkey AS address FROM customer WHERE c_mktsegment = 'MACHINERY'",
     "dex": "SELECT c_custkey AS address FROM customer WHERE c_mktsegment = 'FURNITURE'",
     "interactors": "SELECT c_custkey AS address FROM customer WHERE c_acctbal >= 0",
-    "sybil_set": "SELECT c_custkey AS address FROM customer WHERE c_acctbal < 0",
+    "sybil_set": """SELECT c_custkey AS address FROM customer LEFT JOIN (SELECT o_custkey, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+        ON o_custkey = c_custkey WHERE (coalesce(quantity, 0) > 1150) <> (left(md5(c_custkey::VARCHAR), 1) = 'f')""",
     "label_dim": """SELECT address, 'cex' AS label_type FROM cex UNION ALL SELECT address, 'dex' FROM dex
         UNION ALL SELECT address, 'cex' FROM cex UNION ALL SELECT address, 'other' FROM labeled""",
     "msg": """SELECT o_custkey AS sender, l_returnflag AS source_chain, o_orderpriority AS destination_chain, p_brand AS project,
@@ -132,9 +133,8 @@ _VIEWS = {
         CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / pos) / (tp / (tp + fp) + tp / pos) END AS f1
         FROM (SELECT threshold, CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(pos AS DOUBLE) AS pos FROM cuts)""",
     "splits": """SELECT addr, sybil, CASE WHEN rn <= nt THEN 'test' WHEN rn <= nt + round((n - nt) * 0.3) THEN 'validation' ELSE 'train' END AS split
-        FROM (SELECT *, round(n * 0.3) AS nt FROM (SELECT c_custkey AS addr, CAST(c_acctbal < 0 AS INTEGER) AS sybil,
-          row_number() OVER (PARTITION BY c_acctbal < 0 ORDER BY md5(c_custkey || ':42'), c_custkey) AS rn,
-          count(*) OVER (PARTITION BY c_acctbal < 0) AS n FROM customer))""",
+        FROM (SELECT *, round(n * 0.3) AS nt FROM (SELECT addr, sybil, row_number() OVER (PARTITION BY sybil ORDER BY md5(addr || ':42'), addr) AS rn, count(*) OVER (PARTITION BY sybil) AS n
+          FROM (SELECT c_custkey AS addr, CAST(c_custkey IN (SELECT address FROM sybil_set) AS INTEGER) AS sybil FROM customer)))""",
 }
 
 
@@ -362,9 +362,9 @@ def oracle_sql() -> dict[str, str]:
             (SELECT *, lag(fpr) OVER w AS lf, lag(tpr) OVER w AS lt FROM
               (SELECT threshold, CAST(fp AS DOUBLE) / neg AS fpr, CAST(tp AS DOUBLE) / pos AS tpr FROM cuts) WINDOW w AS (ORDER BY threshold DESC))""",
         ),
-        "split_rows": _with("splits", "SELECT addr, sybil, split FROM splits"),
+        "split_rows": _with("sybil_set splits", "SELECT addr, sybil, split FROM splits"),
         "split_balance": _with(
-            "splits per",
+            "sybil_set splits per",
             """SELECT split, sybil, CASE WHEN split = 'train' THEN max(n) OVER (PARTITION BY split) ELSE n END AS n FROM per""",
             per="SELECT split, sybil, count(*) AS n FROM splits GROUP BY 1, 2",
         ),

@@ -16,6 +16,8 @@ from ..sources import read_table
 #: Home chains among the proxy values and the time limits of the behaviour blocks (fixed values).
 HOME_SOURCE, HOME_DESTINATION = "A", "1-URGENT"
 CUTOFF = "1998-01-01 00:00:00"
+#: Total quantity above which a customer counts as one of the truth list (a value of this proxy alone).
+SYBIL_QUANTITY = 1150.0
 
 
 class Proxies:
@@ -96,7 +98,16 @@ class Proxies:
 
     @property
     def sybil(self) -> DataFrame:
-        return self._customers("c_acctbal < 0")
+        """Customers of large total quantities, one in sixteen classes turned over by a digest of the key.
+
+        No feature reads quantities; features only follow the activity behind them, so the class can be learned but not read off.
+        """
+        l, o, c = self.table("lineitem"), self.table("orders"), self.table("customer")  # noqa: E741
+        totals = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.sum("l_quantity").alias("quantity"))
+        joined = c.join(totals, F.col("c_custkey") == F.col("o_custkey"), "left")
+        large = F.coalesce(F.col("quantity"), F.lit(0.0)) > SYBIL_QUANTITY
+        noise = F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 1) == "f"
+        return joined.filter(large != noise).select(F.col("c_custkey").alias("address"))
 
     @property
     def label_dim(self) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import behaviour, cleaning, exchange, forest, funding, labels, learning, master, metrics, walks
+from ..operators import behaviour, boosting, cleaning, exchange, forest, funding, labels, learning, master, metrics, walks
 from ..operators.progress import progress_rows
 from ..session import materialize, shared_dir
 from ..sources import (
@@ -425,17 +425,17 @@ def split_balance(p: Proxies) -> DataFrame:
 QUERY_ROUNDS = 100
 
 
-def fitted(p: Proxies, rounds: int = QUERY_ROUNDS):
+def fitted(p: Proxies, rounds: int | None = None) -> tuple[DataFrame, boosting.Model]:
     """(all rows with their split, the model of the train rows)."""
     rows = _features(p).withColumn("sybil", F.col("sybil").cast("int"))
     rows = materialize(learning.stratified_split(rows, "addr", "sybil"), "split")
     train = learning.upsample_minority(rows.filter("split = 'train'"), "addr", "sybil")
-    return rows, learning.train_boosted(materialize(train, "train"), master.FEATURES, "sybil", rounds)
+    return rows, boosting.fit(train, master.FEATURES, "sybil", rounds or QUERY_ROUNDS)
 
 
 def _scored(p: Proxies) -> DataFrame:
     rows, model = fitted(p)
-    scored = learning.score(model, rows.filter("split <> 'train'"), master.FEATURES, "sybil")
+    scored = model.score(rows.filter("split <> 'train'").select("addr", "split", "sybil", *master.FEATURES))
     return scored.select("addr", "split", F.col("sybil").alias("label"), "score", (F.col("score") > 0.5).cast("int").alias("prediction"))
 
 
@@ -463,7 +463,7 @@ def train_evaluation(p: Proxies) -> DataFrame:
 @query
 def topk_importance(p: Proxies) -> DataFrame:
     _, model = fitted(p)
-    rows = [(i + 1, f, n) for i, (f, n) in enumerate(learning.split_counts(model, master.FEATURES))]
+    rows = [(i + 1, f, n) for i, (f, n) in enumerate(model.split_counts())]
     return p.spark.createDataFrame(rows, "place int, feature string, splits int")
 
 

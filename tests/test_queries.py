@@ -52,22 +52,18 @@ def test_training_scores(spark, monkeypatch, tmp_path):
 
 
 def test_importance_counts_splits(spark, monkeypatch):
-    monkeypatch.setattr(plans_queries, "QUERY_ROUNDS", 2)
+    monkeypatch.setattr(plans_queries, "QUERY_ROUNDS", 12)
     seen = []
     fitted = plans_queries.fitted
     monkeypatch.setattr(plans_queries, "fitted", lambda p: seen.append(fitted(p)) or seen[-1])
     rows = plans.queries()["topk_importance"](spark, SF).collect()
     counts = {}
     for tree in seen[0][1].trees:
-        stack = [tree._java_obj.rootNode()]
-        while stack:
-            node = stack.pop()
-            if node.numDescendants() > 0:
-                name = FEATURES[node.split().featureIndex()]
-                counts[name] = counts.get(name, 0) + 1
-                stack += [node.leftChild(), node.rightChild()]
+        for f in tree.feature:
+            if f >= 0:
+                counts[FEATURES[f]] = counts.get(FEATURES[f], 0) + 1
     want = sorted(counts.items(), key=lambda x: (-x[1], FEATURES.index(x[0])))[:20]
-    assert [(r.feature, r.splits) for r in rows] == want and len(FEATURES) == 63
+    assert [(r.feature, r.splits) for r in rows] == want and len(FEATURES) == 63 and len(want) == 20
 
 
 def test_entry(spark):
