@@ -53,27 +53,68 @@ def first_funding(transfers: DataFrame) -> DataFrame:
     return as_edges(earliest_blocks(transfers))
 
 
+def _by_jumps(parents: DataFrame, seeds: DataFrame, max_level: int, keep) -> DataFrame:
+    """What ``seeds`` (a) reach in ``max_level`` steps at most over (node, ptr), one pointer per node; written.
+
+    Table j has every node's 2^j-th ancestor, and what is reached in less than
+    2^j steps doubles by one join with it; the steps that are left at the end
+    are put together from the tables.  Rounds are twice the logarithm of the
+    bound at most, and end as soon as nothing new is reached.
+    """
+
+    def ahead(places: DataFrame, jump: DataFrame) -> DataFrame:
+        return places.join(jump, places["a"] == jump["node"]).select(F.col("ptr").alias("a")).distinct()
+
+    jumps, reached, size = [materialize(parents, "jump")], seeds, 1  # all in less than ``size`` steps
+    count = reached.count()
+    while 2 * size - 1 <= max_level:
+        more = keep(materialize(reached.unionByName(ahead(reached, jumps[-1])).distinct(), "reached"))
+        grown = more.count()
+        reached, size = more, 2 * size
+        if grown == count:
+            return reached
+        count, jump = grown, jumps[-1]
+        further = jump.select(F.col("node").alias("ptr"), F.col("ptr").alias("_p"))
+        jumps.append(materialize(jump.join(further, "ptr").select("node", F.col("_p").alias("ptr")), "jump"))
+    left, places = max_level - (size - 1), reached
+    for j, jump in enumerate(jumps):
+        if left >> j & 1:
+            places = materialize(ahead(places, jump), "reached")
+    return keep(materialize(reached.unionByName(places).distinct(), "reached")) if left else reached
+
+
+def _by_levels(edges: DataFrame, seeds: DataFrame, max_level: int, keep) -> DataFrame:
+    """The same where an address has several providers: a frontier loop.
+
+    Each level joins only addresses not reached before, so cycles end.  What
+    was reached is one growing set of files, a single scan however many levels
+    there were.
+    """
+    levels, frontier, seen = [seeds], seeds, seeds
+    for _ in range(max_level):
+        reached = edges.join(frontier, edges["activated_address"] == frontier["a"], "left_semi")
+        fresh = reached.select(F.col("gas_provider").alias("a")).filter("a IS NOT NULL").distinct()
+        frontier = materialize(fresh.join(seen, "a", "left_anti"), "closure")
+        if frontier.isEmpty():
+            break
+        levels.append(keep(frontier))
+        seen = edges.sparkSession.read.schema(frontier.schema).parquet(*[x._materialized_path for x in levels])
+    return seen
+
+
 def provision_closure(edges: DataFrame, seeds: DataFrame, max_level: int = 500) -> DataFrame:
-    """All distinct edges on the way up from ``seeds`` (one column), self-loops included.
+    """All distinct edges on the way up from ``seeds`` (one column), self-loops included, of addresses ``max_level`` steps away at most.
 
-    A frontier loop over written edges: each level joins only addresses not
-    reached before, so cycles end.  What was reached is one growing set of
-    files, a single scan however many levels there were.
+    One provider per address, as first funding has it, is followed by doubling;
+    several by levels.
     """
-    spark, column = edges.sparkSession, seeds.columns[0]
+    column = seeds.columns[0]
     with scratch() as keep:
         edges = keep(materialize(edges, "edges"))
-        frontier = materialize(seeds.select(F.col(column).alias("a")).distinct(), "closure")
-        levels = [keep(frontier)]
-        seen = frontier
-        for _ in range(max_level):
-            reached = edges.join(frontier, edges["activated_address"] == frontier["a"], "left_semi")
-            fresh = reached.select(F.col("gas_provider").alias("a")).filter("a IS NOT NULL").distinct()
-            frontier = materialize(fresh.join(seen, "a", "left_anti"), "closure")
-            if frontier.isEmpty():
-                break
-            levels.append(keep(frontier))
-            seen = spark.read.schema(frontier.schema).parquet(*[x._materialized_path for x in levels])
+        start = keep(materialize(seeds.select(F.col(column).alias("a")).filter("a IS NOT NULL").distinct(), "closure"))
+        parents = edges.select(F.col("activated_address").alias("node"), F.col("gas_provider").alias("ptr")).filter("node <> ptr").distinct()
+        several = parents.groupBy("node").agg(F.min("ptr").alias("x"), F.max("ptr").alias("y")).filter("x < y")
+        seen = _by_jumps(parents, start, max_level, keep) if several.isEmpty() else _by_levels(edges, start, max_level, keep)
     return edges.join(seen, edges["activated_address"] == seen["a"], "left_semi").distinct()
 
 

@@ -115,6 +115,13 @@ _VIEWS = {
         CAST(count(*) FILTER (gas > 0) AS DOUBLE) / count(*) AS sparsity, 0.0 AS gini_coefficient,
         CASE WHEN count(*) >= 3 AND count(DISTINCT depth) = count(*) THEN count(*) ELSE 0 END AS pure_chain_length
         FROM nodes n GROUP BY 1""",
+    "up": """SELECT node AS anc, 0::BIGINT AS d, node, root, depth FROM placed
+        UNION ALL SELECT t.gas_provider, u.d + 1, u.node, u.root, u.depth FROM up u JOIN tedge t ON t.activated_address = u.anc""",
+    "sizes": "SELECT anc AS node, root, count(*) AS size FROM up GROUP BY 1, 2",
+    "apart": """SELECT x.root, x.node, y.node AS other, min(x.d + y.d) AS far FROM up x JOIN up y ON x.anc = y.anc WHERE x.node <> y.node GROUP BY 1, 2, 3""",
+    "parts": """SELECT t.gas_provider AS node, size AS part FROM sizes JOIN tedge t ON t.activated_address = node
+        UNION ALL SELECT s.node, r.size - s.size FROM sizes s JOIN sizes r ON r.node = s.root""",
+    "through": "SELECT node, (sum(part) * sum(part) - sum(part * part)) / 2.0 AS betweenness FROM parts GROUP BY 1",
     "pmap": "SELECT activated_address AS addr, gas_provider FROM first_edge",
     "walk": """SELECT c_custkey AS addr, c_custkey AS cur, CAST(0 AS BIGINT) AS len, CAST(0 AS BIGINT) AS cnt, true AS going FROM customer
         UNION ALL SELECT w.addr, f.gas_provider, w.len + (f.gas_provider IS NOT NULL AND f.gas_provider <> w.cur)::BIGINT,
@@ -147,7 +154,8 @@ def _round(columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {2 if c == 'total_gas' else digits}) + 0.0 AS {c}" for c in columns.split())
 
 
-_FOREST = "xfer first_edge labeled tedge placed nodes"
+_PLACED = "xfer first_edge labeled tedge placed"
+_FOREST = _PLACED + " nodes"
 _BEHAVIOUR = "msg txs eth l0 l0_home tx_out tx_in behaviour"
 _MONEY = "max_stargate_swap avg_stargate_swap min_stargate_swap max_native_drop_usd avg_native_drop_usd"
 _L0_D = " ".join(f"l0_{c}" for c in _MONEY.split()) + " n_l0_dest_chain_per_source_chain n_l0_project_per_source_chain"
@@ -332,6 +340,24 @@ def oracle_sql() -> dict[str, str]:
         "member_features": _with(
             tm, "SELECT node AS addr, depth, tree_size, max_depth FROM nodes JOIN tm USING (root) WHERE depth >= 1"
         ),
+        "subtree_totals": _with(
+            f"{_PLACED} up",
+            """SELECT anc AS node, u.root, min(depth) AS depth, count(*) AS subtree_size, round(coalesce(sum(amount), 0)::DOUBLE, 2) + 0.0 AS subtree_amount,
+            round(coalesce(sum(amount * depth), 0)::DOUBLE, 2) + 0.0 AS subtree_depth_amount FROM up u
+            LEFT JOIN (SELECT activated_address, sum(amount) AS amount FROM first_edge GROUP BY 1) g ON g.activated_address = u.node GROUP BY 1, 2""",
+        ),
+        "node_centrality": _with(
+            f"{_PLACED} up sizes apart parts through",
+            """SELECT node, root, sum(far)::BIGINT AS distance_sum, round(count(*)::DOUBLE / sum(far), 9) + 0.0 AS closeness, round(betweenness::DOUBLE, 9) + 0.0 AS betweenness
+            FROM apart JOIN through USING (node) GROUP BY node, root, betweenness""",
+        ),
+        "tree_paths": _with(
+            f"{_PLACED} up sizes apart parts through",
+            """SELECT root, tree_size, round(mean_path_length, 9) + 0.0 AS mean_path_length, round(max_betweenness::DOUBLE, 9) + 0.0 AS max_betweenness,
+            round(max_edge_betweenness, 9) + 0.0 AS max_edge_betweenness FROM (SELECT root, avg(far) AS mean_path_length FROM apart GROUP BY 1)
+            JOIN (SELECT s.root, max(betweenness) AS max_betweenness, max(r.size) AS tree_size, max((s.size * (r.size - s.size))::DOUBLE) AS max_edge_betweenness
+            FROM sizes s JOIN sizes r ON r.node = s.root JOIN through t ON t.node = s.node GROUP BY 1) USING (root)""",
+        ),
         "chain_walk": _with(
             "xfer first_edge labeled interactors pmap walk walked", "SELECT *, false AS in_cycle FROM walked"
         ),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import behaviour, boosting, cleaning, exchange, forest, funding, labels, learning, master, metrics, walks
+from ..operators import behaviour, boosting, cleaning, communities, exchange, forest, funding, labels, learning, master, metrics, tour, walks
 from ..operators.progress import progress_rows
 from ..session import materialize, shared_dir
 from ..sources import (
@@ -333,6 +333,52 @@ def member_features(p: Proxies) -> DataFrame:
     return forest.member_features(nodes, forest.tree_metrics(nodes)).select("addr", "depth", "tree_size", "max_depth")
 
 
+def _tour(p: Proxies) -> tuple[DataFrame, DataFrame]:
+    """(first funding edges, written; the tour of their forest)."""
+    edges = materialize(p.first_edge, "edges")
+    return edges, tour.euler_tour(forest.tree_edges(edges, p.labeled))
+
+
+@query
+def subtree_totals(p: Proxies) -> DataFrame:
+    edges, walked = _tour(p)
+    amounts = edges.groupBy(F.col("activated_address").alias("node")).agg(F.sum("amount").alias("amount"))
+    return _rounded(tour.subtree_totals(walked, amounts), 2)
+
+
+@query
+def node_centrality(p: Proxies) -> DataFrame:
+    return _rounded(tour.path_metrics(_tour(p)[1]), 9)
+
+
+@query
+def tree_paths(p: Proxies) -> DataFrame:
+    return _rounded(tour.tree_paths(_tour(p)[1]), 9)
+
+
+@query
+def tree_shapes(p: Proxies) -> DataFrame:
+    """How many trees have one shape, whatever the order of children."""
+    whole = tour.shapes(_tour(p)[1]).filter("depth = 0")
+    return whole.groupBy("shape", F.col("size").alias("tree_size")).agg(F.count("*").alias("trees")).select("tree_size", "trees", "shape")
+
+
+def _provision_graph(p: Proxies) -> DataFrame:
+    return p.first_edge.select(F.col("activated_address").alias("a"), F.col("gas_provider").alias("b"), F.lit(1).alias("w"))
+
+
+@query
+def louvain_communities(p: Proxies) -> DataFrame:
+    return communities.louvain(_provision_graph(p))[0]
+
+
+@query
+def louvain_modularity(p: Proxies) -> DataFrame:
+    """Number of communities and modularity of each level."""
+    graph = materialize(_provision_graph(p), "graph")
+    return _rounded(communities.modularity(graph, communities.louvain(graph)[0]), 9)
+
+
 @query
 def chain_walk(p: Proxies) -> DataFrame:
     addresses = p.table("customer").select(F.col("c_custkey").alias("addr"))

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from provenant import session
 from provenant.operators import forest, funding, walks
 
 
@@ -107,3 +108,41 @@ def test_running_star_flag(spark):
     rows = spark.createDataFrame([("p1", "a", 1.0), ("p2", "a", 1.0), ("p2", "b", 1.0), ("p3", "a", 1.0)], "gas_provider string, activated_address string, amount double")
     got = {(r.gas_provider, r.activated_address): r.provider_is_star_like_attack for r in funding.star_features(rows, names(spark)).collect()}
     assert got == {("p1", "a"): 0, ("p2", "a"): 1, ("p2", "b"): 1, ("p3", "a"): 1}
+
+
+def reach(edges, seeds, levels):
+    """Edges out of what ``seeds`` reach, by plain levels."""
+    out, seen, now = {}, set(seeds), set(seeds)
+    for p, c in edges:
+        out.setdefault(c, []).append(p)
+    for _ in range(levels):
+        now = {p for c in now for p in out.get(c, ())} - seen
+        seen |= now
+    return {(p, c) for p, c in edges if c in seen}
+
+
+@pytest.mark.parametrize("levels", [0, 1, 2, 6, 7, 63, 64, 500])
+def test_closure_by_doubling_keeps_the_bound(spark, levels):
+    """Chains of 600 levels are cut exactly where single steps cut them, in few rounds."""
+    rng = random.Random(levels)
+    edges = [(f"c{i + 1}", f"c{i}") for i in range(600)] + [("c600", "c600"), ("x", "y"), ("y", "x")]
+    edges += [(f"n{rng.randrange(i)}", f"n{i}") for i in range(1, 60)]
+    seeds = ["c0", "c37", "x", "n59", "n42", "other"]
+    got = funding.provision_closure(edges_of(spark, *edges), names(spark, *seeds), levels)
+    assert {(r.gas_provider, r.activated_address) for r in got.collect()} == reach(edges, seeds, levels)
+
+
+def test_closure_rounds_are_bounded(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(funding, "materialize", lambda df, tag: written.append(tag) or session.materialize(df, tag))
+    edges = [(f"c{i + 1}", f"c{i}") for i in range(600)]
+    assert funding.provision_closure(edges_of(spark, *edges), names(spark, "c0")).count() == 501
+    assert written.count("reached") <= 20 and written.count("jump") <= 10
+
+
+def test_closure_with_several_providers(spark):
+    rng = random.Random(2)
+    edges = sorted({(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(70)})
+    for levels in (1, 3, 50):
+        got = funding.provision_closure(edges_of(spark, *edges), names(spark, "n1", "n2"), levels)
+        assert {(r.gas_provider, r.activated_address) for r in got.collect()} == reach(edges, ["n1", "n2"], levels)
