@@ -1,14 +1,16 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
-Base rules are fixed.  The method adds cutoffs on four more signals: for each
-stratum (language) and signal it tests a fixed grid of cutoffs on the labelled
-good documents that pass the base rules.  The hypothesis "this cutoff rejects
-more than a share ``alpha`` of good documents" is tested with the exact
-binomial tail; the level is ``delta`` over all tests of all strata
-(Bonferroni), so with probability 1 - delta no chosen cutoff rejects more than
-its share.  The strictest cutoff that passes is used; where none passes (few
-labels) the signal rejects nothing.  ``alpha`` is shared out over the signals,
-so together they reject at most ``alpha``.
+Base rules are fixed.  The method adds cutoffs on four more signals.  They are
+tightened along a fixed path: one signal after the other gets its loosest
+cutoff, then its next one, and so on.  For each stratum (language), step t
+stands for the hypothesis "the cutoffs of the steps up to t together reject
+more than a share ``alpha`` of good documents", tested with the exact binomial
+tail on the labelled good documents that pass the base rules.  Steps are
+tested in the order of the path until one fails (fixed-sequence testing, which
+needs no division by the number of steps), at the level ``delta`` over the
+number of strata (Bonferroni): with probability 1 - delta no stratum loses more
+than its share.  The last step that passes is used; a stratum with too few
+labels for the first one rejects nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ GRID: dict[str, list[float]] = {
     "long_word": [8.0, 9.0, 10.0, 12.0, 15.0, 20.0],
 }
 ALPHA, DELTA = 0.02, 0.05
-#: Strata whose cutoffs (five numbers each) may be broadcast; their number is checked.
+#: The path: (signal, cutoff) of each step, from the loosest cutoffs to the strictest.
+PATH = [(s, GRID[s][-i]) for i in range(1, max(map(len, GRID.values())) + 1) for s in GRID if i <= len(GRID[s])]
+#: Strata whose steps (a number each) may be broadcast; their number is checked.
 MAX_STRATA = 100_000
 SYMBOLS = r"[#*$%&|<>]"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -97,26 +101,34 @@ def log_binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(step, start, add, lambda acc: acc["sum"])
 
 
-def cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, signal, cutoff): the strictest certified cutoff of each stratum and signal.
+def rejecting_step() -> Column:
+    """The first step of the path that rejects a row, null for none: each signal's loosest cutoff below its value counts."""
+    firsts = [F.when(F.col(s) > c, F.lit(t)) for t, (s, c) in enumerate(PATH)]
+    return F.least(*firsts)
 
-    ``labelled``: stratum and the signals of good documents that pass the base
-    rules.  Counts are aggregated before they are shuffled: a few numbers per
-    stratum leave each task.
+
+def certified_steps(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, step): the last certified step of each stratum that has any.
+
+    ``labelled``: stratum and the rejecting step (null for none) of good
+    documents that pass the base rules.  Counts are aggregated before they are
+    shuffled: at most a number per step and stratum leaves each task.
     """
-    tests = [(s, c) for s, values in GRID.items() for c in values]
-    over = [F.sum((F.col(s) > c).cast("long")).alias(f"t{i}") for i, (s, c) in enumerate(tests)]
-    counted = labelled.groupBy("stratum").agg(F.count("*").alias("n"), *over)
-    rows = F.array(
-        *[F.struct(F.lit(s).alias("signal"), F.lit(c).alias("cutoff"), F.col(f"t{i}").alias("k")) for i, (s, c) in enumerate(tests)]
+    counted = labelled.groupBy("stratum").agg(
+        F.count("*").alias("n"), F.array(*[F.count_if(F.col("rejected_at") <= t) for t in range(len(PATH))]).alias("ks")
     )
-    each = counted.select("stratum", "n", F.explode(rows).alias("t")).select("stratum", "n", "t.*")
-    share = alpha / len(GRID)
-    each = each.withColumn("strata", counted.agg(F.count("*")).scalar())
-    # more than n * share rejections have a tail near 1/2 or above: no need to sum it
-    tail = F.when(F.col("k") <= F.col("n") * share, log_binomial_tail(F.col("k"), F.col("n"), share)).otherwise(F.lit(0.0))
-    level = F.log(F.lit(delta) / (F.lit(len(tests)) * F.col("strata")))
-    return each.filter(tail <= level).groupBy("stratum", "signal").agg(F.min("cutoff").alias("cutoff"))
+    each = counted.select("stratum", "n", F.posexplode("ks").alias("t", "k")).withColumn("strata", counted.agg(F.count("*")).scalar())
+    # more than n * alpha rejections have a tail near 1/2 or above: no need to sum it
+    tail = F.when(F.col("k") <= F.col("n") * alpha, log_binomial_tail(F.col("k"), F.col("n"), alpha)).otherwise(F.lit(0.0))
+    passes = tail <= F.log(F.lit(delta) / F.col("strata"))
+    judged = each.groupBy("stratum").agg(F.min(F.when(~passes, F.col("t"))).alias("failed"))
+    return judged.select("stratum", (F.coalesce("failed", F.lit(len(PATH))) - 1).alias("step")).filter("step >= 0")
+
+
+def cutoffs(steps: DataFrame) -> DataFrame:
+    """(stratum, signal, cutoff) in force at the steps of :func:`certified_steps`."""
+    path = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("signal"), F.lit(c).alias("cutoff")) for t, (s, c) in enumerate(PATH)])
+    return steps.select("stratum", "step", F.inline(path)).filter("t <= step").groupBy("stratum", "signal").agg(F.min("cutoff").alias("cutoff"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, keep: list[str] | None = None) -> DataFrame:
@@ -136,22 +148,17 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     kept = list(dict.fromkeys(["doc_id", "lang", "text", *(keep or [])]))
     counted = with_signals(with_counts(docs.select(*kept)))
     counted = materialize(counted if "text" in (keep or []) else counted.drop("text"), "counts")
-    signals = list(GRID)
     good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("good"))
     good = good.filter("good = 1").select(F.col("doc_id").alias("_d"))
-    stratum = F.when(F.col("lang").isNull(), "null").otherwise(F.concat(F.lit("="), "lang")).alias("stratum")  # no language is "null" or empty by chance
-    passed = counted.filter("NOT base_failed").select("doc_id", stratum, *signals)
+    stratum = F.when(F.col("lang").isNull(), "null").otherwise(F.concat(F.lit("="), "lang"))  # no language is "null" or empty by chance
+    counted = counted.withColumns({"stratum": stratum, "rejected_at": rejecting_step()})
+    passed = counted.filter("NOT base_failed").select("doc_id", "stratum", "rejected_at")
     holdout = passed.join(good, F.col("doc_id") == F.col("_d"), "left_semi")
-    chosen = cutoffs(holdout, alpha, delta).groupBy("stratum").agg(
-        *[F.max(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"cut_{s}") for s in signals]
-    )
-    chosen = materialize(chosen, "cutoffs")
+    chosen = materialize(certified_steps(holdout, alpha, delta), "steps")
     if chosen.count() <= MAX_STRATA:  # else the join is shuffled, and adaptive execution splits large strata
         chosen = F.broadcast(chosen)
-    judged = counted.withColumn("stratum", stratum).join(chosen, "stratum", "left")
-    rejected = F.lit(False)
-    for s in signals:
-        rejected = rejected | F.coalesce(F.col(s) > F.col(f"cut_{s}"), F.lit(False))
+    judged = counted.join(chosen, "stratum", "left")
+    rejected = F.coalesce(F.col("rejected_at") <= F.col("step"), F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
@@ -169,7 +176,6 @@ def op7_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 #: The same result in DuckDB's SQL.
-_TESTS = [(s, c) for s, values in GRID.items() for c in values]
 ORACLE = f"""
 WITH base AS (SELECT doc_id, CASE WHEN lang IS NULL THEN 'null' ELSE '=' || lang END AS stratum, coalesce(text, '') AS t,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w,
@@ -189,16 +195,15 @@ signals AS (SELECT k.*, coalesce(c, 0) AS n_repeat_words, n_words < 10 OR 100 *
     FROM counted k LEFT JOIN covered USING (doc_id)),
 good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(coalesce(quality, 0)) = 1),
 holdout AS (SELECT * FROM signals WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
-tests AS (SELECT * FROM (VALUES {", ".join(f"('{s}', {c}::DOUBLE)" for s, c in _TESTS)}) v(signal, cutoff)),
-long AS (SELECT stratum, UNNEST(['symbol_share', 'dup_line_share', 'repeat_share', 'long_word']) AS signal,
-    UNNEST([symbol_share, dup_line_share, repeat_share, long_word]) AS value FROM holdout),
-counts AS (SELECT stratum, signal, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k FROM long JOIN tests USING (signal) GROUP BY 1, 2, 3),
-tails AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA / len(GRID)}) + (n - j) * ln(1 - {ALPHA / len(GRID)})))
-    FROM unnest(range(0, k + 1)) AS r(j)) AS p FROM counts WHERE k <= n * {ALPHA / len(GRID)}),
-chosen AS (SELECT stratum, signal, min(cutoff) AS cutoff FROM tails
-    WHERE p <= {DELTA} / ({len(_TESTS)} * (SELECT count(DISTINCT stratum) FROM holdout)) GROUP BY 1, 2),
-rejected AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, stratum, UNNEST(['symbol_share', 'dup_line_share', 'repeat_share', 'long_word']) AS signal,
-    UNNEST([symbol_share, dup_line_share, repeat_share, long_word]) AS value FROM signals) JOIN chosen USING (stratum, signal) WHERE value > cutoff)
+path AS (SELECT * FROM (VALUES {", ".join(f"({t}, '{s}', {c}::DOUBLE)" for t, (s, c) in enumerate(PATH))}) v(t, signal, cutoff)),
+long AS (SELECT doc_id, stratum, base_failed, UNNEST(['symbol_share', 'dup_line_share', 'repeat_share', 'long_word']) AS signal,
+    UNNEST([symbol_share, dup_line_share, repeat_share, long_word]) AS value FROM signals),
+firsts AS (SELECT doc_id, min(t) AS t FROM long JOIN path USING (signal) WHERE value > cutoff GROUP BY 1),
+counts AS (SELECT stratum, p.t, count(*) AS n, count(*) FILTER (f.t <= p.t) AS k FROM holdout LEFT JOIN firsts f USING (doc_id), path p GROUP BY 1, 2),
+tails AS (SELECT stratum, t, n, k, CASE WHEN k > n * {ALPHA} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))
+    FROM unnest(range(0, k + 1)) AS r(j)) END AS p FROM counts),
+chosen AS (SELECT stratum, coalesce(min(t) FILTER (p > {DELTA} / (SELECT count(DISTINCT stratum) FROM holdout)), {len(PATH)}) - 1 AS step FROM tails GROUP BY 1),
+rejected AS (SELECT doc_id FROM signals JOIN firsts USING (doc_id) JOIN chosen USING (stratum) WHERE t <= step)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM signals
 """  # noqa: S608

@@ -50,15 +50,16 @@ def plain_quality(rows, labels):
     for r in rows.values():
         if good.get(r.doc_id) and not base[r.doc_id]:
             hold.setdefault(r.lang, []).append(signals[r.doc_id])
-    tests, share = sum(map(len, quality.GRID.values())), quality.ALPHA / len(quality.GRID)
-    cut = {}
+    first = lambda x: min((t for t, (name, c) in enumerate(quality.PATH) if x[name] > c), default=math.inf)
+    step = {}
     for lang, own in hold.items():
-        for name, values in quality.GRID.items():
-            for c in sorted(values, reverse=True):
-                k, n = sum(x[name] > c for x in own), len(own)
-                if k <= n * share and sum(math.comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(k + 1)) <= quality.DELTA / tests / len(hold):
-                    cut[lang, name] = c
-    return {i for i, r in rows.items() if not base[i] and not any(v > cut.get((r.lang, n), math.inf) for n, v in signals[i].items())}
+        n, p = len(own), quality.ALPHA
+        for t in range(len(quality.PATH)):
+            k = sum(first(x) <= t for x in own)
+            if sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) > quality.DELTA / len(hold):
+                break
+            step[lang] = t
+    return {i for i, r in rows.items() if not base[i] and first(signals[i]) > step.get(r.lang, -1)}
 
 
 def plain_mix(rows):

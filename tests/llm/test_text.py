@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pytest
+from compare import oracle, spark_rows
 from pyspark.sql import functions as F
 
 from provenant.llm import chat, decontaminate, langid, mixing, quality, secrets
@@ -48,6 +49,53 @@ def test_cutoffs_need_evidence_and_hold_the_risk(spark, make):
     assert judged.filter("NOT kept AND doc_id >= 5000").count() == 20
 
 
+def test_steps_are_certified_in_order_and_hold_the_risk(spark):
+    """The chosen step equals a plain version's, and over many draws the true share of rejections rarely passes alpha."""
+    rng = np.random.default_rng(7)
+    n_steps, draws, n = len(quality.PATH), 60, 600
+    share = np.cumsum(np.full(n_steps, 0.0016))  # the true share that steps up to t reject: beyond alpha from step 12 on
+    rows = []
+    for d in range(draws):
+        at = np.searchsorted(share, rng.random(n), "right")
+        rows += [(f"d{d}", int(t) if t < n_steps else None) for t in at]
+    frame = spark.createDataFrame(rows, "stratum string, rejected_at int")
+    got = {}
+    for d in range(draws):  # one stratum at a time, so the level is delta itself
+        own = [t for s, t in rows if s == f"d{d}"]
+        step = -1
+        for t in range(n_steps):
+            k = sum(x is not None and x <= t for x in own)
+            if sum(math.comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1)) > 0.05 / draws:
+                break
+            step = t
+        got[f"d{d}"] = step
+    found = {r.stratum: r.step for r in quality.certified_steps(frame).collect()}
+    assert found == {s: t for s, t in got.items() if t >= 0} and len(set(found.values())) > 1
+    alone = [quality.certified_steps(frame.filter(f"stratum = 'd{d}'")).collect() for d in range(12)]
+    assert sum(r[0].step >= 12 for r in alone if r) <= 2
+    cuts = {(r.stratum, r.signal): r.cutoff for r in quality.cutoffs(spark.createDataFrame([("x", 5)], "stratum string, step int")).collect()}
+    assert cuts == {("x", s): min(c for q, c in quality.PATH[:6] if q == s) for s in {q for q, _ in quality.PATH[:6]}}
+
+
+def test_verdicts_match_the_sql_where_strata_certify(spark, tmp_path):
+    """Whole query against its SQL on tables in which the method decides."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    rows, flags = [], []
+    for i in range(2400):
+        text = " ".join(rng.choice(words, 30))
+        bad = i % 40 == 0
+        rows.append((i, text + (" ####$$$$%%%%&&&&" * 4 if bad else "") + ("\n" + "same line of words\n" * 3 if i % 90 == 1 else ""), ["en", "fr", None][i % 3], "s", 1))
+        flags.append((i, int(not bad), 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame(flags, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "l"))
+    for name in ("d", "l"):
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / f"{ {'d': 'documents', 'l': 'labels'}[name] }.parquet")
+    got = quality.op7_quality_rules(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels")))
+    assert spark_rows(got) == oracle(tmp_path, quality.ORACLE)
+    assert got.filter("NOT kept AND NOT base_failed").select(F.pmod("doc_id", F.lit(3))).distinct().count() == 3
+
+
 def test_quality_handles_odd_rows(spark, messy, make):
     labels = spark.createDataFrame([(None, 1, None), (3, None, 0), (4, 1, 1), (4, 0, 1)], "doc_id long, quality int, toxic int")
     rows = quality.op7_quality_rules(messy, labels).collect()
