@@ -1,8 +1,7 @@
 """Behaviour features of an address: messages sent, transactions out and in, their join.
 
-``count(distinct)`` over several columns is planned by Spark as one Expand and
-two aggregations; every block shuffles on the address alone, so the master
-join reuses one partitioning.
+Messages are read and shuffled once for both of their blocks; transactions
+shuffle on the address alone, so the master join reuses one partitioning.
 """
 
 from __future__ import annotations
@@ -22,62 +21,76 @@ def home_interactions(messages: DataFrame, home: str) -> DataFrame:
     )
 
 
-def _money(prefix: str, swap_min: bool) -> list:
-    swap, drop = F.coalesce("swap_usd", F.lit(0)), F.coalesce("drop_usd", F.lit(0))
-    return [
-        F.max(swap).cast("double").alias(f"{prefix}_max_stargate_swap"),
-        mean_of(swap).alias(f"{prefix}_avg_stargate_swap"),
-        *([F.min(swap).cast("double").alias(f"{prefix}_min_stargate_swap")] if swap_min else []),
-        F.max(drop).cast("double").alias(f"{prefix}_max_native_drop_usd"),
-        mean_of(drop).alias(f"{prefix}_avg_native_drop_usd"),
-    ]
-
-
-def _times(prefix: str) -> list:
-    at = epoch_seconds("ts")
-    return [
-        F.min(at).alias(f"earliest_{prefix}_tx_time"),
-        F.max(at).alias(f"latest_{prefix}_tx_time"),
-        (F.max(at) - F.min(at)).alias(f"{prefix}_tx_time_span"),
-    ]
-
-
-def message_features(messages: DataFrame, interactions: DataFrame) -> DataFrame:
-    """All messages of the addresses in ``interactions``: variety, money, time."""
-    n = {
-        "n_l0_source_chains": "source_chain", "n_l0_dest_chains": "destination_chain", "n_l0_projects": "project",
-        "n_l0_source_contracts": "source_contract", "n_l0_dest_contracts": "destination_contract", "n_l0_txs": "tx_hash",
-    }
-    wide = (
-        messages.join(interactions, messages["sender_wallet"] == interactions["addr"])
-        .groupBy("addr", "n_eth_interactions")
-        .agg(*[F.count_distinct(c).alias(a) for a, c in n.items()], *_money("l0", True), *_times("l0"))
-    )
+#: What is counted distinct of a message: a letter and its column.
+_IDS = {"t": "tx_hash", "s": "source_contract", "d": "destination_contract", "c": "source_chain", "e": "destination_chain", "p": "project"}
+
+
+def message_blocks(messages: DataFrame, home_source: str, home_destination: str) -> DataFrame:
+    """One row per address with a message from its home chain: variety, money and time over all messages and over those to the home chain.
+
+    Two aggregations serve all counts.  The first is by address, kind of id and
+    id: it counts an id once and keeps whether any of its messages came from or
+    went to the home chain; hashing the id spreads an address that sends a
+    large part of all messages.  The second adds up per address.  Money and
+    times travel with the message's own id.  Addresses without a message to the
+    home chain have nulls in that block.
+    """
+    home = F.coalesce(F.col("destination_chain") == home_destination, F.lit(False))
+    base = messages.select(
+        F.col("sender_wallet").alias("addr"),
+        F.coalesce(F.col("source_chain") == home_source, F.lit(False)).alias("from_home"),
+        home.alias("to_home"),
+        F.coalesce("swap_usd", F.lit(0)).alias("swap"),
+        F.coalesce("drop_usd", F.lit(0)).alias("dropped"),
+        epoch_seconds("ts").alias("at"),
+        F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("id")) for k, c in _IDS.items()])),
+    ).filter("addr IS NOT NULL")
+    measures = []
+    for block, applies in (("all", F.col("kind") == "t"), ("home", (F.col("kind") == "t") & F.col("to_home"))):
+        only = lambda c, applies=applies: F.when(applies, F.col(c))
+        measures += [F.count_if(applies).alias(f"{block}_rows")]
+        measures += [f(only(c)).alias(f"{block}_{n}_{c}") for c in ("swap", "dropped") for n, f in (("max", F.max), ("min", F.min), ("sum", F.sum))]
+        measures += [F.min(only("at")).alias(f"{block}_first"), F.max(only("at")).alias(f"{block}_last")]
+    once = base.groupBy("addr", "kind", "id").agg(F.bool_or("from_home").alias("from_home"), F.bool_or("to_home").alias("to_home"), *measures)
+    distinct = lambda kind, also=None: F.count_if((F.col("kind") == kind) & F.col("id").isNotNull() & (F.lit(True) if also is None else F.col(also)))
+    names = {"t": "txs", "s": "source_contracts", "d": "dest_contracts", "c": "source_chains", "e": "dest_chains", "p": "projects"}
+    counts = [distinct("t", "from_home").alias("n_eth_interactions")]
+    counts += [distinct(k).alias(f"n_l0_{n}") for k, n in names.items()]
+    counts += [distinct(k, "to_home").alias(f"n_l0_to_eth_{n}") for k, n in names.items() if k != "e"]
+    for block, prefix in (("all", "l0"), ("home", "l0_to_eth")):
+        rows = F.sum(f"{block}_rows").cast("double")
+        for column, name in (("swap", "stargate_swap"), ("dropped", "native_drop_usd")):
+            counts.append(F.max(f"{block}_max_{column}").cast("double").alias(f"{prefix}_max_{name}"))
+            counts.append(F.try_divide(F.sum(f"{block}_sum_{column}").cast("double"), rows).alias(f"{prefix}_avg_{name}"))
+        first, last = F.min(f"{block}_first"), F.max(f"{block}_last")
+        counts += [
+            F.min(f"{block}_min_swap").cast("double").alias(f"{prefix}_min_stargate_swap"),
+            first.alias(f"earliest_{prefix}_tx_time"), last.alias(f"latest_{prefix}_tx_time"), (last - first).alias(f"{prefix}_tx_time_span"),
+        ]
+    wide = once.groupBy("addr").agg(*counts, (F.sum("home_rows") > 0).alias("sent_home")).filter("n_eth_interactions > 0")
+    there = lambda c: F.when(F.col("sent_home"), c)
     return wide.withColumns(
-        {
+        {c: there(F.col(c)) for c in wide.columns if c.startswith("n_l0_to_eth")}
+        | {
             "n_l0_dest_chain_per_source_chain": safe_divide(F.col("n_l0_dest_chains"), F.col("n_l0_source_chains")),
             "n_l0_project_per_source_chain": safe_divide(F.col("n_l0_projects"), F.col("n_l0_source_chains")),
+            "n_l0_to_eth_project_per_source_chain": there(safe_divide(F.col("n_l0_to_eth_projects"), F.col("n_l0_to_eth_source_chains"))),
         }
     )
 
 
-def message_home_features(messages: DataFrame, interactions: DataFrame, home: str) -> DataFrame:
-    """The same measures over messages that go to the home chain, without destination chains."""
-    n = {
-        "n_l0_to_eth_source_chains": "source_chain", "n_l0_to_eth_projects": "project",
-        "n_l0_to_eth_source_contracts": "source_contract", "n_l0_to_eth_dest_contracts": "destination_contract",
-        "n_l0_to_eth_txs": "tx_hash",
-    }
-    wide = (
-        messages.filter(F.col("destination_chain") == home)
-        .join(interactions, messages["sender_wallet"] == interactions["addr"])
-        .groupBy("addr")
-        .agg(*[F.count_distinct(c).alias(a) for a, c in n.items()], *_money("l0_to_eth", True), *_times("l0_to_eth"))
-    )
-    return wide.withColumn(
-        "n_l0_to_eth_project_per_source_chain",
-        safe_divide(F.col("n_l0_to_eth_projects"), F.col("n_l0_to_eth_source_chains")),
-    )
+def _to_home(name: str) -> bool:
+    return "l0_to_eth" in name
+
+
+def message_features(blocks: DataFrame) -> DataFrame:
+    """The block over all messages."""
+    return blocks.select(*[c for c in blocks.columns if not _to_home(c) and c != "sent_home"])
+
+
+def message_home_features(blocks: DataFrame) -> DataFrame:
+    """The block over messages to the home chain, without destination chains, of the addresses that have any."""
+    return blocks.filter("sent_home").select("addr", *[c for c in blocks.columns if _to_home(c)])
 
 
 def outbound_features(txs: DataFrame, addresses: DataFrame, until) -> DataFrame:
@@ -117,10 +130,10 @@ _IN_COUNTS = ["num_transactions_in", "earliest_tx_block_in", "latest_tx_block_in
 _IN_VALUES = ["max_tx_value_in", "min_tx_value_in", "total_tx_value_in", "avg_tx_value_in"]
 
 
-def behaviour_master(messages: DataFrame, to_home: DataFrame, outbound: DataFrame, inbound: DataFrame) -> DataFrame:
-    """Left star join on ``addr``; inbound measures default to 0, the others stay null."""
-    out = messages
-    for part in (to_home, outbound, inbound):
+def behaviour_master(blocks: DataFrame, outbound: DataFrame, inbound: DataFrame) -> DataFrame:
+    """Both message blocks with a left star join on ``addr``; inbound measures default to 0, the others stay null."""
+    out = blocks.drop("sent_home")
+    for part in (outbound, inbound):
         out = out.join(part, "addr", "left")
     out = out.withColumns(
         {c: F.coalesce(c, F.lit(0).cast("long")) for c in _IN_COUNTS} | {c: F.coalesce(c, F.lit(0.0)) for c in _IN_VALUES}

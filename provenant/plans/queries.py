@@ -166,15 +166,16 @@ def _inbound(p: Proxies) -> DataFrame:
     return behaviour.inbound_features(p.transactions, _interactions(p), p.cutoff)
 
 
+def _blocks(p: Proxies) -> DataFrame:
+    return behaviour.message_blocks(p.messages, HOME_SOURCE, HOME_DESTINATION)
+
+
 def _master(p: Proxies) -> DataFrame:
-    # each is joined once, written and read by several of the four blocks
-    messages, transactions = materialize(p.messages, "messages"), materialize(p.transactions, "transactions")
-    own = materialize(behaviour.home_interactions(messages, HOME_SOURCE), "interactions")
+    # both are read by several branches
+    blocks, transactions = materialize(_blocks(p), "blocks"), materialize(p.transactions, "transactions")
+    own = blocks.select("addr")
     return behaviour.behaviour_master(
-        behaviour.message_features(messages, own),
-        behaviour.message_home_features(messages, own, HOME_DESTINATION),
-        behaviour.outbound_features(transactions, own, p.cutoff),
-        behaviour.inbound_features(transactions, own, p.cutoff),
+        blocks, behaviour.outbound_features(transactions, own, p.cutoff), behaviour.inbound_features(transactions, own, p.cutoff)
     )
 
 
@@ -185,12 +186,12 @@ def eth_interactions(p: Proxies) -> DataFrame:
 
 @query
 def msg_features(p: Proxies) -> DataFrame:
-    return _rounded(behaviour.message_features(p.messages, _interactions(p)))
+    return _rounded(behaviour.message_features(_blocks(p)))
 
 
 @query
 def msg_to_home_features(p: Proxies) -> DataFrame:
-    return _rounded(behaviour.message_home_features(p.messages, _interactions(p), HOME_DESTINATION))
+    return _rounded(behaviour.message_home_features(_blocks(p)))
 
 
 @query

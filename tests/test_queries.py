@@ -26,6 +26,17 @@ def test_plans_stay_native(spark, name):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
 
 
+def test_messages_are_shuffled_once(spark):
+    """Both blocks come from one pass: the scan of the messages is there once, and no distinct count multiplies its rows."""
+    from provenant.plans import proxies
+
+    p = proxies.Proxies(spark, SF)
+    messages = session.materialize(p.messages, "messages")
+    plan = plans_queries.behaviour.message_blocks(messages, proxies.HOME_SOURCE, proxies.HOME_DESTINATION)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Expand" not in plan and "Join" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2  # by address, kind and id, then by address
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plans.queries()["scan_filter_zero"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string>" in plan
