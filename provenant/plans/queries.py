@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..operators import behaviour, boosting, cleaning, communities, exchange, forest, funding, labels, learning, master, metrics, tour, walks
 from ..operators.progress import progress_rows
-from ..session import materialize, shared_dir
+from ..session import materialize, shared_dir, tidy
 from ..sources import (
     literal_set,
     offset_chunk,
@@ -33,7 +33,7 @@ _REGISTRY: dict[str, Query] = {}
 
 
 def query(fn: Callable[[Proxies], DataFrame]) -> Callable[[Proxies], DataFrame]:
-    _REGISTRY[fn.__name__] = lambda spark, sf_dir: fn(Proxies(spark, sf_dir))
+    _REGISTRY[fn.__name__] = tidy(lambda spark, sf_dir: fn(Proxies(spark, sf_dir)))
     return fn
 
 

@@ -8,6 +8,7 @@ it as Parquet below the folder that the cluster names in
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -97,6 +98,34 @@ def release(*tables: DataFrame | None) -> None:
             _delete(path)
 
 
+def read_by(df: DataFrame) -> set[str]:
+    """Names of the folders of files that ``df`` reads, in scalar subqueries too."""
+    plan, names = df._jdf.queryExecution().optimizedPlan(), set()
+    inner = plan.subqueriesAll()
+    for p in [plan, *[inner.apply(i) for i in range(inner.size())]]:
+        leaves = p.collectLeaves()
+        for leaf in [leaves.apply(i) for i in range(leaves.size())]:
+            if leaf.nodeName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+                roots = leaf.relation().location().rootPaths()
+                names |= {roots.apply(i).getName() for i in range(roots.size())}
+    return names
+
+
+def tidy(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``fn``, after which only those of the tables it wrote are left that its result reads."""
+
+    @functools.wraps(fn)
+    def run(*args, **kwargs) -> DataFrame:
+        before = set(_WRITTEN)
+        df = fn(*args, **kwargs)
+        used = read_by(df)
+        for path in [p for p in _WRITTEN if p not in before and p.rsplit("/", 1)[1] not in used]:
+            _delete(path)
+        return df
+
+    return run
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables written inside the block are deleted when it ends, but for those passed to the function that it yields."""
