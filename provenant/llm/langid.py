@@ -15,7 +15,6 @@ sequences.  Prediction covers whole texts.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +35,6 @@ LENGTH, SEQUENCES, EPOCHS, BATCH = 48, 4000, 6, 200
 LEXICON_MIN = 3
 CHUNK = 64
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -163,37 +161,54 @@ def forward_backward(psi: np.ndarray, moves: np.ndarray, real: np.ndarray, left:
     return alpha / np.maximum(alpha.sum(axis=2, keepdims=True), 1e-30)
 
 
-def document_mass(emissions: np.ndarray, doc: np.ndarray, letter: np.ndarray, n_docs: int, moves: np.ndarray) -> np.ndarray:
-    """(documents, labels): expected numbers of words with a letter per label.
-
-    Documents are cut to chunks; each chunk's product of step matrices carries
-    messages across it, so the recursions run over all chunks side by side and a
-    very long document costs no more per word than a short one.
-    """
-    size = emissions.shape[1]
-    out = np.zeros((n_docs, size))
+def _laid_out(emissions: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, ...]:
+    """(psi, real, place of each word, first chunk and number of chunks of each document): words in chunks side by side."""
     n = np.bincount(doc, minlength=n_docs)
     chunks = -(-n // CHUNK)
     total = int(chunks.sum())
-    if not total:
-        return out
     first = np.cumsum(chunks) - chunks
     inside = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     at = first[doc] + inside // CHUNK, inside % CHUNK
-    psi = np.ones((total, CHUNK, size))
+    psi = np.ones((total, CHUNK, emissions.shape[1]))
     psi[at] = np.exp(emissions - emissions.max(axis=1, keepdims=True))
     real = np.zeros((total, CHUNK), bool)
     real[at] = True
-    step = np.exp(moves - moves.max())
+    return psi, real, at, first, chunks
+
+
+def _carries(psi: np.ndarray, real: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The product of the step matrices of each chunk."""
+    total, _, size = psi.shape
     carry = np.broadcast_to(np.eye(size), (total, size, size)).copy()
     for i in range(CHUNK):
         after = (carry.reshape(-1, size) @ step).reshape(total, size, size) * psi[:, i, None, :]
         after /= np.maximum(after.sum(axis=(1, 2), keepdims=True), 1e-300)
         carry = np.where(real[:, i, None, None], after, carry)
+    return carry
+
+
+def document_mass(
+    emissions: np.ndarray, doc: np.ndarray, letter: np.ndarray, n_docs: int, moves: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None
+) -> np.ndarray:
+    """(documents, labels): expected numbers of words with a letter per label.
+
+    Documents are cut to chunks; each chunk's product of step matrices carries
+    messages across it, so the recursions run over all chunks side by side and a
+    very long document costs no more per word than a short one.  ``before`` and
+    ``after`` are the messages that come in from outside (none: from a text's ends).
+    """
+    size = emissions.shape[1]
+    out = np.zeros((n_docs, size))
+    psi, real, at, first, chunks = _laid_out(emissions, doc, n_docs)
+    total = len(psi)
+    if not total:
+        return out
+    step = np.exp(moves - moves.max())
+    carry = _carries(psi, real, step)
     left, right = np.empty((total, size)), np.empty((total, size))
-    left[first[chunks > 0]] = 1.0 / size
+    left[first[chunks > 0]] = 1.0 / size if before is None else before
     lasts = (first + chunks - 1)[chunks > 0]
-    right[lasts] = 1.0
+    right[lasts] = 1.0 if after is None else after
     for j in range(1, int(chunks.max())):
         own = first[chunks > j] + j
         a = np.einsum("nl,nlm->nm", left[own - 1], carry[own - 1])
@@ -207,6 +222,57 @@ def document_mass(emissions: np.ndarray, doc: np.ndarray, letter: np.ndarray, n_
     return out
 
 
+def piece_bytes(size: int) -> int:
+    """Bytes of text whose messages are held at once: their arrays grow with words times languages, and chunks times languages squared."""
+    return int(min(1 << 20, 6 * min((1 << 20) * CHUNK // size**2, (1 << 21) // size)))
+
+
+def pieces_of(data: np.ndarray, limit: int) -> list[np.ndarray]:
+    """A text in pieces of about ``limit`` bytes that end between words; a longer word is not divided."""
+    spaces = np.flatnonzero(_SPACE[data])
+    out, at = [], 0
+    while len(data) - at > limit:
+        i = int(np.searchsorted(spaces, at + limit))
+        end = int(spaces[i]) + 1 if i < len(spaces) else len(data)
+        out.append(data[at:end])
+        at = end
+    return [*out, data[at:]]
+
+
+def long_mass(data: np.ndarray, model: Model, limit: int) -> np.ndarray:
+    """:func:`document_mass` of one text of any length, piece by piece.
+
+    A first pass keeps each piece's product of step matrices; these carry the
+    messages from both ends of the text to both ends of each piece, and a
+    second pass counts inside them.  Besides one piece, a matrix a piece is held.
+    """
+    size, bits = len(model.langs), table_bits(len(model.langs))
+    step = np.exp(model.moves - model.moves.max())
+    pieces, across = pieces_of(data, limit), []
+
+    def words(piece: np.ndarray) -> Words:
+        return words_in(np.array([0, len(piece)]), piece, bits)
+
+    for piece in pieces:
+        w = words(piece)
+        psi, real, *_ = _laid_out(model.emissions(w), w.doc, 1)
+        whole = np.eye(size)
+        for carry in _carries(psi, real, step):
+            whole = whole @ carry
+            whole /= np.maximum(whole.sum(), 1e-300)
+        across.append(whole)
+    left, right = [np.full(size, 1.0 / size)], [np.ones(size)]
+    for one, other in zip(across[:-1], across[:0:-1], strict=True):
+        a, b = left[-1] @ one, other @ right[-1]
+        left.append(a / np.maximum(a.sum(), 1e-300))
+        right.append(b / np.maximum(b.sum(), 1e-300))
+    out = np.zeros((1, size))
+    for piece, before, after in zip(pieces, left, right[::-1], strict=True):
+        w = words(piece)
+        out += document_mass(model.emissions(w), w.doc, w.letter, 1, model.moves, before, after)
+    return out
+
+
 def fit(pieces: list[tuple[str, str]], seed: int = 6) -> Model:
     """The model from (language, piece of text) pairs, by stochastic gradients on spliced sequences."""
     langs = sorted({lang for lang, _ in pieces})
@@ -327,14 +393,18 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
             several = np.zeros(batch.num_rows, np.int64)
             texts = batch.column(2)
             if m is not None:
-                for first, offsets, data in byte_slices(texts, 1 << 20):
-                    w = words_in(offsets, data, table_bits(len(m.langs)))
-                    mass = document_mass(m.emissions(w), w.doc, w.letter, len(offsets) - 1, m.moves)
+                limit = piece_bytes(len(m.langs))
+                for first, offsets, data in byte_slices(texts, limit):
+                    if len(data) > limit:  # one long text
+                        mass = long_mass(data, m, limit)
+                    else:
+                        w = words_in(offsets, data, table_bits(len(m.langs)))
+                        mass = document_mass(m.emissions(w), w.doc, w.letter, len(offsets) - 1, m.moves)
                     total = mass.sum(axis=1)
                     best = mass.argmax(axis=1)
                     for i in np.flatnonzero(total > 0).tolist():
                         text = texts[first + i].as_py()
-                        if _LETTER.search(text):
+                        if any(map(str.isalpha, text)):
                             pred[first + i] = m.langs[best[i]]
                             score[first + i] = min(1.0, mass[i, best[i]] / total[i])
                             several[first + i] = int((mass[i] >= 0.1 * total[i]).sum())

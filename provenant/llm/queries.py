@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import tidy
 from . import chat, chunk_dedup, decontaminate, filter_audit, langid, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, turn_repair, url_filter
 from .shared import documents
 
@@ -13,6 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
+    """Each leaves only the tables that its result reads."""
+    return {name: tidy(fn) for name, fn in _queries().items()}
+
+
+def _queries() -> dict[str, Query]:
     return {
         "op1_source_mixing": lambda spark, d: mixing.op1_source_mixing(documents(spark, d)),
         "op3_chat_format": lambda spark, d: chat.op3_chat_format(spark.read.parquet(f"{d}/conversations.parquet")),

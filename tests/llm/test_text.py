@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -393,3 +394,41 @@ def test_secret_scan_is_linear_in_matches(make):
     assert time.monotonic() - took < 90
     assert rows[1].n_hex == n and rows[2].spans == "" and rows[3].spans == "assign:0:12,hex:13:37"
     assert rows[1].spans == ",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(n))
+
+
+def random_model(size, seed=1):
+    rng = np.random.default_rng(seed)
+    table = rng.normal(0, 0.3, (2 ** langid.table_bits(size), size)).astype(np.float32)
+    return langid.Model([f"l{i}" for i in range(size)], table, np.empty(0, np.uint64), rng.normal(0, 0.3, (1, size)).astype(np.float32), rng.normal(0, 1, (size, size)))
+
+
+def test_pieces_of_a_long_text_give_what_the_whole_gives():
+    rng = np.random.default_rng(4)
+    model = random_model(5)
+    text = " ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 9))) for _ in range(3000)) + " " + "x" * 900 + " \n tail"
+    data = np.frombuffer(text.encode(), np.uint8)
+    w = langid.words_in(np.array([0, len(data)]), data, langid.table_bits(5))
+    want = langid.document_mass(model.emissions(w), w.doc, w.letter, 1, model.moves)
+    for limit in (100, 777, 5000, len(data)):
+        pieces = langid.pieces_of(data, limit)
+        assert b"".join(p.tobytes() for p in pieces) == text.encode() and (len(pieces) > 2 or limit > 5000)
+        assert np.allclose(langid.long_mass(data, model, limit), want, rtol=1e-7, atol=1e-9)
+
+
+@pytest.mark.parametrize("size,megabytes", [(4, 12), (40, 1)])
+def test_memory_does_not_follow_the_text(size, megabytes):
+    """A text of many pieces takes the memory of one (the text itself and its places aside)."""
+    data = np.frombuffer(b"some words of several lengths, and more " * (megabytes * 26_000), np.uint8)
+    model, limit = random_model(size), langid.piece_bytes(size)
+    assert len(data) > 4 * limit
+    tracemalloc.start()
+    mass = langid.long_mass(data, model, limit)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(mass.sum() - 7 * megabytes * 26_000) < 1 and peak < 400 << 20
+
+
+def test_numerals_are_no_letters(spark, make):
+    model = random_model(3)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(make("½ ② 12", "½ é", "漢"), model).collect()}
+    assert got[0] == "und" and got[1] != "und" and got[2] != "und"
