@@ -58,10 +58,10 @@ def node_table(edges: DataFrame, labeled: DataFrame) -> DataFrame:
     )
 
 
-def _entropy(a):
-    """Base-2 entropy of positive amounts from sums alone: log2 S - sum(a log2 a) / S."""
-    total = F.sum(a)
-    return F.coalesce(F.when(total > 0, F.log2(total) - F.sum(a * F.log2(a)) / total), F.lit(0.0))
+def _entropy(a, total):
+    """Base-2 entropy of positive amounts, from each one's share of the total (a difference of sums would cancel where one amount dominates)."""
+    share = a / total
+    return F.coalesce(-F.sum(F.when(share > 0, share * F.log2(share))), F.lit(0.0)) + F.lit(0.0)
 
 
 def tree_metrics(nodes: DataFrame) -> DataFrame:
@@ -71,7 +71,8 @@ def tree_metrics(nodes: DataFrame) -> DataFrame:
     leaf_gas = F.when(leaf, gas)
     share = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
     n = F.count("*")
-    out = nodes.groupBy("root").agg(
+    sums = nodes.groupBy(F.col("root").alias("_root")).agg(F.sum(given).alias("_given"), F.sum(F.when(leaf & (gas > 0), gas)).alias("_leaves"))
+    out = nodes.join(sums, F.col("root") == F.col("_root")).groupBy("root").agg(
         n.alias("tree_size"),
         F.coalesce(F.sum(given), F.lit(0.0)).alias("total_gas"),
         F.max("depth").alias("max_depth"),
@@ -88,9 +89,9 @@ def tree_metrics(nodes: DataFrame) -> DataFrame:
         safe_divide(F.sum(gas * depth), F.sum("depth")).alias("depth_weighted_avg_gas"),
         safe_divide(share(gas > 0), n).alias("sparsity"),
         F.lit(0.0).alias("gini_coefficient"),
-        _entropy(given).alias("gas_distribution_entropy"),
+        _entropy(given, F.col("_given")).alias("gas_distribution_entropy"),
         after_fill(F.skewness(given)).alias("gas_distribution_skewness"),
-        _entropy(F.when(leaf & (gas > 0), gas)).alias("leaf_gas_distribution_entropy"),
+        _entropy(F.when(leaf & (gas > 0), gas), F.col("_leaves")).alias("leaf_gas_distribution_entropy"),
         after_fill(F.skewness(leaf_gas)).alias("leaf_gas_distribution_skewness"),
         F.when((n >= 3) & (F.count_distinct("depth") == n), n).otherwise(F.lit(0).cast("long")).alias("pure_chain_length"),
     )

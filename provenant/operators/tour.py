@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import safe_divide
+from ..functions import after_fill, safe_divide
 from ..session import materialize, scratch
 from .numbering import number_rows, running_sums
 from .walks import double_pointers
@@ -72,6 +72,17 @@ def euler_tour(parents: DataFrame) -> DataFrame:
         return keep(materialize(out.select("node", "parent", "root", "depth", "first", "last", "size", "tree_size", "path"), "tours"))
 
 
+def subtree_sums(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(node, <column>...) summed over each node and all below it, of a tour with exact number columns: what lies between a node's two arcs."""
+    kinds = dict(rows.dtypes)
+    own = [F.col(c) for c in columns]
+    none = [F.lit(0).cast(kinds[c]).alias(c) for c in columns]
+    arcs = rows.select("node", "root", "last", F.inline(F.array(F.struct(F.col("first").alias("at"), *own), F.struct(F.col("last").alias("at"), *none))))
+    summed = running_sums(arcs, ["root", "at"], columns)
+    difference = lambda c: F.sum(F.when(F.col("at") == F.col("last"), F.col(f"upto_{c}")).otherwise(F.col(c) - F.col(f"upto_{c}")))
+    return summed.groupBy("node").agg(*[difference(c).alias(c) for c in columns])
+
+
 def subtree_totals(tour: DataFrame, amounts: DataFrame) -> DataFrame:
     """(node, root, depth, subtree_size, subtree_amount, subtree_depth_amount): sums over each node and all below it.
 
@@ -79,18 +90,58 @@ def subtree_totals(tour: DataFrame, amounts: DataFrame) -> DataFrame:
     0.  Depths count from the root.
     """
     kind = "decimal(38,2)"
-    own = tour.join(amounts, "node", "left").withColumn("amount", F.coalesce("amount", F.lit(0)).cast(kind))
-    zero = F.lit(0).cast(kind)
-    weighted = (F.col("amount") * F.col("depth").cast("decimal(10,0)")).cast(kind)
-    arcs = own.select("node", "root", "depth", "size", F.inline(F.array(
-        F.struct(F.col("first").alias("at"), F.col("amount").alias("a"), weighted.alias("w")),
-        F.struct(F.col("last").alias("at"), zero.alias("a"), zero.alias("w")),
-    )), "first", "last")
-    summed = running_sums(arcs, ["root", "at"], ["a", "w"])
-    # what lies between a node's two arcs, with its own amount
-    difference = lambda c: F.sum(F.when(F.col("at") == F.col("last"), F.col(f"upto_{c}")).otherwise(F.col(c) - F.col(f"upto_{c}")))
-    out = summed.groupBy("node", "root", "depth", "size").agg(difference("a").alias("a"), difference("w").alias("w"))
-    return out.select("node", "root", "depth", F.col("size").alias("subtree_size"), F.col("a").cast("double").alias("subtree_amount"), F.col("w").cast("double").alias("subtree_depth_amount"))
+    own = tour.join(amounts, "node", "left").withColumn("a", F.coalesce("amount", F.lit(0)).cast(kind))
+    own = own.withColumn("w", (F.col("a") * F.col("depth").cast("decimal(10,0)")).cast(kind))
+    sums = subtree_sums(own, ["a", "w"])
+    out = tour.join(sums, "node")
+    return out.select(
+        "node", "root", "depth", F.col("size").alias("subtree_size"), F.col("a").cast("double").alias("subtree_amount"), F.col("w").cast("double").alias("subtree_depth_amount")
+    )
+
+
+def tree_profile(tour: DataFrame, own: DataFrame) -> DataFrame:
+    """One row per tree: how it is spread over depth, time, amounts and brothers.
+
+    ``own``: (node, amount, block) of funded nodes; a missing amount is 0.  Of
+    the nodes below the root: ``depth_skewness`` (of all nodes), the skewness and
+    excess kurtosis of blocks, ``time_to_gas_ratio`` (blocks from first to last
+    over the total amount) and its inverse ``provision_rate``, ``leaf_path_length``
+    (depth of leaves by amount), ``gas_per_node``.  Over parents, on average:
+    ``asymmetry`` (of two children and more, by how much the least subtree falls
+    short of the largest), ``evenness`` (their least amount over the largest) and
+    ``pruning`` (share of leaves among all below).  What is undefined is 0.
+    """
+    kind = "decimal(38,2)"
+    rows = tour.join(own, "node", "left").withColumns(
+        {"a": F.coalesce("amount", F.lit(0)).cast(kind), "leaf": (F.col("size") == 1).cast("long"), "deep": F.col("depth") > 0}
+    )
+    rows = materialize(rows.drop("amount"), "profile")
+    below = subtree_sums(rows, ["leaf"]).withColumnRenamed("leaf", "leaves")
+    parents = rows.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(
+        F.count("*").alias("kids"), F.min("size").alias("s0"), F.max("size").alias("s1"), F.min("a").alias("a0"), F.max("a").alias("a1")
+    )
+    inner = rows.select("node", "root", "size").join(parents, "node").join(below, "node")
+    several = lambda c: F.coalesce(F.avg(F.when(F.col("kids") > 1, c)), F.lit(0.0))
+    shape = inner.groupBy("root").agg(
+        several((F.col("s1") - F.col("s0")) / F.col("s1")).alias("asymmetry"),
+        several(safe_divide(F.col("a0"), F.col("a1"))).alias("evenness"),
+        F.avg(F.col("leaves") / (F.col("size") - 1)).alias("pruning"),
+    )
+    deep = lambda c: F.when(F.col("deep"), F.col(c))
+    leaf = lambda c: F.when(F.col("deep") & (F.col("leaf") == 1), c)
+    total = F.sum(deep("a")).cast("double")
+    span = F.max(deep("block")) - F.min(deep("block"))
+    spread = rows.groupBy("root").agg(
+        F.max("tree_size").alias("tree_size"),
+        after_fill(F.skewness("depth")).alias("depth_skewness"),
+        after_fill(F.skewness(deep("block"))).alias("activation_skewness"),
+        after_fill(F.kurtosis(deep("block"))).alias("activation_kurtosis"),
+        safe_divide(span, total).alias("time_to_gas_ratio"),
+        safe_divide(total, span).alias("provision_rate"),
+        safe_divide(F.sum(leaf((F.col("a") * F.col("depth").cast("decimal(10,0)")).cast(kind))), F.sum(leaf(F.col("a")))).alias("leaf_path_length"),
+        safe_divide(total, F.count("*")).alias("gas_per_node"),
+    )
+    return spread.join(shape, "root")
 
 
 def path_metrics(tour: DataFrame) -> DataFrame:

@@ -358,6 +358,28 @@ def oracle_sql() -> dict[str, str]:
             JOIN (SELECT s.root, max(betweenness) AS max_betweenness, max(r.size) AS tree_size, max((s.size * (r.size - s.size))::DOUBLE) AS max_edge_betweenness
             FROM sizes s JOIN sizes r ON r.node = s.root JOIN through t ON t.node = s.node GROUP BY 1) USING (root)""",
         ),
+        "tree_profile": _with(
+            f"{_PLACED} up sizes funded seen moments kids leaves inner_",
+            f"""SELECT root, tree_size, {_round("depth_skewness activation_skewness activation_kurtosis time_to_gas_ratio provision_rate leaf_path_length gas_per_node asymmetry evenness pruning")}
+            FROM (SELECT root, count(*) AS tree_size,
+              CASE WHEN max(dv) > 0 THEN avg(pow(depth - dm, 3)) / pow(max(dv), 1.5) ELSE 0.0 END AS depth_skewness,
+              coalesce(CASE WHEN max(bv) > 0 THEN avg(pow(b - bm, 3)) / pow(max(bv), 1.5) END, 0.0) AS activation_skewness,
+              coalesce(CASE WHEN max(bv) > 0 THEN avg(pow(b - bm, 4)) / pow(max(bv), 2) - 3 END, 0.0) AS activation_kurtosis,
+              CASE WHEN sum(g) > 0 THEN (max(b) - min(b)) / sum(g)::DOUBLE ELSE 0.0 END AS time_to_gas_ratio,
+              CASE WHEN max(b) > min(b) THEN sum(g)::DOUBLE / (max(b) - min(b)) ELSE 0.0 END AS provision_rate,
+              CASE WHEN sum(g) FILTER (size = 1) > 0 THEN (sum(g * depth) FILTER (size = 1))::DOUBLE / (sum(g) FILTER (size = 1))::DOUBLE ELSE 0.0 END AS leaf_path_length,
+              coalesce(sum(g)::DOUBLE, 0.0) / count(*) AS gas_per_node FROM moments GROUP BY 1)
+            JOIN (SELECT root, coalesce(avg((s1 - s0)::DOUBLE / s1) FILTER (k > 1), 0.0) AS asymmetry,
+              coalesce(avg(CASE WHEN a1 > 0 THEN a0::DOUBLE / a1::DOUBLE ELSE 0.0 END) FILTER (k > 1), 0.0) AS evenness, avg(leaves::DOUBLE / (size - 1)) AS pruning
+              FROM inner_ GROUP BY 1) USING (root)""",
+            funded="SELECT activated_address AS node, sum(amount) AS amount, min(block) AS block FROM first_edge GROUP BY 1",
+            seen="""SELECT p.node, p.root, p.depth, size, CASE WHEN p.depth > 0 THEN block END AS b, CASE WHEN p.depth > 0 THEN coalesce(amount, 0) END AS g, coalesce(amount, 0) AS a
+              FROM placed p JOIN sizes s ON s.node = p.node LEFT JOIN funded f ON f.node = p.node""",
+            moments="SELECT *, avg(depth) OVER w AS dm, var_pop(depth) OVER w AS dv, avg(b) OVER w AS bm, var_pop(b) OVER w AS bv FROM seen WINDOW w AS (PARTITION BY root)",
+            kids="""SELECT gas_provider AS node, count(*) AS k, min(size) AS s0, max(size) AS s1, min(a) AS a0, max(a) AS a1 FROM tedge JOIN seen ON node = activated_address GROUP BY 1""",
+            leaves="SELECT anc AS node, count(*) AS leaves FROM up u JOIN sizes s ON s.node = u.node WHERE size = 1 GROUP BY 1",
+            inner_="SELECT s.root, size, k, s0, s1, a0, a1, leaves FROM seen s JOIN kids USING (node) JOIN leaves USING (node)",
+        ),
         "chain_walk": _with(
             "xfer first_edge labeled interactors pmap walk walked", "SELECT *, false AS in_cycle FROM walked"
         ),

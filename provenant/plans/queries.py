@@ -357,6 +357,13 @@ def tree_paths(p: Proxies) -> DataFrame:
     return _rounded(tour.tree_paths(_tour(p)[1]), 9)
 
 
+@query
+def tree_profile(p: Proxies) -> DataFrame:
+    edges, walked = _tour(p)
+    own = edges.groupBy(F.col("activated_address").alias("node")).agg(F.sum("amount").alias("amount"), F.min("block").alias("block"))
+    return _rounded(tour.tree_profile(walked, own))
+
+
 @query
 def tree_shapes(p: Proxies) -> DataFrame:
     """How many trees have one shape, whatever the order of children."""

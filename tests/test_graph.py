@@ -35,6 +35,14 @@ def test_star(spark):
     assert math.isclose(forest.gini(nodes).first().gini_true, (2 * (1 + 4 + 15) - 4 * 8) / (3 * 8))
 
 
+def test_entropy_of_one_dominating_amount(spark):
+    """One amount that dwarfs the others leaves the small entropy's digits alone."""
+    m = metrics(spark, [("r", "a", 1e12), ("r", "b", 1), ("r", "c", 2)])["r"]
+    total = 1e12 + 3
+    want = -sum(x / total * math.log2(x / total) for x in (1e12, 1, 2))
+    assert math.isclose(m.gas_distribution_entropy, want, rel_tol=1e-9) and want < 1e-9
+
+
 def test_chain_and_mixed_depth(spark):
     assert metrics(spark, [("r", "a"), ("a", "b"), ("b", "c")])["r"].pure_chain_length == 4
     m = metrics(spark, [("r", "a"), ("a", "b"), ("r", "c")])["r"]
