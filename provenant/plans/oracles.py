@@ -358,6 +358,16 @@ def oracle_sql() -> dict[str, str]:
             JOIN (SELECT s.root, max(betweenness) AS max_betweenness, max(r.size) AS tree_size, max((s.size * (r.size - s.size))::DOUBLE) AS max_edge_betweenness
             FROM sizes s JOIN sizes r ON r.node = s.root JOIN through t ON t.node = s.node GROUP BY 1) USING (root)""",
         ),
+        "timed_provision": _with(
+            "xfer cex moves states least tight steps",
+            "SELECT node AS address, day AS arrival, min(hops) AS hops FROM steps JOIN least USING (node) GROUP BY 1, 2",
+            moves="SELECT DISTINCT from_address AS a, to_address AS b, block AS t FROM xfer WHERE value > 0 AND from_address <> to_address AND to_address NOT IN (SELECT address FROM cex)",
+            states="SELECT address AS node, -1000000::BIGINT AS day FROM cex UNION SELECT b, t FROM states JOIN moves ON a = node AND t > day",
+            least="SELECT node, min(day) AS day FROM states WHERE day > -1000000 GROUP BY 1",
+            # transfers that arrive first from where funds had arrived first
+            tight="""SELECT a, b FROM moves JOIN least x ON x.node = b AND x.day = t LEFT JOIN least y ON y.node = a WHERE y.day < t OR a IN (SELECT address FROM cex)""",
+            steps="SELECT address AS node, 0::BIGINT AS hops FROM cex UNION SELECT b, hops + 1 FROM steps JOIN tight ON a = node",
+        ),
         "tree_profile": _with(
             f"{_PLACED} up sizes funded seen moments kids leaves inner_",
             f"""SELECT root, tree_size, {_round("depth_skewness activation_skewness activation_kurtosis time_to_gas_ratio provision_rate leaf_path_length gas_per_node asymmetry evenness pruning")}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import behaviour, boosting, cleaning, communities, exchange, forest, funding, labels, learning, master, metrics, tour, walks
+from ..operators import arrival, behaviour, boosting, cleaning, communities, exchange, forest, funding, labels, learning, master, metrics, tour, walks
 from ..operators.progress import progress_rows
 from ..session import materialize, shared_dir, tidy
 from ..sources import (
@@ -371,6 +371,12 @@ def tree_shapes(p: Proxies) -> DataFrame:
     return whole.groupBy("shape", F.col("size").alias("tree_size")).agg(F.count("*").alias("trees")).select("tree_size", "trees", "shape")
 
 
+@query
+def timed_provision(p: Proxies) -> DataFrame:
+    """First day and hops on which funds of the MACHINERY customers can have reached an address."""
+    return arrival.earliest_arrival(p.xfer, p.cex).filter("arrival IS NOT NULL")
+
+
 def _provision_graph(p: Proxies) -> DataFrame:
     return p.first_edge.select(F.col("activated_address").alias("a"), F.col("gas_provider").alias("b"), F.lit(1).alias("w"))
 
