@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, release, scratch
 
+#: Rows up to which what a round has reached anew is broadcast; all other joins are shuffled, so the driver gets no tables.
+FEW = 10_000
+
+
+def _side(df: DataFrame, n: int | None = None) -> DataFrame:
+    """A side of a join, of ``n`` rows if that is known."""
+    return F.broadcast(df) if n is not None and n <= FEW else df.hint("merge")
+
 
 def earliest_arrival(transfers: DataFrame, sources: DataFrame, time: str = "block") -> DataFrame:
     """(address, arrival, hops) of the sources (arrival null, no hops) and of all that their funds can have reached; written.
@@ -34,12 +42,12 @@ def earliest_arrival(transfers: DataFrame, sources: DataFrame, time: str = "bloc
         starts = sources.select(F.col(sources.columns[0]).cast(kind).alias("node")).filter("node IS NOT NULL").distinct()
         known = materialize(starts.select("node", F.lit(None).cast("long").alias("t")), "arrivals")
         fresh = known
-        while not fresh.isEmpty():
-            out = edges.join(fresh.select(F.col("node").alias("a"), F.col("t").alias("since")), "a").filter("since IS NULL OR t > since")
+        while n := fresh.count():
+            out = edges.join(_side(fresh.select(F.col("node").alias("a"), F.col("t").alias("since")), n), "a").filter("since IS NULL OR t > since")
             reached = out.groupBy(F.col("b").alias("node")).agg(F.min("t").alias("_t"))
-            met = reached.join(known.withColumn("_met", F.lit(True)), "node", "left")
+            met = reached.join(_side(known.withColumn("_met", F.lit(True))), "node", "left")
             new = materialize(met.filter("_met IS NULL OR _t < t").select("node", F.col("_t").alias("t")), "earlier")
-            before, known = known, materialize(known.join(new.select("node"), "node", "left_anti").unionByName(new), "arrivals")
+            before, known = known, materialize(known.join(_side(new.select("node")), "node", "left_anti").unionByName(new), "arrivals")
             if fresh is not before:
                 release(fresh)
             release(before)
@@ -47,18 +55,18 @@ def earliest_arrival(transfers: DataFrame, sources: DataFrame, time: str = "bloc
         # the transfers that arrive first, from where funds had arrived first
         ends = known.select(F.col("node").alias("b"), "t").filter("t IS NOT NULL")
         since = known.select(F.col("node").alias("a"), F.col("t").alias("since"))
-        tight = materialize(edges.join(ends, ["b", "t"]).join(since, "a").filter("since IS NULL OR t > since").select("a", "b"), "tight")
+        tight = materialize(edges.join(_side(ends), ["b", "t"]).join(_side(since), "a").filter("since IS NULL OR t > since").select("a", "b"), "tight")
         frontier = materialize(starts, "hops")
         out, hops = frontier.withColumn("hops", F.lit(0).cast("long")), 0
         seen = [frontier]
-        while not frontier.isEmpty():
+        while n := frontier.count():
             hops += 1
-            ahead = tight.join(frontier, tight["a"] == frontier["node"], "left_semi").select(F.col("b").alias("node")).distinct()
+            ahead = tight.join(_side(frontier.select(F.col("node").alias("a")), n), "a", "left_semi").select(F.col("b").alias("node")).distinct()
             met = edges.sparkSession.read.schema(frontier.schema).parquet(*[x._materialized_path for x in seen])
-            frontier = materialize(ahead.join(met, "node", "left_anti"), "hops")
+            frontier = materialize(ahead.join(_side(met), "node", "left_anti"), "hops")
             seen.append(frontier)
             out = out.unionByName(frontier.withColumn("hops", F.lit(hops).cast("long")))
             if hops % 32 == 0:  # plans stay short, however many hops there are
                 out = materialize(out, "hops-so-far")
-        known = keep(materialize(known.join(out, "node"), "arrivals"))
+        known = keep(materialize(known.join(_side(out), "node"), "arrivals"))
     return known.select(F.col("node").alias("address"), F.col("t").alias("arrival"), "hops")
