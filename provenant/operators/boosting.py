@@ -7,8 +7,8 @@ the feature's best split of every node.  The driver sees one candidate for
 each node and feature, whatever the number of rows.
 
 Rows are written once as blocks of bins (a byte or two a value), labels and
-margins; tasks apply the trees grown since to them, and every few rounds the
-margins are written anew.  A lost executor costs the blocks it was reading.
+margins; each new tree is applied to the kept blocks once, and every few rounds
+the margins are written anew.  A lost executor costs the blocks it was reading.
 Gradients are rounded to a power of two that keeps all sums exact, so a model
 does not depend on the number or order of tasks.
 """
@@ -150,10 +150,10 @@ def _blocks(df: DataFrame, features: list[str], label: str, cuts: list[np.ndarra
 
 
 class _Rows:
-    """Blocks of training rows with the trees that their written margins lack."""
+    """Blocks of training rows with the margins of all trees so far, and the trees that the written margins lack."""
 
     def __init__(self, table: DataFrame, n_features: int, n: int) -> None:
-        self.n_features, self.n, self.pending = n_features, n, []
+        self.n_features, self.n, self.pending, self.stale = n_features, n, [], None
         self.quantum = 2.0 ** (n.bit_length() - 52)  # sums of n such numbers are exact
         self.load(table)
 
@@ -166,10 +166,25 @@ class _Rows:
             own = list(rows)
             if own:
                 joined = [b"".join(bytes(r[c]) for r in own) for c in ("bins", "y", "margin")]
-                yield np.frombuffer(joined[0], np.uint16).reshape(-1, width), np.frombuffer(joined[1], np.int8), np.frombuffer(joined[2], np.float64)
+                yield np.asfortranarray(np.frombuffer(joined[0], np.uint16).reshape(-1, width)), np.frombuffer(joined[1], np.int8), np.frombuffer(joined[2], np.float64)
 
         self.blocks: RDD = table.coalesce(max(1, -(-self.n // BLOCK))).rdd.mapPartitions(merge).persist()
 
+    def add(self, tree: Tree) -> None:
+        """Applies a tree to the kept blocks: its levels and those of later trees find the margins there."""
+        self.pending = [*self.pending, tree]
+        if len(self.pending) == REBASE:
+            self.rebase()
+        else:
+            self.drop_stale()
+            self.stale, self.blocks = self.blocks, self.blocks.map(lambda b: (b[0], b[1], _margin(b[0], b[2], [tree]))).persist()
+
+    def drop_stale(self) -> None:
+        """The blocks before the last tree go once those after it are there."""
+        if self.stale is not None:
+            self.stale.unpersist()
+        self.stale = None
+
     def rebase(self) -> None:
         """Writes the margins after all trees so far."""
         trees, width = self.pending, self.n_features
@@ -183,6 +198,7 @@ class _Rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(margins, pa.binary())], names=batch.schema.names)
 
         old, self.pending = self.table, []
+        self.drop_stale()
         self.blocks.unpersist()
         self.load(materialize(old.mapInArrow(apply, old.schema), "margins"))
         self.blocks.count()  # read before the old blocks go
@@ -190,7 +206,7 @@ class _Rows:
 
     def candidates(self, tree: Tree, active: list[int], sizes: list[int], l2: float, min_child: float) -> dict[int, list[tuple]]:
         """For each active node: (gain, feature, cut, gradients and Hessians left and in all) of every feature's best split."""
-        trees, quantum, n_features = self.pending, self.quantum, self.n_features
+        quantum, n_features = self.quantum, self.n_features
         slot = np.full(len(tree.feature), -1)
         slot[active] = np.arange(len(active))
         reducers = min(n_features, self.blocks.getNumPartitions())
@@ -198,13 +214,13 @@ class _Rows:
         def sums(blocks: Iterator[tuple]) -> Iterator[tuple[int, tuple]]:
             total: dict[int, np.ndarray] = {}
             for bins, y, margin in blocks:
-                chance = 1 / (1 + np.exp(-_margin(bins, margin, trees)))
+                chance = 1 / (1 + np.exp(-margin))
                 g, h = np.round((chance - y) / quantum) * quantum, np.round(chance * (1 - chance) / quantum) * quantum
                 at = slot[tree.nodes(bins)]
                 own = at >= 0
-                at, g, h, bins = at[own], g[own], h[own], bins[own]
+                at, g, h, every = at[own], g[own], h[own], own.all()
                 for f in range(n_features):
-                    cell = at * sizes[f] + bins[:, f]
+                    cell = at * sizes[f] + (bins[:, f] if every else bins[own, f])
                     both = [np.bincount(cell, w, len(active) * sizes[f]) for w in (g, h)]
                     total[f] = total[f] + both if f in total else np.array(both)
             shares: dict[int, list] = {}
@@ -230,6 +246,7 @@ class _Rows:
             summed = summed.partitionBy(reducers)
         for node, *found in summed.mapPartitions(best).collect():
             out.setdefault(active[node], []).append(tuple(found))
+        self.drop_stale()
         return out
 
 
@@ -291,9 +308,8 @@ def fit(
             if not active:
                 break
         trees.append(tree)
-        rows.pending = [*rows.pending, tree]
-        if len(rows.pending) == REBASE:
-            rows.rebase()
+        rows.add(tree)
+    rows.drop_stale()
     rows.blocks.unpersist()
     release(rows.table)
     return Model(features, cuts, trees)
