@@ -25,7 +25,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.numbering import number_rows
 from ..session import materialize, release, scratch
 from .keyed import LAST, doc_id, keyed, once
 from .shared import aside, lean, sliced
@@ -86,11 +85,12 @@ def rank_rounds(ids: DataFrame, run: int) -> list[DataFrame]:
         h = 1 << len(rounds) - 1
         state = rounds[-1] if h < run else rounds[-1].select("k", "c", "p", "r")
         pairs = materialize(_ahead(state, h).withColumnRenamed("r", "a"), "pairs")
-        # numbers come from written range partitions, so a rank that very many places share can be split in the join
-        ranks = number_rows(_repeated(pairs, "a", "b"), ["_a", "_b"], "_rank")
+        # ranks rise with (a, b) but have gaps; they are written, so a rank that very many places share can be split in the join
+        ranks = _repeated(pairs, "a", "b").orderBy("_a", "_b").withColumn("_rank", F.monotonically_increasing_id())
+        ranks = materialize(ranks, "numbered")
         ranked = pairs.join(ranks, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
         rounds.append(materialize(ranked.select("k", "c", "p", F.col("_rank").alias("r"), *state.columns[4:]), "ranks"))
-        release(pairs)
+        release(pairs, ranks)
     return rounds[:-1]
 
 
@@ -179,8 +179,7 @@ def drop_covered(text: str, runs: list[dict]) -> tuple[str, int, int]:
 
 def _gathered(rows: DataFrame, run: int, words: int | None) -> DataFrame:
     """(k, c, runs) of the texts that have any."""
-    runs = maximal_runs(rows, run, words).select("k", "c", "p", "n").distinct()
-    return runs.groupBy("k", "c").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
+    return maximal_runs(rows, run, words).groupBy("k", "c").agg(F.collect_set(F.struct("p", "n")).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN, words: int | None = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

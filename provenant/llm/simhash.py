@@ -381,6 +381,7 @@ def verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, width: int, lea
     right = sets.select(F.col("key").alias("v"), F.col("hashes").alias("b"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
     out = materialize(both.mapInArrow(lean(verify), "u long, v long"), "verified")
+    held.destroy()
     release(needed, wanted, sets)
     return out
 
