@@ -4,7 +4,10 @@ Features are cut into bins once.  A tree grows level by level, and a level is
 one aggregation: every task sums gradients and Hessians of its rows by node,
 feature and bin, the sums of a feature meet in one task, and that task finds
 the feature's best split of every node.  The driver sees one candidate for
-each node and feature, whatever the number of rows.
+each node and feature, whatever the number of rows.  Of two children only the
+lighter one is summed and sent: the other is its parent less it.  Sums travel as
+whole numbers of the least step, in as many bytes as they need, from as many
+tasks as there are cores, so what is moved doesn't grow with the rows beyond that.
 
 Rows are written once as blocks of bins (a byte or two a value), labels and
 margins; each new tree is applied to the kept blocks once, and every few rounds
@@ -15,8 +18,9 @@ does not depend on the number or order of tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,8 @@ from ..session import materialize, release
 
 #: Boosting rounds of the inherited model (fixed value).
 ROUNDS = 2000
-#: Rows of a block, and rounds after which margins are written.
-BLOCK, REBASE = 16_384, 16
+#: Rows of a block, rounds after which margins are written, and blocks that a task holds as one.
+BLOCK, REBASE, MERGED = 16_384, 16, 32
 
 
 @dataclass
@@ -154,21 +158,22 @@ class _Rows:
 
     def __init__(self, table: DataFrame, n_features: int, n: int) -> None:
         self.n_features, self.n, self.pending, self.stale = n_features, n, [], None
+        self.last, self.totals = [], None  # the nodes of the level before and their sums by feature
         self.quantum = 2.0 ** (n.bit_length() - 52)  # sums of n such numbers are exact
         self.load(table)
 
     def load(self, table: DataFrame) -> None:
-        """Few rows are few tasks: a task has a block's rows or more."""
+        """Few rows are few tasks: a task has a block's rows or more.  Many rows are as many tasks as cores, as each sends its sums."""
         width = self.n_features
         self.table = table
 
         def merge(rows: Iterator) -> Iterator[tuple]:
-            own = list(rows)
-            if own:
+            while own := list(islice(rows, MERGED)):
                 joined = [b"".join(bytes(r[c]) for r in own) for c in ("bins", "y", "margin")]
                 yield np.asfortranarray(np.frombuffer(joined[0], np.uint16).reshape(-1, width)), np.frombuffer(joined[1], np.int8), np.frombuffer(joined[2], np.float64)
 
-        self.blocks: RDD = table.coalesce(max(1, -(-self.n // BLOCK))).rdd.mapPartitions(merge).persist()
+        cores = table.sparkSession.sparkContext.defaultParallelism
+        self.blocks: RDD = table.coalesce(max(1, min(cores, -(-self.n // BLOCK)))).rdd.mapPartitions(merge).persist()
 
     def add(self, tree: Tree) -> None:
         """Applies a tree to the kept blocks: its levels and those of later trees find the margins there."""
@@ -204,12 +209,16 @@ class _Rows:
         self.blocks.count()  # read before the old blocks go
         release(old)
 
-    def candidates(self, tree: Tree, active: list[int], sizes: list[int], l2: float, min_child: float) -> dict[int, list[tuple]]:
-        """For each active node: (gain, feature, cut, gradients and Hessians left and in all) of every feature's best split."""
+    def candidates(self, tree: Tree, active: list[int], light: list[int], sizes: list[int], l2: float, min_child: float) -> dict[int, list[tuple]]:
+        """For each active node: (gain, feature, cut, gradients and Hessians left and in all) of every feature's best split.
+
+        Active nodes are the root, or left and right children in turn; ``light`` has the lighter one of every two.
+        """
         quantum, n_features = self.quantum, self.n_features
-        slot = np.full(len(tree.feature), -1)
-        slot[active] = np.arange(len(active))
         reducers = min(n_features, self.blocks.getNumPartitions())
+        own = light if light and reducers > 1 else active  # without a shuffle all are summed
+        slot = np.full(len(tree.feature), -1)
+        slot[own] = np.arange(len(own))
 
         def sums(blocks: Iterator[tuple]) -> Iterator[tuple[int, tuple]]:
             total: dict[int, np.ndarray] = {}
@@ -217,39 +226,78 @@ class _Rows:
                 chance = 1 / (1 + np.exp(-margin))
                 g, h = np.round((chance - y) / quantum) * quantum, np.round(chance * (1 - chance) / quantum) * quantum
                 at = slot[tree.nodes(bins)]
-                own = at >= 0
-                at, g, h, every = at[own], g[own], h[own], own.all()
+                some = at >= 0
+                at, g, h, every = at[some], g[some], h[some], some.all()
                 for f in range(n_features):
-                    cell = at * sizes[f] + (bins[:, f] if every else bins[own, f])
-                    both = [np.bincount(cell, w, len(active) * sizes[f]) for w in (g, h)]
+                    cell = at * sizes[f] + (bins[:, f] if every else bins[some, f])
+                    both = [np.bincount(cell, w, len(own) * sizes[f]) for w in (g, h)]
                     total[f] = total[f] + both if f in total else np.array(both)
-            shares: dict[int, list] = {}
-            for f, t in total.items():
-                some = np.flatnonzero(t[1])
-                shares.setdefault(f % reducers, []).append((f, some.astype(np.int32), t[:, some]))
-            yield from shares.items()
-
-        def best(parts: Iterator[tuple[int, list]]) -> Iterator[tuple]:
-            dense: dict[int, np.ndarray] = {}
+            yield from _shares(((f, False, *_packed(t, quantum)) for f, t in total.items()), reducers)
+
+        def added(parts: Iterator[tuple[int, list]]) -> Iterator[tuple[int, np.ndarray]]:
+            got: dict[tuple[int, bool], np.ndarray] = {}
             for _, found in parts:
-                for f, some, t in found:
-                    if f not in dense:
-                        dense[f] = np.zeros((2, len(active) * sizes[f]))
-                    dense[f][:, some] += t
-            for f, t in dense.items():
-                g, h = t.reshape(2, len(active), sizes[f])
-                yield from _best_splits(f, g, h, l2, min_child)
+                for f, parent, there, values in found:
+                    t = got.setdefault((f, parent), np.zeros((2, len(own) * sizes[f])))
+                    at, more = _unpacked(there, values, quantum, t.shape[1])
+                    t[:, at] += more
+            for f in sorted({f for f, _ in got}):
+                t = got.get((f, False), np.zeros((2, len(own) * sizes[f]))).reshape(2, len(own), sizes[f])
+                if len(own) < len(active):
+                    both = np.empty((2, len(active), sizes[f]))
+                    both[:, at_light], both[:, at_light ^ 1] = t, got[f, True].reshape(t.shape) - t
+                    t = both
+                yield f, t
 
-        out: dict[int, list[tuple]] = {}
         summed = self.blocks.mapPartitions(sums)
+        if len(own) < len(active):
+            at_light = np.flatnonzero(np.isin(active, own))
+            place = {tree.left[node]: i for i, node in enumerate(self.last)}
+            parents = [place[left] for left in active[::2]]
+            above = lambda totals: _shares(((f, True, *_packed(t[:, parents].reshape(2, -1), quantum)) for f, t in totals), reducers)
+            summed = summed.union(self.totals.mapPartitions(above))
         if reducers > 1:
             summed = summed.partitionBy(reducers)
-        for node, *found in summed.mapPartitions(best).collect():
+        before, self.totals, self.last = self.totals, summed.mapPartitions(added).persist(), active
+        out: dict[int, list[tuple]] = {}
+        best = lambda totals: (found for f, t in totals for found in _best_splits(f, *t, l2, min_child))
+        for node, *found in self.totals.mapPartitions(best).collect():
             out.setdefault(active[node], []).append(tuple(found))
+        if before is not None:
+            before.unpersist()
         self.drop_stale()
         return out
 
 
+def _shares(sums: Iterable[tuple], reducers: int) -> Iterator[tuple[int, list]]:
+    """Sums of features, by the task that adds them up."""
+    shares: dict[int, list] = {}
+    for one in sums:
+        shares.setdefault(one[0] % reducers, []).append(one)
+    yield from shares.items()
+
+
+def _packed(sums: np.ndarray, quantum: float) -> tuple[bytes, bytes]:
+    """(bits of the cells that are not zero, the bytes of their sums in quanta: the lowest of all, the next of all...)."""
+    there = (sums != 0).any(0)
+    quanta = (sums[:, there] / quantum).astype("<i8").ravel()
+    quanta = ((quanta << 1) ^ (quanta >> 63)).view("<u8")  # the sign is the lowest bit, so high bytes are zero
+    width = -(-int(quanta.max(initial=0)).bit_length() // 8)
+    return np.packbits(there).tobytes(), quanta.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(there: bytes, values: bytes, quantum: float, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, their sums (2, n)) of what was packed."""
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(there, np.uint8), count=cells))
+    wide = np.zeros((2 * len(at), 8), np.uint8)
+    if len(at):
+        width = len(values) // len(wide)
+        wide[:, :width] = np.frombuffer(values, np.uint8).reshape(width, -1).T
+    quanta = wide.view("<u8").ravel()
+    quanta = (quanta >> np.uint64(1)).astype(np.int64) ^ -(quanta & np.uint64(1)).astype(np.int64)
+    return at, quanta.reshape(2, -1) * quantum
+
+
 def _margin(bins: np.ndarray, margin: np.ndarray, trees: list[Tree]) -> np.ndarray:
     for t in trees:
         margin = margin + np.array(t.weight)[t.nodes(bins)]
@@ -290,9 +338,9 @@ def fit(
     sizes, trees = [len(c) + 1 for c in cuts], []
     for _ in range(rounds):
         tree = Tree()
-        active = [tree.add(0.0)]
+        active, light = [tree.add(0.0)], []
         for level in range(depth):
-            found, after = rows.candidates(tree, active, sizes, l2, min_child), []
+            found, after, lighter = rows.candidates(tree, active, light, sizes, l2, min_child), [], []
             for node in active:
                 options = found.get(node, [])
                 if not options:
@@ -304,12 +352,15 @@ def fit(
                     continue
                 tree.split(node, f, cut, (-step * left_g / (left_h + l2), -step * (all_g - left_g) / (all_h - left_h + l2)))
                 after += [tree.left[node], tree.left[node] + 1]
-            active = after
+                lighter.append(tree.left[node] + int(2 * left_h > all_h))
+            active, light = after, lighter
             if not active:
                 break
         trees.append(tree)
         rows.add(tree)
     rows.drop_stale()
     rows.blocks.unpersist()
+    if rows.totals is not None:
+        rows.totals.unpersist()
     release(rows.table)
     return Model(features, cuts, trees)
