@@ -6,7 +6,8 @@ hold edges of one group mostly agree on its star.  What is left is dealt to
 tasks of ``HELD`` edges and replaced once more.  Edges are then linked to the
 least neighbour, first from larger nodes and then from smaller ones, until each
 component is a star around its least node (a round count that grows with the
-logarithm of the component).  A hub's edges are
+logarithm of the component).  Fewer than ``HELD`` edges are one task's, whose
+stars are the components already: no round follows.  A hub's edges are
 never gathered: minima come from partial aggregation and are joined back, where
 adaptive execution splits a hot key.
 """
@@ -69,20 +70,21 @@ def components(edges: DataFrame) -> DataFrame:
     """
     kept = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     first = materialize(kept.mapInArrow(lean(_task_stars), "u long, v long"), "stars")
-    tasks = -(-first.count() // HELD)  # a task's share stays the same at every size
-    now = materialize(first.coalesce(max(1, tasks)).mapInArrow(lean(_task_stars), "u long, v long").distinct(), "edges")
+    n = first.count()
+    tasks = max(1, -(-n // HELD))  # a task's share stays the same at every size
+    again = first.coalesce(tasks).mapInArrow(lean(_task_stars), "u long, v long")
+    now = materialize(again if tasks == 1 else again.distinct(), "edges")
     release(first)
-    mark = _mark(now)
+    mark = _mark(now) if n >= HELD else (0,)  # one task has seen every edge of fewer: its stars are the components
     while mark[0]:
         after = materialize(_small_star(_large_star(now)).distinct(), "edges")
         release(now)
         now, before, mark = after, mark, _mark(after)
         if mark == before:
             break
-    roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        roots.join(now.select(F.col("u").alias("node")), "node", "left_anti").withColumn("root", F.col("node"))
-    )
+    # all are stars now, so no root is an edge's u
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
 def _mark(edges: DataFrame) -> tuple:
